@@ -24,13 +24,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WHITE, mix, slices
+from .bloom import SEGMENT, admits, by_segment, positions
+from .shared import WHITE, slices
 
 _TRIM = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits of a segment, the unit in which filters merge and travel.
-SEGMENT = 20
-PROBES = 3
 
 
 def _keys(text: bytes, least: int) -> set[bytes]:
@@ -43,11 +41,6 @@ def _keys(text: bytes, least: int) -> set[bytes]:
     return found
 
 
-def _positions(h: np.ndarray, bits: int) -> np.ndarray:
-    mask = np.uint64((1 << bits) - 1)
-    return np.concatenate([mix(h + np.uint64(i * 0x9E3779B9)) & mask for i in range(PROBES)]) if len(h) else h
-
-
 def key_of(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(_TRIM)), _UPPER, _LOWER)
 
@@ -65,11 +58,8 @@ def repeat_filter(docs: DataFrame, least: int, bits: int) -> np.ndarray:
         once, n = np.unique(np.concatenate(seen), return_counts=True)
         parts = {}
         for kind, h in (("once", once), ("twice", once[n > 1])):
-            at = np.sort(_positions(h, bits))
-            cut = np.searchsorted(at, np.arange(0, (1 << bits) + 1, 1 << SEGMENT, dtype=np.uint64))
-            for s in range(len(cut) - 1):
-                if cut[s + 1] > cut[s]:
-                    parts.setdefault(s, {})[kind] = (at[cut[s] : cut[s + 1]] & np.uint64((1 << SEGMENT) - 1)).astype(np.uint32).tobytes()
+            for s, at in by_segment(positions(h, bits), bits).items():
+                parts.setdefault(s, {})[kind] = at
         rows = sorted(parts)
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array([parts[s].get(k, b"") for s in rows], pa.binary()) for k in ("once", "twice"))], ["seg", "once", "twice"])
 
@@ -106,9 +96,8 @@ def suspects(docs: DataFrame, least: int, bits: int) -> DataFrame:
             for at, texts in slices(batch, "t"):
                 ids = batch.column("i").slice(at, len(texts)).to_pylist()
                 pairs = [(i, k) for i, t in zip(ids, texts, strict=True) for k in _keys(t, least)]
-                p = _positions(np.fromiter((xxhash.xxh3_64_intdigest(k) for _, k in pairs), dtype=np.uint64, count=len(pairs)), bits)
-                if len(p):
-                    hit = ((packed[p >> np.uint64(3)] >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8))) & 1).reshape(PROBES, -1).all(axis=0)
+                hit = admits(packed, np.fromiter((xxhash.xxh3_64_intdigest(k) for _, k in pairs), dtype=np.uint64, count=len(pairs)), bits)
+                if hit.any():
                     chosen = [pairs[j] for j in np.flatnonzero(hit)]
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in chosen], pa.int64()), pa.array([x[1].decode() for x in chosen], pa.string())], ["doc_id", "key"])
 
