@@ -1,15 +1,45 @@
-"""The stages of the corpus pipeline; each maps documents to documents by one operator."""
+"""The stages of the corpus pipeline; each maps documents to documents by one operator.
+
+All stages accept null texts, null ids, empty tables and further columns under
+any name but those of the documents table, and keep every column.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup as lines
+from . import mixing, near_dup, sentencepiece
 from . import quality_classifier as classifier
+from .tokenizer_files import PIECES
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier accepts; all columns stay. Repeated ids share one verdict."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = classifier.train(docs, labels)
+    """Documents the classifier accepts. Repeated rows share one verdict."""
+    model = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return classifier.keep(docs, model)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many share; ``n_chars`` follows the text, a null text stays null."""
+    out = lines.drop_repeated_lines(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8): the one with the smallest id."""
+    gone = near_dup.classes_of(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ``ids`` in place of their text."""
+    return sentencepiece.encode(docs, sentencepiece.load(PIECES))
