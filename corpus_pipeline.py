@@ -14,6 +14,10 @@ from strataloom.llm.shared import written
 
 STAGES = [
     ("quality_classifier", stages.quality_classifier),
+    ("line_dedup", stages.line_dedup),
+    ("minhash_near_dedup", stages.minhash_near_dedup),
+    ("source_mixing", stages.source_mixing),
+    ("sentencepiece_encoding", stages.sentencepiece_encoding),
 ]
 
 #: The classifier's trees and the seeded rounding have no SQL form; tests compare stages with brute force.
