@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,8 +68,8 @@ def maybe_in(rows: DataFrame, column: str, ids: DataFrame, id_column: str, bits:
     """Rows whose ``column`` may be among ``ids``: all that are, and a few others. Shrinks a join's large side."""
     held = rows.sparkSession.sparkContext.broadcast(build(ids, id_column, bits))
 
-    @F.pandas_udf("boolean")
-    def hit(x: pd.Series) -> pd.Series:
-        return pd.Series(admits(held.value, mix(x.to_numpy(dtype=np.int64).view(np.uint64)), bits))
+    @F.arrow_udf("boolean")
+    def hit(x: pa.Array) -> pa.Array:
+        return pa.array(admits(held.value, mix(x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), bits))
 
     return rows.where(F.col(column).isNotNull()).where(hit(column))

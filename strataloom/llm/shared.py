@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -68,7 +69,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash base and of its inverse modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 19)
         for key, base in (("up", _BASE), ("down", _BASE_INV)):
             x = np.full(n, base, dtype=np.uint64)
             x[0] = 1
@@ -76,17 +77,26 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+def trim() -> None:
+    """Give freed memory back to the machine: executors hold several workers at once."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """(first row, texts as bytes) runs of a batch with about ``most`` bytes each; null is empty."""
-    texts = batch.column(column).cast(pa.binary()).to_pylist()
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= most:
-            yield at, [x or b"" for x in texts[at : i + 1]]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, [x or b"" for x in texts[at:]]
+    if not batch.num_rows:
+        return
+    raw = batch.column(column).cast(pa.binary())
+    total = np.cumsum(raw.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(total):
+        stop = int(np.searchsorted(total, (total[at - 1] if at else 0) + most)) + 1
+        yield at, [x or b"" for x in raw.slice(at, stop - at).to_pylist()]
+        at = stop
+    trim()
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
