@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: The six ASCII white-space bytes every word rule of this package splits on.
@@ -90,7 +91,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     if not batch.num_rows:
         return
     raw = batch.column(column).cast(pa.binary())
-    total = np.cumsum(raw.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    total = np.cumsum(pc.binary_length(raw).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(total):
         stop = int(np.searchsorted(total, (total[at - 1] if at else 0) + most)) + 1
