@@ -36,10 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/strataloom/{uuid.uuid4().hex}/{name}.parquet"
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strataloom/{uuid.uuid4().hex}/{name}.parquet"
+    path = new_path(spark, name)
     schema = df.schema
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
