@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, line_dedup, mixing, near_dup, quality_classifier, quality_rules, sentencepiece, token_files, top_k
+from . import html_text, line_dedup, mixing, near_dup, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_files, top_k
 from .shared import new_path
 from .tokenizer_files import BYTE_BPE, PIECES
 
@@ -100,3 +100,8 @@ WITH v AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
