@@ -7,11 +7,12 @@ functions rather than 264. A pair at similarity 0.8 misses every table with
 probability 1e-4, a pair at 0.9 with 1e-8.
 
 Equal shingle sets are one class, so copies never meet each other. Inside a
-table's bucket members are linked to the smallest id only (a star), found first
-within each partition, then across partitions, so a bucket sends one row per
-partition. Candidates are verified on both full sets. Members that a star left
-unconnected are then compared with every bucket mate of another component whose
-signature and size allow the similarity; no candidate is capped.
+table's bucket members are linked to one head only (a star), found first within
+blocks, then across them, so a bucket sends one row per block. Candidates are
+verified on both full sets. Buckets whose members the stars left in different
+components are then looked through whole: every pair of mates in different
+components is ruled out by a bound on what the sets can share, or verified; no
+candidate is capped.
 
 Words are runs of bytes outside ASCII white space, in lower case (A-Z). A text
 with fewer words than a shingle has one shingle, the whole sequence; a text
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 
 from .bloom import maybe_in
 from .components import components
-from .shared import mix, slices, window_hashes, word_hashes, words, written
+from .shared import mix, slices, trim, window_hashes, word_hashes, words, written
 
+#: Classes whose bucket keys a task holds at once.
+BLOCK = 16384
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64)
 
 
@@ -96,29 +99,57 @@ def _keyed(batch: pa.RecordBatch, collections: int, width: int) -> tuple[np.ndar
     return keys.reshape(-1).view(np.int64), ids
 
 
+def _popularity(sig: np.ndarray) -> np.ndarray:
+    """How often each signature's values occur among all: highest for the text that its variants stem from."""
+    out = np.zeros(len(sig), dtype=np.int64)
+    for column in sig.T:
+        _, inverse, times = np.unique(column, return_inverse=True, return_counts=True)
+        out += times[inverse]
+    return out
+
+
 def star_candidates(classes: DataFrame, collections: int, width: int) -> DataFrame:
-    """(a, b), a < b: every member of a bucket beside its smallest member, or beside the smallest of its partition."""
+    """(a, b), a < b: every member of a bucket beside the bucket's head, or beside the head of its part of the bucket.
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_keyed(b, collections, width) for b in batches if b.num_rows]
-        if not held:
-            return
-        keys, ids = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
+    The head is the member with the commonest signature, so that it resembles as
+    many members as one can. Parts are blocks of BLOCK classes: what a task holds
+    is bounded, and a bucket sends one row a block.
+    """
+    hashes = collections * width
+
+    def block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids = (np.concatenate(x) for x in zip(*(_keyed(b, collections, width) for b in held), strict=True))
+        sig = np.frombuffer(b"".join(x for b in held for x in b.column("sig").to_pylist()), dtype=np.uint64).reshape(-1, hashes)
+        weight = np.repeat(_popularity(sig), len(keys) // len(sig))
+        order = np.lexsort((ids, -weight, keys))
+        keys, ids, weight = keys[order], ids[order], weight[order]
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
         heads = ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
-        pairs = np.unique(np.stack([heads[~new], ids[~new]], axis=1), axis=0)
+        pairs = np.unique(np.sort(np.stack([heads[~new], ids[~new]], axis=1), axis=1), axis=0)
         # pairs go on under a key of their own, a head under its bucket's
         key = np.concatenate((keys[new], mix(pairs[:, 1].view(np.uint64)).view(np.int64)))
         a, b = np.concatenate((ids[new], pairs[:, 0])), np.concatenate((ids[new], pairs[:, 1]))
+        w = np.concatenate((-weight[new], np.zeros(len(pairs), dtype=np.int64)))
         for s in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + (1 << 16)]) for x in (key, a, b)], ["key", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + (1 << 16)]) for x in (key, w, a, b)], ["key", "w", "a", "b"])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                held.append(batch.slice(at, BLOCK))
+                n += held[-1].num_rows
+                if n >= BLOCK:
+                    yield from block(held)
+                    held, n = [], 0
+        if n:
+            yield from block(held)
+        trim()
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, head = None, 0
         for batch in batches:
-            key, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key, _, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(key):
                 continue
             done = a != b
@@ -131,13 +162,13 @@ def star_candidates(classes: DataFrame, collections: int, width: int) -> DataFra
                 own_a.append(heads[~new])
                 own_b.append(ids[~new])
                 last, head = key[-1], heads[-1]
-            pairs = np.unique(np.stack([np.concatenate(own_a), np.concatenate(own_b)], axis=1), axis=0)
+            pairs = np.unique(np.sort(np.stack([np.concatenate(own_a), np.concatenate(own_b)], axis=1), axis=1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    rows = classes.select("doc_id", "sig").mapInArrow(local, "key long, a long, b long")
+    rows = classes.select("doc_id", "sig").mapInArrow(local, "key long, w long, a long, b long")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key", "a").mapInArrow(across, "a long, b long").distinct()
+    return rows.repartition(n, "key").sortWithinPartitions("key", "w", "a").mapInArrow(across, "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -170,8 +201,34 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def cross_candidates(classes: DataFrame, open_pairs: DataFrame, labels: DataFrame, collections: int, width: int, percent: int, agree: int) -> DataFrame:
-    """Bucket mates in different components, one of them in ``open_pairs``, that may reach the similarity."""
+def shared_sizes(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, u): how many of a document's shingles no other document of ``ids`` holds (rows with none are absent)."""
+    texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")), "i", ids, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, raw in slices(batch, "t"):
+                sets = shingle_sets(raw, size)
+                own = np.repeat(batch.column("i").slice(at, len(raw)).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                flat = np.concatenate(sets).view(np.int64)
+                for s in range(0, len(flat), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[s : s + (1 << 16)]), pa.array(flat[s : s + (1 << 16)])], ["i", "s"])
+
+    met = texts.join(ids, F.col("i") == F.col("id")).select("i", "t").mapInArrow(run, "i long, s long")
+    single = met.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.first("i").alias("id")).where("n = 1")
+    return single.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+
+
+def cross_candidates(docs: DataFrame, classes: DataFrame, stars: DataFrame, labels: DataFrame, size: int, collections: int, width: int, percent: int, agree: int) -> DataFrame | None:
+    """All bucket mates in different components that may reach the similarity, or None if there are none.
+
+    Two sets of n and m shingles, of which k and l occur in any other set at all,
+    share at most min(k, l); so whole groups of mates with equal component, n and
+    k are ruled out at once for a member. A bucket is never met pair by pair: its
+    groups come first, then its members pass and are held against the groups; only
+    members of other components than the bucket's largest one can matter. Pairs
+    are made for what is left, and dropped if their signatures agree too little.
+    """
     hashes = collections * width
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +237,30 @@ def cross_candidates(classes: DataFrame, open_pairs: DataFrame, labels: DataFram
                 part = batch.slice(at, 1000)
                 if part.num_rows:
                     keys, ids = _keyed(part, collections, width)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), *(part.column(c).take(pa.array(np.repeat(np.arange(part.num_rows), len(keys) // part.num_rows))) for c in ("root", "n"))], ["key", "id", "root", "n"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, groups, table, most = None, [], None, 0
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k, role, ident, root, n, shared, times = row
+                if k != key:
+                    key, groups, table = k, [], None
+                if role == 0:
+                    groups.append((root, n, shared, times))
+                    continue
+                if table is None:
+                    table = np.array(groups, dtype=np.int64)
+                    roots, inverse = np.unique(table[:, 0], return_inverse=True)
+                    most = int(roots[np.bincount(inverse, table[:, 3]).argmax()])
+                if root == most:
+                    continue
+                common = np.minimum(shared, table[:, 2])
+                ok = (table[:, 0] != root) & (100 * common >= percent * (n + table[:, 1] - common))
+                out += [(k, ident, int(r), int(m), int(s)) for r, m, s, _ in table[ok].tolist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["key", "x", "r", "m", "s"])
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,14 +268,27 @@ def cross_candidates(classes: DataFrame, open_pairs: DataFrame, labels: DataFram
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, hashes) for c in ("sa", "sb"))
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= agree))
 
-    known = classes.join(labels, classes["doc_id"] == labels["node"], "left").select("doc_id", "n_shingles", "sig", F.coalesce("root", "doc_id").alias("root"))
-    loose = open_pairs.select(F.col("a").alias("doc_id")).union(open_pairs.select(F.col("b").alias("doc_id"))).distinct()
-    open_keys = known.join(loose, "doc_id", "left_semi").select("doc_id", "sig").mapInArrow(keyed, "key long, id long")
-    mates = maybe_in(known.select("doc_id", "sig").mapInArrow(keyed, "key long, id long"), "key", open_keys.select("key").distinct(), "key")
-    raw = open_keys.select("key", F.col("id").alias("x")).join(mates.select("key", F.col("id").alias("y")), "key").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    side = lambda c: known.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"), F.col("root").alias(f"r{c}"))
-    both = raw.join(side("a"), "a").join(side("b"), "b").where(f"ra != rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return both.select("a", "b", "sa", "sb").mapInArrow(likely, "a long, b long").join(open_pairs, ["a", "b"], "left_anti")
+    met = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
+    known = classes.join(met, "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n_shingles").alias("n"), "sig", F.coalesce("root", "doc_id").alias("root"))
+    rows = known.mapInArrow(keyed, "key long, id long, root long, n long")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    mixed = written(mixed, "mixed")
+    if not mixed.take(1):
+        return None
+    members = written(maybe_in(rows, "key", mixed, "key").join(mixed, "key"), "members")
+    ids = written(members.select("id").distinct(), "open_ids")
+    shared = written(shared_sizes(docs, ids, size), "shared")
+    members = written(members.join(shared, "id", "left").withColumn("k", F.col("n") - F.coalesce("u", F.lit(0))).where(f"100 * k >= {percent} * n").drop("u"), "members_k")
+    groups = members.groupBy("key", "root", "n", "k").agg(F.count(F.lit(1)).alias("times"))
+    fed = groups.select("key", F.lit(0).alias("role"), F.lit(0).cast("long").alias("id"), "root", "n", "k", "times").union(members.select("key", F.lit(1).alias("role"), "id", "root", "n", "k", F.lit(0).cast("long")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = written(fed.repartition(parts, "key").sortWithinPartitions("key", "role").mapInArrow(test, "key long, x long, r long, m long, s long"), "left")
+    if not left.take(1):
+        return None
+    mates = members.select("key", F.col("root").alias("r"), F.col("n").alias("m"), F.col("k").alias("s"), F.col("id").alias("y"))
+    raw = left.join(mates, ["key", "r", "m", "s"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda c: classes.select(F.col("doc_id").alias(c), F.col("sig").alias(f"s{c}"))
+    return raw.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(likely, "a long, b long").join(stars, ["a", "b"], "left_anti")
 
 
 def classes_of(docs: DataFrame, size: int = 5, percent: int = 80, collections: int = 12, width: int = 2, agree: int = 9) -> DataFrame:
@@ -210,14 +303,11 @@ def classes_of(docs: DataFrame, size: int = 5, percent: int = 80, collections: i
     stars = written(star_candidates(classes, collections, width), "stars")
     links = written(verified(docs, stars, size, percent), "links")
     labels = written(components(links), "labels")
-    root = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    tested = stars.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    loose = written(tested.where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b"), "loose")
-    if loose.take(1):
-        more = written(cross_candidates(classes, loose, labels, collections, width, percent, agree), "cross")
+    more = cross_candidates(docs, classes, stars, labels, size, collections, width, percent, agree)
+    if more is not None:
+        more = written(more, "cross")
         if more.take(1):
-            links = links.union(written(verified(docs, more, size, percent), "cross_links"))
-            labels = written(components(links), "labels2")
+            labels = written(components(links.union(written(verified(docs, more, size, percent), "cross_links"))), "labels2")
     rep = classes.where("n > 1").select(F.col("fp").alias("_fp"), F.col("doc_id").alias("rep"))
     out = profile.join(rep, profile["fp"] == rep["_fp"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(labels, out["rep"] == labels["node"], "left")
