@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import slices
@@ -35,68 +35,77 @@ _WIDEST = 30
 _COUNTS = np.array([c for c, _ in SELECTORS] + [0] * (16 - len(SELECTORS)), dtype=np.int64)
 
 
-def _fits(bits: np.ndarray) -> np.ndarray:
-    """For every position the densest selector whose full word fits the ids that follow; the last words of a block may be short."""
-    n = len(bits)
-    best = np.full(n, len(SELECTORS) - 1, dtype=np.int64)
+def _level(ids: np.ndarray) -> np.ndarray:
+    """The least packed width of each id (99 for an escape)."""
+    out = np.full(ids.shape, 99, dtype=np.uint8)
+    for width in sorted({w for _, w in SELECTORS if w <= _WIDEST}, reverse=True):
+        out[ids < np.uint32(1 << width)] = width
+    return out
+
+
+def _fits(level: np.ndarray) -> np.ndarray:
+    """For every position of blocks (rows; 255 past their ends) the densest selector whose full word fits the ids that follow.
+
+    Escapes have -1. The last words of a block may hold few ids.
+    """
+
+    def ahead(x: np.ndarray, n: int) -> np.ndarray:
+        return np.concatenate((x[:, n:], np.full((len(x), n), 255, dtype=np.uint8)), axis=1)
+
+    power = {1: level}
+    best = np.where(level <= _WIDEST, len(SELECTORS) - 1, -1).astype(np.int8)
     for s in range(len(SELECTORS) - 2, -1, -1):  # from few wide ids to many narrow ones
         count, width = SELECTORS[s]
-        # running count of ids too wide among the next ``count`` (a block's end ends the run)
-        wide = np.concatenate(([0], np.cumsum(bits > width)))
-        stop = np.minimum(np.arange(n) + count, n)
-        ok = wide[stop] == wide[:-1]
-        ok &= np.arange(n) + count <= n
+        top = 1 << (count.bit_length() - 1)
+        while max(power) < top:
+            k = max(power)
+            power[2 * k] = np.maximum(power[k], ahead(power[k], k))
+        most = power[top] if top == count else np.maximum(power[top], ahead(power[top], count - top))
+        ok = most <= width
+        if not ok.any():
+            break  # a denser word fits only where this one does
         best[ok] = s
     return best
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, block word offsets, escapes) of ids below 2**32."""
-    words, offsets, escapes = [], [0], []
-    for b in range(0, len(ids), BLOCK):
-        w, e = _pack_block(ids[b : b + BLOCK].astype(np.uint64))
-        words.append(w)
-        escapes.append(e)
-        offsets.append(offsets[-1] + len(w))
-    none = np.zeros(0, dtype=np.uint64)
-    return np.concatenate(words or [none]), np.array(offsets, dtype=np.uint32), np.concatenate(escapes or [none]).astype(np.uint32)
-
-
-def _pack_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, block word offsets, escapes) of ids below 2**32; all blocks are packed side by side."""
     n = len(ids)
-    bits = np.zeros(n, dtype=np.int64)
-    for k in (0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 14, 19, 29):
-        bits += ids > (np.uint64(1) << np.uint64(k + 1)) - np.uint64(1)
-    level = np.array([w for _, w in SELECTORS[:13]] + [60])[np.minimum(bits, 13)]
-    escaped = level > _WIDEST
-    out, at, taken = [], 0, []
-    fits = _fits(np.where(escaped, 99, level)).tolist()
-    esc = escaped.tolist()
-    starts, kinds = [], []
-    while at < n:
-        if esc[at]:
-            run = at
-            while run < n and esc[run]:
-                run += 1
-            starts.append(at)
-            kinds.append(-(run - at))
-            at = run
-            continue
-        s = fits[at]
-        starts.append(at)
-        kinds.append(s)
-        at += SELECTORS[s][0]
-    starts_a, kinds_a = np.array(starts, dtype=np.int64), np.array(kinds, dtype=np.int64)
-    out = np.zeros(len(starts), dtype=np.uint64)
-    for s in np.unique(kinds_a[kinds_a >= 0]).tolist():
+    none = np.zeros(0, dtype=np.uint64)
+    if not n:
+        return none, np.zeros(1, dtype=np.uint32), none.astype(np.uint32)
+    blocks = -(-n // BLOCK)
+    level = np.full(blocks * BLOCK, 255, dtype=np.uint8)
+    level[:n] = _level(ids.astype(np.uint32))
+    best = _fits(level.reshape(blocks, BLOCK)).reshape(-1)
+    # ids a word takes from each position; an escape word takes the run of escapes up to the block's end
+    step = _COUNTS[np.maximum(best, 0)]
+    escaped = level == 99
+    if escaped.any():
+        edge = np.flatnonzero(~escaped | (np.arange(len(level)) % BLOCK == 0))
+        stop = np.append(edge, len(level))[np.searchsorted(edge, np.arange(len(level)), side="right")]
+        step = np.where(escaped, stop - np.arange(len(level)), step)
+    at, end = np.arange(blocks) * BLOCK, np.minimum((np.arange(blocks) + 1) * BLOCK, n)
+    first = np.zeros(blocks * BLOCK, dtype=bool)
+    while len(at):
+        first[at] = True
+        at = at + step[at]
+        live = at < end
+        at, end = at[live], end[live]
+    starts = np.flatnonzero(first)
+    kinds, low = best[starts], ids.astype(np.uint64)
+    words = np.zeros(len(starts), dtype=np.uint64)
+    for s in np.unique(kinds[kinds >= 0]).tolist():
         count, width = SELECTORS[s]
-        mine = np.flatnonzero(kinds_a == s)
-        got = ids[starts_a[mine][:, None] + np.arange(count)]
-        out[mine] = np.bitwise_or.reduce(got << (np.arange(count, dtype=np.uint64) * np.uint64(width)), axis=1) | np.uint64(s) << np.uint64(60)
-    for i in np.flatnonzero(kinds_a < 0).tolist():
-        out[i] = np.uint64(ESCAPE) << np.uint64(60) | np.uint64(-kinds_a[i])
-        taken.append(ids[starts_a[i] : starts_a[i] - kinds_a[i]])
-    return out, np.concatenate(taken) if taken else ids[:0]
+        mine = np.flatnonzero(kinds == s)
+        word = np.full(len(mine), s << 60, dtype=np.uint64)
+        for k in range(count):
+            word |= low[starts[mine] + k] << np.uint64(k * width)
+        words[mine] = word
+    runs = kinds < 0
+    words[runs] = np.uint64(ESCAPE << 60) | step[starts[runs]].astype(np.uint64)
+    offsets = np.searchsorted(starts, np.arange(blocks + 1) * BLOCK).astype(np.uint32)
+    return words, offsets, ids[escaped[:n]].astype(np.uint32)
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
@@ -144,66 +153,96 @@ class Encoder:
 
     The pre-tokenizer starts a new piece at every space between two other
     characters, so a text is the sequence of its space-led chunks, each encoded
-    alone; equal chunks are looked up. Texts where white space meets a space are
-    encoded whole.
+    alone; equal chunks are looked up. Texts with a chunk that is empty, starts or
+    ends with white space, or may hold a special token are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        import re
-
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.known = most, {}
+        #: Ids of chunks, of those used lately and of those before; None marks a chunk that has its text encoded whole.
+        self.most, self.known, self.older, self.heads = most, {}, {}, {}
         self.leads = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.leads[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
-        self.tricky = re.compile(r"\s\s|^ | $").search
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
-        cut = [None if self.tricky(t) or "<|" in t else t.split(" ") for t in texts]
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        new: dict[str, None] = {}
-        for parts in cut:
-            if parts is not None:
-                first = "\n" + parts[0]  # a key no other chunk has: a text's first chunk has no space before it
-                if first not in known:
-                    new[first] = None
-                for p in parts[1:]:
-                    if p not in known:
-                        new[p] = None
+        cut = [t.split(" ") for t in texts]
+        heads = [parts.pop(0) for parts in cut]
+        self._remember(set().union(*cut))
+        self._heads({h for h, parts in zip(heads, cut, strict=True) if not parts or self._plain_head(h)})
+        get, out, rest = self.known.__getitem__, [], []
+        for i, (head, parts) in enumerate(zip(heads, cut, strict=True)):
+            try:
+                out.append(b"".join([self.heads[head], *map(get, parts)]) if not parts or self._plain_head(head) else None)
+            except TypeError:  # a chunk marked None
+                out.append(None)
+            if out[-1] is None:
+                rest.append(i)
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    @staticmethod
+    def _plain_head(head: str) -> bool:
+        """Whether a text's first chunk may stand before a space."""
+        return head != "" and not head[-1].isspace() and "<|" not in head
+
+    def _heads(self, heads: set[str]) -> None:
+        if len(self.heads) > self.most // 8:
+            self.heads.clear()
+        new = [h for h in heads if h not in self.heads]
+        self.heads.update(zip(new, self.whole(new), strict=True))
+
+    def _remember(self, chunks: set[str]) -> None:
+        """Bring all chunks into ``known``; chunks not used for long are forgotten."""
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        new = chunks.difference(self.known)
+        if self.older and new:
+            for c in new.intersection(self.older):
+                self.known[c] = self.older[c]
+            new.difference_update(self.known)
         if new:
-            self._learn(list(new))
-        rest = iter(self.whole([t for t, parts in zip(texts, cut, strict=True) if parts is None]))
-        return [next(rest) if parts is None else b"".join([known["\n" + parts[0]], *map(known.__getitem__, parts[1:])]) for parts in cut]
+            self._learn(new)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks joined by their spaces: no other token starts with one, so the ids fall apart at those."""
+    def _learn(self, chunks: set[str]) -> None:
+        """Encode new chunks joined by spaces: no other token starts with one, so the ids fall apart at those."""
         known = self.known
-        heads = [c for c in chunks if c[0] == "\n"]
-        for c, ids in zip(heads, self.whole([c[1:] for c in heads]), strict=True):
-            known[c] = ids
+        plain = []
+        for c in chunks:
+            if c == "" or c[0].isspace() or c[-1].isspace() or "<|" in c:
+                known[c] = None
+            else:
+                plain.append(c)
         # "word," is "word" and ",": a comma or full stop that ends a chunk after a letter is a piece of its own
-        stems = {c: c[:-1] for c in chunks if len(c) > 2 and c[-1] in ".," and c[-2].isalpha() and c[0] != "\n"}
-        need = list(dict.fromkeys([c for c in chunks if c[0] != "\n" and c not in stems] + [s for s in stems.values() if s not in known]))
-        for at in range(0, len(need), 512):
-            part = need[at : at + 512]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, dtype="<u4")
+        stems = {c: c[:-1] for c in plain if len(c) > 2 and c[-1] in ".," and c[-2].isalpha()}
+        need = list(dict.fromkeys([c for c in plain if c not in stems] + [x for x in stems.values() if x not in known]))
+        groups = [need[at : at + 256] for at in range(0, len(need), 256)]
+        for part, coded in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, dtype="<u4")
             cut = [*np.flatnonzero(self.leads[ids]).tolist(), len(ids)]
             if len(cut) != len(part) + 1:
                 raise ValueError("a token starts with a space inside a chunk")
             raw = ids.tobytes()
-            for c, i, j in zip(part, cut, cut[1:]):
-                known[c] = raw[4 * i : 4 * j]
+            known.update((c, raw[4 * i : 4 * j]) for c, i, j in zip(part, cut, cut[1:], strict=False))
         if stems:
             ends = dict(zip(".,", self.whole([".", ","]), strict=True))
-            for c, s in stems.items():
-                known[c] = known[s] + ends[c[-1]]
+            known.update((c, known[x] + ends[c[-1]]) for c, x in stems.items())
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which outlives its tasks with all chunks it knows."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, page_bytes: int = 1 << 20) -> None:
@@ -218,45 +257,43 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     ordered = ordered.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "i").sortWithinPartitions("i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, page = Encoder(tokenizer), 0
+        coder, page, inside = encoder(tokenizer), 0, 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at, raw in slices(batch, "t", page_bytes):
-                got = [x + end for x in encoder.encode([r.decode() for r in raw])]
+                got = [x + end for x in coder.encode([r.decode() for r in raw])]
                 doc_ids = batch.column("i").slice(at, len(raw)).to_numpy(zero_copy_only=False)
                 before = np.cumsum([0, *(len(x) // 4 for x in got)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([page], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([int(before[-1])], pa.int64()), pa.array([to_page(doc_ids, before, np.frombuffer(b"".join(got), dtype="<u4"))], pa.binary())],
-                    ["page", "n_docs", "n_ids", "body"],
+                    [pa.array([page], pa.int64()), pa.array([inside], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([int(before[-1])], pa.int64()), pa.array([to_page(doc_ids, before, np.frombuffer(b"".join(got), dtype="<u4"))], pa.binary())],
+                    ["page", "inside", "n_docs", "n_ids", "body"],
                 )
-                page += 1
+                page, inside = page + 1, inside + int(before[-1])
+
+    pages = ordered.mapInArrow(run, "page long, inside long, n_docs long, n_ids long, body binary")
+    pages.select(F.spark_partition_id().alias("part"), "page", "inside", "n_docs", "n_ids", "body").write.mode("overwrite").option("compression", "none").parquet(path)
 
-    pages = ordered.mapInArrow(run, "page long, n_docs long, n_ids long, body binary")
-    pages.select(F.spark_partition_id().alias("part"), "page", "n_docs", "n_ids", "body").write.mode("overwrite").option("compression", "none").parquet(path)
+
+_PAGES = "part int, page long, inside long, n_docs long, n_ids long, body binary"
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) from the pages; ``start`` counts the ids of all documents before."""
-    pages = spark.read.schema("part int, page long, n_docs long, n_ids long, body binary").parquet(path)
+    pages = spark.read.schema(_PAGES).parquet(path)
     return _placed(pages).mapInArrow(_reader(False), "doc_id long, start long, ids array<long>")
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the pages."""
-    pages = spark.read.schema("part int, page long, n_docs long, n_ids long, body binary").parquet(path)
+    pages = spark.read.schema(_PAGES).parquet(path)
     return _placed(pages).mapInArrow(_reader(True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _placed(pages: DataFrame) -> DataFrame:
-    """Pages with the number of ids before them: a running sum inside each part, and one over the few parts."""
-    from pyspark.sql import Window
-
+    """Pages with the number of ids before them: those before in the part, which the page knows, and those of the parts before."""
     parts = pages.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a part
     base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    light = pages.select("part", "page", "n_ids")
-    inside = light.select("part", "page", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("page")) - F.col("n_ids")).alias("inside"))
-    place = inside.join(F.broadcast(base), "part").select("part", "page", (F.col("base") + F.col("inside")).alias("start"))
-    return pages.join(place, ["part", "page"]).select("start", "body")
+    return pages.join(F.broadcast(base), "part").select((F.col("base") + F.col("inside")).alias("start"), "body")
 
 
 def _reader(digest: bool):
