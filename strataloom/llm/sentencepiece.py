@@ -1,21 +1,25 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are split into units: a run of word marks (spaces) and what follows up to
-the next space. No piece of the model spans a unit, so every distinct unit is
-encoded once: its bounded-length substrings are exploded, joined with the piece
-table, grouped into the unit's edges, and folded with ``aggregate`` into piece
-ids. Documents are then assembled from the units' ids, common units from a
-broadcast table of bounded size, the others through a join.
+Texts are split into units wherever two neighbouring characters stand side by
+side in no piece of the model (so at every space), since no token can span such
+a place. Every distinct unit is encoded once: its bounded-length substrings are
+exploded, joined with the piece table, grouped into the unit's edges, and folded
+with ``aggregate``. Documents are then assembled from the units' ids, common
+units from a broadcast table of bounded size, the others through a join.
 
 The fold. The vocabulary at hand is a BPE model, whose encoding is the result of
 merging the best-ranked neighbouring pair again and again. A Viterbi path of
 largest total score is another segmentation (ranks are no log-probabilities),
-so for BPE models the fold carries the merge state over the same lattice; for
-unigram models it carries the Viterbi state. ``Vocabulary.kind`` chooses.
+so for BPE models the fold carries the merge state over the same lattice: the
+edges come by rank, the state is a bit per token bound, and an edge applies
+where exactly two tokens make it up. A merge may enable an edge of better rank
+that has passed already; the fold notices and gives the unit up (about one in
+some hundred), and a heap merges it. For unigram models the fold carries the
+Viterbi state. ``Vocabulary.kind`` chooses.
 
 Characters without a piece become byte pieces. Null and empty texts have no
-pieces. Units of more than ``LONG`` characters are merged with a heap instead of
-the fold (the fold's cost grows with the square of a unit's length); no text is cut.
+pieces. Units of more than ``LONG`` characters are merged with the heap (their
+bounds don't fit a long); no text is cut.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from .shared import slices, word_hashes, written
 
 MARK = "▁"
 #: Longest unit, in characters, that is folded in SQL.
-LONG = 48
+LONG = 60
 #: Most units whose ids are broadcast.
 COMMON_UNITS = 2_000_000
 
@@ -86,24 +90,47 @@ def _kind(p) -> str:
     return "bpe" if all(float(s).is_integer() for s in scores[:2000]) else "unigram"
 
 
-def unit_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, unit starts, unit ends, units before each text): marks are spaces, every non-empty text starts with one."""
-    mark = MARK.encode()
-    full = [b" " + (t.replace(mark, b" ") if mark in t else t) if t else b"" for t in texts]
-    data = np.frombuffer(b"".join(full), dtype=np.uint8)
-    edges = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum([len(t) for t in full], out=edges[1:])
-    space = data == 32
-    start = space.copy()
-    start[1:] &= ~space[:-1]
-    start[edges[:-1][np.diff(edges) > 0]] = True
-    starts = np.flatnonzero(start)
-    ends = np.append(starts[1:], len(data)) if len(starts) else starts
-    return data, starts, ends, np.searchsorted(starts, edges)
+@dataclass(frozen=True)
+class Splitter:
+    """Which neighbouring characters may belong to one token."""
+
+    kind_of: np.ndarray  # by code point below 65536; 0: in no piece of several characters
+    joins: np.ndarray
+
+    def spans(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, unit starts, unit ends, units before each text): marks are spaces, every non-empty text starts with one."""
+        mark = MARK.encode()
+        full = [b" " + (t.replace(mark, b" ") if mark in t else t) if t else b"" for t in texts]
+        raw = b"".join(full)
+        data = np.frombuffer(raw, dtype=np.uint8)
+        edges = np.zeros(len(texts) + 1, dtype=np.int64)
+        np.cumsum([len(t) for t in full], out=edges[1:])
+        at = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+        point = np.frombuffer(raw.decode().encode("utf-32-le"), dtype=np.uint32)
+        kind = np.where(point < 65536, self.kind_of[point & 0xFFFF], 0)
+        apart = np.ones(len(at), dtype=bool)
+        apart[1:] = ~self.joins[kind[:-1], kind[1:]]
+        apart[np.searchsorted(at, edges[:-1][np.diff(edges) > 0])] = True
+        starts = at[apart]
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        return data, starts, ends, np.searchsorted(starts, edges)
+
+
+def splitter(v: Vocabulary) -> Splitter:
+    long = [v.pieces[i].replace(MARK, " ") for i in v.normal if len(v.pieces[i]) > 1]
+    kinds = {c: k for k, c in enumerate(sorted({c for p in long for c in p if ord(c) < 65536}), 1)}
+    kind_of = np.zeros(65536, dtype=np.int32)
+    for c, k in kinds.items():
+        kind_of[ord(c)] = k
+    joins = np.zeros((len(kinds) + 1, len(kinds) + 1), dtype=bool)
+    for p in long:
+        for a, b in zip(p, p[1:], strict=False):
+            joins[kinds.get(a, 0), kinds.get(b, 0)] = True
+    return Splitter(kind_of, joins)
 
 
 def unit_hashes(units: list[str]) -> np.ndarray:
-    """The hash ``unit_spans`` and ``word_hashes`` give the same units inside a text."""
+    """The hash ``word_hashes`` gives the same units inside a text."""
     raw = [u.replace(MARK, " ").encode() for u in units]
     ends = np.cumsum([len(x) for x in raw])
     return word_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), ends - [len(x) for x in raw], ends) if raw else np.zeros(0, dtype=np.uint64)
@@ -143,113 +170,128 @@ def merge_ids(unit: str, ranks: dict[str, int], ids: dict[str, int], bytes_at: t
     return out
 
 
+def risky_pieces(v: Vocabulary) -> set[str]:
+    """Pieces whose making may enable a piece of better rank: one they begin or end, the rest being a token too."""
+    ranks, ids, out = v.ranks, v.ids, set()
+    for p, r in ranks.items():
+        for k in range(1, len(p)):
+            a, b = p[:k], p[k:]
+            if (len(a) == 1 or a in ids) and (len(b) == 1 or b in ids):
+                out.update(x for x in (a, b) if len(x) > 1 and ranks[x] > r)
+    return out
+
+
 def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
-    """(piece, pid, rank, score): bounded by the vocabulary."""
-    at, ranks = sorted(v.normal), v.ranks
-    rows = pd.DataFrame({"piece": [v.pieces[i] for i in at], "pid": at, "rank": [ranks[v.pieces[i]] for i in at], "score": [v.scores[i] for i in at]})
-    return spark.createDataFrame(rows, "piece string, pid int, rank int, score double")
+    """(piece, rank, score, risky) of pieces of several characters: bounded by the vocabulary."""
+    at, ranks, risky = [i for i in sorted(v.normal) if len(v.pieces[i]) > 1], v.ranks, risky_pieces(v)
+    rows = pd.DataFrame({"piece": [v.pieces[i] for i in at], "rank": [ranks[v.pieces[i]] for i in at], "score": [v.scores[i] for i in at], "risky": [v.pieces[i] in risky for i in at]})
+    return spark.createDataFrame(rows, "piece string, rank int, score double, risky boolean")
 
 
 def lattice(units: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(unit, freq, n, keys, pids, ranks, scores): the edges of each unit, key = start * 64 + end, in key order.
+    """(unit, freq, n, x): the edges of each unit by rank; none for a unit of one or of more than LONG characters.
 
-    Units come partitioned by unit and stay so: substrings are exploded and met
-    by the broadcast piece table in place, and grouped without another shuffle.
+    An edge from s to e has bits s and e in ``ends`` and the bits between in
+    ``mid``. Units come partitioned by unit and stay so: substrings are exploded
+    and met by the broadcast piece table in place, and grouped without a shuffle.
+    The first character goes along whether it is a piece or not, so that no unit
+    is lost.
     """
-    spans = units.withColumn("n", F.length("unit")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    spans = spans.withColumn("e", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("n"), F.col("s") + longest))))
-    edges = spans.select("unit", "freq", "n", (F.col("s") * 64 + F.col("e")).alias("key"), F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
-    met = edges.join(F.broadcast(table), "piece", "left").where("pid IS NOT NULL OR key = 1")
-    grouped = met.groupBy("unit").agg(F.first("n").alias("n"), F.first("freq").alias("freq"), F.sort_array(F.collect_list(F.when(F.col("pid").isNotNull(), F.struct("key", "pid", "rank", "score")))).alias("x"))
-    return grouped.select("unit", "freq", "n", F.col("x.key").alias("keys"), F.col("x.pid").alias("pids"), F.col("x.rank").alias("ranks"), F.col("x.score").alias("scores"))
+    short = f"n <= {LONG}"
+    spans = units.withColumn("n", F.length("unit")).withColumn("s", F.expr(f"explode(sequence(0, IF({short}, greatest(n - 2, 0), 0)))"))
+    spans = spans.withColumn("e", F.expr(f"explode(sequence(IF(s = 0, 1, s + 2), IF({short}, least(n, s + {longest}), 1)))"))
+    edges = spans.select("unit", "freq", "n", "s", "e", F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
+    met = edges.join(F.broadcast(table), "piece", "left").where("rank IS NOT NULL OR e = 1")
+    bit = lambda k: f"shiftleft(1L, {k})"
+    edge = F.struct("rank", "s", "e", "score", "risky", F.expr(f"{bit('s')} | {bit('e')}").alias("ends"), F.expr(f"{bit('e')} - {bit('s + 1')}").alias("mid"))
+    return met.groupBy("unit").agg(F.first("n").alias("n"), F.first("freq").alias("freq"), F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), edge))).alias("x"))
 
 
-def _pid(keys: Column, pids: Column, key: Column) -> Column:
-    """The entry of ``pids`` for an edge, null without one."""
-    return F.try_element_at(pids, F.nullif(F.array_position(keys, key), F.lit(0).cast("long")).cast("int"))
+def _applies(mask: str, edge: str) -> str:
+    """SQL: both ends are token bounds, and exactly one bound lies between."""
+    inside = f"({mask} & {edge}.mid)"
+    return f"({mask} & {edge}.ends) = {edge}.ends AND {inside} != 0 AND ({inside} & ({inside} - 1)) = 0"
 
 
-def _fold_bpe() -> Column:
-    """Token bounds of a unit: n - 1 times merge the neighbours whose piece has the best rank, leftmost first."""
+def fold_bpe() -> Column:
+    """The bit mask of a unit's token bounds, -1 where an edge was missed; edges come in the order of their ranks."""
+    merged = "(m & ~e.mid)"
+    missed = f"e.risky AND exists(x, y -> y.rank < e.rank AND {_applies(merged, 'y')})"
+    return F.expr(f"aggregate(x, shiftleft(1L, n + 1) - 1, (m, e) -> IF(m > 0 AND {_applies('m', 'e')}, IF({missed}, -1L, {merged}), m))")
 
-    def step(bounds: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(bounds) - 2), lambda i: _pid(F.col("keys"), F.col("ranks"), F.element_at(bounds, i) * 64 + F.element_at(bounds, i + 2)))
-        best = F.array_min(pairs)
-        at = F.array_position(pairs, best).cast("int")
-        merged = F.concat(F.slice(bounds, F.lit(1), at), F.slice(bounds, at + 2, F.size(bounds)))
-        return F.when(F.size(bounds) <= 2, bounds).otherwise(F.coalesce(merged, bounds))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), F.sequence(F.lit(0), F.col("n")), step)
-
-
-def _fold_viterbi(unknown_score: float) -> tuple[Column, Column]:
-    """Token bounds of the path of largest total score; a character without a piece costs ``unknown_score``."""
-    none = F.array(F.struct(F.lit(0.0).alias("v"), F.lit(-1).alias("p")))
+def fold_viterbi(v: Vocabulary) -> Column:
+    """The bit mask of the token bounds of the path of largest total score; a single character scores as its piece or as unknown."""
+    single = {p: v.scores[i] for p, i in v.ids.items() if len(p) == 1}
+    known = F.create_map(*(F.lit(x) for pair in single.items() for x in pair)) if single else F.create_map().cast("map<string,double>")
+    lone = lambda e: F.coalesce(F.try_element_at(known, F.substring(F.col("unit"), e, F.lit(1))), F.lit(min(v.scores) - 10.0))
+    start = F.array(F.struct(F.lit(0.0).alias("v"), F.lit(1).cast("long").alias("m")))
 
     def step(state: Column, e: Column) -> Column:
-        options = F.transform(
-            F.filter(F.arrays_zip("keys", "scores"), lambda x: x["keys"] % 64 == e),
-            lambda x: F.struct((F.element_at(state, (x["keys"] / 64).cast("int") + 1)["v"] + x["scores"]).alias("v"), (x["keys"] / 64).cast("int").alias("p")),
-        )
-        plain = F.struct((F.element_at(state, e)["v"] + unknown_score).alias("v"), (e - 1).alias("p"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), e)
+        options = F.transform(F.filter(F.col("x"), lambda x: x["e"] == e), lambda x: F.struct((F.element_at(state, x["s"] + 1)["v"] + x["score"]).alias("v"), F.element_at(state, x["s"] + 1)["m"].bitwiseOR(bit).alias("m")))
+        plain = F.struct((F.element_at(state, e)["v"] + lone(e)).alias("v"), F.element_at(state, e)["m"].bitwiseOR(bit).alias("m"))
         return F.concat(state, F.array(F.array_max(F.concat(options, F.array(plain)))))
 
-    best = F.aggregate(F.sequence(F.lit(1), F.col("n")), none, step)
-    back = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array(F.col("n")), lambda acc, _: F.when(F.element_at(acc, 1) == 0, acc).otherwise(F.concat(F.array(F.element_at(F.col("best"), F.element_at(acc, 1) + 1)["p"]), acc)))
-    return best, back
-
-
-def encode_units(units: DataFrame, v: Vocabulary) -> DataFrame:
-    """(unit, freq, ids) of distinct (unit, freq) of at most LONG characters, by the lattice and the fold."""
-    net = lattice(units, piece_table(units.sparkSession, v), v.longest)
-    if v.kind == "bpe":
-        cut = net.withColumn("bounds", _fold_bpe())
-    else:
-        best, back = _fold_viterbi(min(v.scores) - 10.0)
-        cut = net.withColumn("best", best).withColumn("bounds", back)
-    bytes_at = F.array(*(F.lit(b) for b in v.bytes_at))
+    return F.element_at(F.aggregate(F.sequence(F.lit(1), F.col("n")), start, step), -1)["m"]
 
-    def ids(i: Column) -> Column:
-        s, e = F.element_at(F.col("bounds"), i), F.element_at(F.col("bounds"), i + 1)
-        raw = F.hex(F.substring("unit", s + 1, e - s).cast("binary"))
-        single = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda k: F.element_at(bytes_at, F.conv(F.substring(raw, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1))
-        pid = _pid(F.col("keys"), F.col("pids"), s * 64 + e)
-        return F.when(pid.isNotNull(), F.array(pid)).otherwise(single)
 
-    return cut.select("unit", "freq", F.flatten(F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), ids)).alias("ids"))
+def count_units(docs: DataFrame, split: Splitter, most: int = 1_000_000) -> DataFrame:
+    """(unit, freq) over whole texts; equal units are counted before they leave a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, names = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object)
 
-def count_units(docs: DataFrame) -> DataFrame:
-    """(unit, freq) over whole texts; equal units of a slice are counted before they leave it."""
+        def rows() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + (1 << 16)], pa.string()), pa.array(counts[at : at + (1 << 16)])], ["unit", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in slices(batch, "t", 2 << 20):
-                data, starts, ends, _ = unit_spans(texts)
-                if len(starts):
-                    _, at, n = np.unique(word_hashes(data, starts, ends), return_index=True, return_counts=True)
-                    raw = data.tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([raw[s:e].decode().replace(" ", MARK) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.string()), pa.array(n.astype(np.int64))], ["unit", "n"])
+            for _, texts in slices(batch, "t", 4 << 20):
+                data, starts, ends, _ = split.spans(texts)
+                h, at, n = np.unique(word_hashes(data, starts, ends), return_index=True, return_counts=True)
+                place = _find(keys, h)
+                np.add.at(counts, place[place >= 0], n[place >= 0])
+                new = place < 0
+                raw = data.tobytes()
+                fresh = np.array([raw[s:e].decode().replace(" ", MARK) for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)], dtype=object)
+                slot = np.searchsorted(keys, h[new])
+                keys, counts, names = np.insert(keys, slot, h[new]), np.insert(counts, slot, n[new]), np.insert(names, slot, fresh)
+                if len(keys) > most:
+                    yield from rows()
+                    keys, counts, names = keys[:0], counts[:0], names[:0]
+        yield from rows()
 
     return docs.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("freq"))
 
 
-def unit_table(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """(h, unit, freq, ids) of every distinct unit, as a written table."""
-    units = count_units(docs)
-    ranks, ids = v.ranks, v.ids
+def unit_table(docs: DataFrame, v: Vocabulary, split: Splitter) -> DataFrame:
+    """(h, freq, ids) of every distinct unit, as a written table.
 
-    def tall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("freq"), pa.array([merge_ids(u, ranks, ids, v.bytes_at) for u in batch.column("unit").to_pylist()], pa.list_(pa.int32()))], ["unit", "freq", "ids"])
+    Units come from the fold as bit masks; the pieces between the bounds get their ids.
+    """
+    units = count_units(docs, split)
+    net = lattice(units, piece_table(docs.sparkSession, v), v.longest)
+    folded = net.select("unit", "freq", F.when(F.col("n") <= LONG, fold_bpe() if v.kind == "bpe" else fold_viterbi(v)).alias("mask"))
+    ranks, ids = v.ranks, v.ids
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(unit: str, mask: int | None) -> list[int]:
+        if mask is None or mask < 0:
+            return merge_ids(unit, ranks, ids, v.bytes_at)
+        bounds = [k for k in range(len(unit) + 1) if mask >> k & 1]
+        out: list[int] = []
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            piece = unit[s:e]
+            out += [ids[piece]] if piece in ids else [v.bytes_at[b] for b in piece.encode()]
+        return out
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(unit_hashes(batch.column("unit").to_pylist()).view(np.int64)), *batch.columns], ["h", "unit", "freq", "ids"])
+            own = batch.column("unit").to_pylist()
+            lists = [pieces(u, m) for u, m in zip(own, batch.column("mask").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(unit_hashes(own).view(np.int64)), batch.column("freq"), pa.array(lists, pa.list_(pa.int32()))], ["h", "freq", "ids"])
 
-    short = encode_units(units.where(F.length("unit") <= LONG), v)
-    long = units.where(F.length("unit") > LONG).mapInArrow(tall, "unit string, freq long, ids array<int>")
-    return written(short.union(long).mapInArrow(hashed, "h long, unit string, freq long, ids array<int>"), "units")
+    return written(folded.mapInArrow(named, "h long, freq long, ids array<int>"), "units")
 
 
 def common_units(table: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -297,14 +339,15 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS) -> DataFram
     back to the document in a join on ``doc_id``.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
-    table = unit_table(texts.select("t"), v)
+    split = splitter(v)
+    table = unit_table(texts.select("t"), v, split)
     held = docs.sparkSession.sparkContext.broadcast(common_units(table, most))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, keys, _, _ = held.value
         for batch in batches:
             for at, part in slices(batch, "t"):
-                data, starts, ends, first = unit_spans(part)
+                data, starts, ends, first = split.spans(part)
                 h = word_hashes(data, starts, ends)
                 out = np.flatnonzero(_find(keys, h) < 0)
                 if not len(out):
@@ -317,7 +360,7 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS) -> DataFram
         _, keys, offsets, flat = held.value
         for batch in batches:
             for at, part in slices(batch, "_t"):
-                data, starts, ends, first = unit_spans(part)
+                data, starts, ends, first = split.spans(part)
                 h = word_hashes(data, starts, ends)
                 place = _find(keys, h)
                 rows = batch.column("_rare").slice(at, len(part))
