@@ -20,3 +20,7 @@ def register(sql: str | None = None):
         return f
 
     return add
+
+
+# The modules below fill the catalogue when they are imported.
+from . import knowledge, retrieval, text  # noqa: E402, F401
