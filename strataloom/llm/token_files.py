@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -158,7 +157,7 @@ class Encoder:
     ends with white space, or may hold a special token are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -174,17 +173,15 @@ class Encoder:
         """Little-endian u32 ids of each text."""
         cut = [t.split(" ") for t in texts]
         heads = [parts.pop(0) for parts in cut]
-        flat = list(chain.from_iterable(cut))
-        local = self._ids(list(dict.fromkeys(flat)))  # the large table is asked once per chunk, the small one stays in the cache
-        coded = list(map(local.__getitem__, flat))
+        self._remember(set().union(*cut))
         self._heads({h for h, parts in zip(heads, cut, strict=True) if not parts or self._plain_head(h)})
-        out, rest, at = [], [], 0
+        get, out, rest = self.known.__getitem__, [], []
         for i, (head, parts) in enumerate(zip(heads, cut, strict=True)):
-            own, at = coded[at : at + len(parts)], at + len(parts)
-            if (not parts or self._plain_head(head)) and None not in own:
-                out.append(b"".join([self.heads[head], *own]))
-            else:
-                out.append(b"")
+            try:
+                out.append(b"".join([self.heads[head], *map(get, parts)]) if not parts or self._plain_head(head) else None)
+            except TypeError:  # a chunk marked None
+                out.append(None)
+            if out[-1] is None:
                 rest.append(i)
         for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
             out[i] = ids
@@ -201,18 +198,17 @@ class Encoder:
         new = [h for h in heads if h not in self.heads]
         self.heads.update(zip(new, self.whole(new), strict=True))
 
-    def _ids(self, chunks: list[str]) -> dict[str, bytes | None]:
-        """The ids of distinct chunks; chunks not used for long are forgotten."""
+    def _remember(self, chunks: set[str]) -> None:
+        """Bring all chunks into ``known``; chunks not used for long are forgotten."""
         if len(self.known) > self.most:
             self.older, self.known = self.known, {}
-        found = dict(zip(chunks, map(self.known.get, chunks, repeat(False)), strict=True))
-        new = {c for c, ids in found.items() if ids is False}
-        if new:
+        new = chunks.difference(self.known)
+        if self.older and new:
             for c in new.intersection(self.older):
                 self.known[c] = self.older[c]
-            self._learn(new.difference(self.older))
-            found.update((c, self.known[c]) for c in new)
-        return found
+            new.difference_update(self.known)
+        if new:
+            self._learn(new)
 
     def _learn(self, chunks: set[str]) -> None:
         """Encode new chunks joined by spaces: no other token starts with one, so the ids fall apart at those."""
