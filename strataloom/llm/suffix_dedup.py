@@ -44,6 +44,8 @@ from .shared import _BYTE_CODE, mix, powers, slices, written
 LENGTH = 50
 #: Bytes of text whose entries are sorted and reduced together before they leave a task.
 HELD = 24 << 20
+#: Rows that a task unpacks and sorts at once.
+MET = 3_000_000
 _K1, _K2, _K3 = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
 _H_MASK = np.uint64((1 << 48) - 1)
 _C_MASK = np.uint64((1 << 40) - 1)
@@ -263,45 +265,59 @@ def _window_entries(parts: int, length: int):
     return run
 
 
+def _folds(bodies: list[bytes], kinds: str, of) -> Iterator[list[np.ndarray]]:
+    """The columns of many bodies, at most about MET rows at a time; rows that ``of`` maps to one number stay together."""
+    total = sum(int.from_bytes(b[:4], "little") for b in bodies)
+    folds = np.uint64(-(-total // MET))
+    for f in range(int(folds)):
+        parts = [unpack_columns(b, kinds) for b in bodies] if folds == 1 else None
+        if parts is None:
+            parts = []
+            for b in bodies:
+                columns = unpack_columns(b, kinds)
+                mine = of(columns) % folds == np.uint64(f)
+                parts.append([x[mine] for x in columns])
+        yield [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 def _settle(parts: int, length: int, refine: bool):
-    """Entries meet by bucket, part after part; spans of earlier steps pass. Open spans come out if ``refine``."""
-
-    def one(bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(x) for x in zip(*(unpack_columns(b, ENTRY) for b in bodies), strict=True)]
-        _, (h, _, doc, nth, at, more, settled) = _reduced(*columns, length)
-        yield from _spans(doc[settled], nth[settled], at[settled], (at + more + length)[settled], False, parts)
-        if refine:
-            left = np.flatnonzero(~settled)  # the first documents of all refined buckets
-            bucket = np.cumsum(np.concatenate(([0], (h[left][1:] != h[left][:-1]).astype(np.int64))))
-            low, high = np.full(bucket[-1] + 1, np.iinfo(np.int64).max), np.full(bucket[-1] + 1, np.iinfo(np.int64).min)
-            np.minimum.at(low, bucket, doc[left])
-            np.maximum.at(high, bucket, doc[left])
-            open_ = left[(low < high)[bucket]]
-            yield from _spans(doc[open_], nth[open_], at[open_], (at + more + length)[open_], True, parts)
+    """Entries meet by bucket; spans of earlier steps pass. Open spans come out if ``refine``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
+        bodies, spans = [], []
         for batch in batches:
-            for p, kind, body in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "body")), strict=True):
-                if p != part:
-                    if held:
-                        yield from one(held)
-                    part, held = p, []
-                if kind:
-                    yield _rows([(p, kind, body)])
-                else:
-                    held.append(body)
-        if held:
-            yield from one(held)
+            for kind, body in zip(batch.column("kind").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                (spans if kind else bodies).append(body)
+        shut, opened = list(spans), []
+        for columns in _folds(bodies, ENTRY, lambda x: mix(x[0])):
+            if not len(columns[0]):
+                continue
+            _, (h, _, doc, nth, at, more, settled) = _reduced(*columns, length)
+            if settled.any():
+                d, n, s, e = _merged(doc[settled], nth[settled], at[settled], (at + more + length)[settled])
+                shut.append(pack_columns(d, n, s, e, np.zeros(len(d), dtype=np.int64)))
+            if refine:
+                left = np.flatnonzero(~settled)  # the first documents of all refined buckets
+                bucket = np.cumsum(np.concatenate(([0], (h[left][1:] != h[left][:-1]).astype(np.int64))))
+                low, high = np.full(bucket[-1] + 1, np.iinfo(np.int64).max), np.full(bucket[-1] + 1, np.iinfo(np.int64).min)
+                np.minimum.at(low, bucket, doc[left])
+                np.maximum.at(high, bucket, doc[left])
+                open_ = left[(low < high)[bucket]]
+                if len(open_):
+                    opened.append(pack_columns(doc[open_], nth[open_], at[open_], (at + more + length)[open_], np.ones(len(open_), dtype=np.int64)))
+        for columns in _folds(shut, SPAN, lambda x: mix(x[0].astype(np.uint64))):
+            yield from _spans(*columns[:4], False, parts)
+        for columns in _folds(opened, SPAN, lambda x: mix(x[0].astype(np.uint64))):
+            yield from _spans(*columns[:4], True, parts)
 
     return run
 
 
 def _by_document():
-    """(i, k, spans, open) of each document; part after part."""
+    """(i, k, spans, open) of each document."""
 
-    def one(bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
-        doc, nth, start, end, open_ = (np.concatenate(x) for x in zip(*(unpack_columns(b, SPAN) for b in bodies), strict=True))
+    def one(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, nth, start, end, open_ = columns
         shut = open_ == 0
         found: dict[tuple[int, int], list[bytes | None]] = {}
         for j, (d, n, s, e) in enumerate((_merged(doc[shut], nth[shut], start[shut], end[shut]), tuple(x[~shut] for x in (doc, nth, start, end)))):
@@ -318,25 +334,18 @@ def _by_document():
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
-        for batch in batches:
-            for p, body in zip(batch.column("part").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                if p != part and held:
-                    yield from one(held)
-                    held = []
-                part = p
-                held.append(body)
-        if held:
-            yield from one(held)
+        bodies = [x for batch in batches for x in batch.column("body").to_pylist()]
+        for columns in _folds(bodies, SPAN, lambda x: mix(x[0].astype(np.uint64))):
+            if len(columns[0]):
+                yield from one(columns)
 
     return run
 
 
 def _resolved(entries: DataFrame, parts: int, length: int, refine: bool, name: str) -> DataFrame:
     """Entries to (i, k, spans, open) rows of documents, through two exchanges of packed columns."""
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = entries.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_settle(parts, length, refine), _ROWS)
-    back = met.repartition(n, "part").sortWithinPartitions("part")
+    met = entries.repartitionById(parts, "part").mapInArrow(_settle(parts, length, refine), _ROWS)
+    back = met.repartitionById(parts, "part")
     return written(back.mapInArrow(_by_document(), "i long, k int, spans binary, open binary"), name)
 
 
@@ -360,7 +369,7 @@ def _sweep(spark: SparkSession) -> None:
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(i, k, spans): byte spans of (i, k, t) that hold a string of a smaller document, as packed (start, end)."""
     spark = rows.sparkSession
-    parts = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = rows.where(F.octet_length("t") >= length)
     found = _resolved(long.mapInArrow(_anchor_entries(parts, length), _ROWS), parts, length, True, "anchors")
     _sweep(spark)
