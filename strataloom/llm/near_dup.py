@@ -9,10 +9,10 @@ probability 1e-4, a pair at 0.9 with 1e-8.
 Equal shingle sets are one class, so copies never meet each other. Inside a
 table's bucket members are linked to one head only (a star), found first within
 blocks, then across them, so a bucket sends one row per block. Candidates are
-verified on both full sets. Buckets whose members the stars left in different
-components are then looked through whole: every pair of mates in different
-components is ruled out by a bound on what the sets can share, or verified; no
-candidate is capped.
+verified on both full sets. Families of bucket mates that the stars left in
+different components are then looked through whole, in blocks of bounded size:
+every pair in different components is compared on its full sets; no candidate is
+capped, and no pair is emitted but the links found.
 
 Words are runs of bytes outside ASCII white space, in lower case (A-Z). A text
 with fewer words than a shingle has one shingle, the whole sequence; a text
@@ -37,6 +37,8 @@ from .shared import mix, slices, trim, window_hashes, word_hashes, words, writte
 
 #: Classes whose bucket keys a task holds at once.
 BLOCK = 16384
+#: Documents of a family that are compared in one block, and shared shingles of a block that are compared at once.
+MEMBERS, COLUMNS = 1024, 1 << 16
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64)
 
 
@@ -201,113 +203,128 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def shared_sizes(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, u): how many of a document's shingles no other document of ``ids`` holds (rows with none are absent)."""
-    texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")), "i", ids, "id")
+def _linked(sets: list[np.ndarray], roots: np.ndarray, probe: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of set numbers that reach the similarity, enough to join all components they join; one of each is a probe."""
+    sizes = np.array([len(x) for x in sets])
+    _, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.flatnonzero(times > 1)
+    common = np.zeros((len(sets), len(sets)), dtype=np.int32)
+    column = np.full(len(times), -1)
+    for at in range(0, len(shared), COLUMNS):  # a bit matrix of sets and shared shingles, some columns at a time
+        part = shared[at : at + COLUMNS]
+        column[:] = -1
+        column[part] = np.arange(len(part))
+        here = column[inverse] >= 0
+        dense = np.zeros((len(sets), -(-len(part) // 64) * 64), dtype=bool)
+        dense[own[here], column[inverse[here]]] = True
+        bits = np.packbits(dense, axis=1).view(np.uint64)
+        for i in np.flatnonzero(probe).tolist():
+            common[i] += np.bitwise_count(bits & bits[i]).sum(axis=1, dtype=np.int32)
+    root = {int(r): int(r) for r in roots}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i in np.flatnonzero(probe).tolist():
+        near = np.flatnonzero(100 * common[i].astype(np.int64) >= percent * (sizes[i] + sizes - common[i]))
+        for j in near.tolist():
+            a, b = find(int(roots[i])), find(int(roots[j]))
+            if a != b:
+                root[a] = b
+                out.append((i, j))
+    return out
+
+
+def block_links(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links between components among the (family, block, id, root, probe) rows of each block, by full sets.
+
+    A block holds a bounded number of members; a probe is held against all of
+    them. Only links that join components come out.
+    """
+    texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")), "i", members, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, int, bool]] = {}
+        key = None
+
+        def links() -> Iterator[pa.RecordBatch]:
+            ids = list(held)
+            roots, probe = np.array([held[i][1] for i in ids]), np.array([held[i][2] for i in ids])
+            if len(ids) > 1 and roots.min() != roots.max() and probe.any():
+                found = _linked([held[i][0] for i in ids], roots, probe, percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([min(ids[i], ids[j]) for i, j in found], pa.int64()), pa.array([max(ids[i], ids[j]) for i, j in found], pa.int64())], ["a", "b"])
+            held.clear()
+
         for batch in batches:
             for at, raw in slices(batch, "t"):
-                sets = shingle_sets(raw, size)
-                own = np.repeat(batch.column("i").slice(at, len(raw)).to_numpy(zero_copy_only=False), [len(s) for s in sets])
-                flat = np.concatenate(sets).view(np.int64)
-                for s in range(0, len(flat), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[s : s + (1 << 16)]), pa.array(flat[s : s + (1 << 16)])], ["i", "s"])
-
-    met = texts.join(ids, F.col("i") == F.col("id")).select("i", "t").mapInArrow(run, "i long, s long")
-    single = met.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.first("i").alias("id")).where("n = 1")
-    return single.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-
-
-def cross_candidates(docs: DataFrame, classes: DataFrame, stars: DataFrame, labels: DataFrame, size: int, collections: int, width: int, percent: int, agree: int) -> DataFrame | None:
-    """All bucket mates in different components that may reach the similarity, or None if there are none.
-
-    Two sets of n and m shingles, of which k and l occur in any other set at all,
-    share at most min(k, l); so whole groups of mates with equal component, n and
-    k are ruled out at once for a member. A bucket is never met pair by pair: its
-    groups come first, then its members pass and are held against the groups; only
-    members of other components than the bucket's largest one can matter. Pairs
-    are made for what is left, and dropped if their signatures agree too little.
-    """
-    hashes = collections * width
+                part = batch.slice(at, len(raw))
+                rows = zip(*(part.column(c).to_pylist() for c in ("family", "block", "id", "root", "probe")), shingle_sets(raw, size), strict=True)
+                for family, block, ident, root, probe, own in rows:
+                    if (family, block) != key:
+                        yield from links()
+                        key = (family, block)
+                    held[ident] = (own, root, probe)
+        yield from links()
+        trim()
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                if part.num_rows:
-                    keys, ids = _keyed(part, collections, width)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), *(part.column(c).take(pa.array(np.repeat(np.arange(part.num_rows), len(keys) // part.num_rows))) for c in ("root", "n"))], ["key", "id", "root", "n"])
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, groups, table, most = None, [], None, 0
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, role, ident, root, n, shared, times = row
-                if k != key:
-                    key, groups, table = k, [], None
-                if role == 0:
-                    groups.append((root, n, shared, times))
-                    continue
-                if table is None:
-                    table = np.array(groups, dtype=np.int64)
-                    roots, inverse = np.unique(table[:, 0], return_inverse=True)
-                    most = int(roots[np.bincount(inverse, table[:, 3]).argmax()])
-                if root == most:
-                    continue
-                common = np.minimum(shared, table[:, 2])
-                ok = (table[:, 0] != root) & (100 * common >= percent * (n + table[:, 1] - common))
-                out += [(k, ident, int(r), int(m), int(s)) for r, m, s, _ in table[ok].tolist()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["key", "x", "r", "m", "s"])
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, hashes) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= agree))
-
-    met = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
-    known = classes.join(met, "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n_shingles").alias("n"), "sig", F.coalesce("root", "doc_id").alias("root"))
-    rows = known.mapInArrow(keyed, "key long, id long, root long, n long")
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    mixed = written(mixed, "mixed")
-    if not mixed.take(1):
-        return None
-    members = written(maybe_in(rows, "key", mixed, "key").join(mixed, "key"), "members")
-    ids = written(members.select("id").distinct(), "open_ids")
-    shared = written(shared_sizes(docs, ids, size), "shared")
-    members = written(members.join(shared, "id", "left").withColumn("k", F.col("n") - F.coalesce("u", F.lit(0))).where(f"100 * k >= {percent} * n").drop("u"), "members_k")
-    groups = members.groupBy("key", "root", "n", "k").agg(F.count(F.lit(1)).alias("times"))
-    fed = groups.select("key", F.lit(0).alias("role"), F.lit(0).cast("long").alias("id"), "root", "n", "k", "times").union(members.select("key", F.lit(1).alias("role"), "id", "root", "n", "k", F.lit(0).cast("long")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = written(fed.repartition(parts, "key").sortWithinPartitions("key", "role").mapInArrow(test, "key long, x long, r long, m long, s long"), "left")
-    if not left.take(1):
-        return None
-    mates = members.select("key", F.col("root").alias("r"), F.col("n").alias("m"), F.col("k").alias("s"), F.col("id").alias("y"))
-    raw = left.join(mates, ["key", "r", "m", "s"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    side = lambda c: classes.select(F.col("doc_id").alias(c), F.col("sig").alias(f"s{c}"))
-    return raw.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(likely, "a long, b long").join(stars, ["a", "b"], "left_anti")
-
-
-def classes_of(docs: DataFrame, size: int = 5, percent: int = 80, collections: int = 12, width: int = 2, agree: int = 9) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
-
-    ``agree``: signature values (of collections * width) that second-round pairs
-    must share; at similarity 0.8 a pair has fewer than 9 of 24 with probability 4e-6.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = members.join(texts, members["id"] == texts["i"]).select("family", "block", "id", "root", "probe", "t")
+    return met.repartition(n, "family", "block").sortWithinPartitions("family", "block").mapInArrow(run, "a long, b long")
+
+
+def family_links(docs: DataFrame, classes: DataFrame, stars: DataFrame, links: DataFrame, labels: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) completed inside families: documents that buckets connect, whether they are similar or not.
+
+    Every pair of bucket mates lies in one family. Families whose members are in
+    one component already are done. Others are cut into blocks of MEMBERS
+    documents, in which all components are held against each other; then the
+    members outside a family's largest component go to its other blocks as
+    probes. So every pair in different components is compared on its full sets,
+    and nothing but the links found is emitted.
     """
+    families = components(stars)
+    rows = classes.select("doc_id").join(families.select("node", F.col("root").alias("family")), F.col("doc_id") == F.col("node")).select(F.col("doc_id").alias("id"), "family")
+    rows = written(rows, "families")
+
+    def mixed(labels: DataFrame) -> DataFrame:
+        known = rows.join(labels, rows["id"] == labels["node"], "left").select("id", "family", F.coalesce("root", "id").alias("root"))
+        sizes = known.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.max_by("root", "n").alias("most"), F.max("n").alias("in_most"))
+        open_ = sizes.where("k > 1").withColumn("blocks", F.ceil(F.col("n") / MEMBERS).cast("int"))
+        return known.join(open_.select("family", "blocks", "most", F.ceil((F.col("n") - F.col("in_most")) / MEMBERS).cast("int").alias("groups")), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    first = written(mixed(labels), "open_families")
+    if not first.take(1):
+        return links, labels
+    links = links.union(written(block_links(first.withColumn("probe", F.lit(True)), docs, size, percent), "family_links"))
+    labels = written(components(links), "labels2")
+    large = written(mixed(labels).where("blocks > 1"), "large_families")
+    if not large.take(1):
+        return links, labels
+    # a block meets the probes in groups that are as bounded as itself
+    held = large.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    probes = large.where("root != most").withColumn("group", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("groups")).cast("int"))
+    probes = probes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
+    place = lambda block: (F.col(block) * F.col("groups") + F.col("group")).alias("block")
+    both = held.select("family", place("block"), "id", "root", F.lit(False).alias("probe")).union(probes.select("family", place("other"), "id", "root", F.lit(True)))
+    links = links.union(written(block_links(both, docs, size, percent), "probe_links"))
+    return links, written(components(links), "labels3")
+
+
+def classes_of(docs: DataFrame, size: int = 5, percent: int = 80, collections: int = 12, width: int = 2) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
     profile = written(profiles(docs, size, collections * width), "profiles")
     whole = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(whole.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
     stars = written(star_candidates(classes, collections, width), "stars")
     links = written(verified(docs, stars, size, percent), "links")
     labels = written(components(links), "labels")
-    more = cross_candidates(docs, classes, stars, labels, size, collections, width, percent, agree)
-    if more is not None:
-        more = written(more, "cross")
-        if more.take(1):
-            labels = written(components(links.union(written(verified(docs, more, size, percent), "cross_links"))), "labels2")
+    links, labels = family_links(docs, classes, stars, links, labels, size, percent)
     rep = classes.where("n > 1").select(F.col("fp").alias("_fp"), F.col("doc_id").alias("rep"))
     out = profile.join(rep, profile["fp"] == rep["_fp"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(labels, out["rep"] == labels["node"], "left")
