@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ MARK = "▁"
 #: Longest unit, in characters, that is folded in SQL.
 LONG = 60
 #: Most units whose ids are broadcast.
-COMMON_UNITS = 2_000_000
+COMMON_UNITS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -183,6 +182,8 @@ def risky_pieces(v: Vocabulary) -> set[str]:
 
 def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
     """(piece, rank, score, risky) of pieces of several characters: bounded by the vocabulary."""
+    import pandas as pd  # here, so that workers don't load it
+
     at, ranks, risky = [i for i in sorted(v.normal) if len(v.pieces[i]) > 1], v.ranks, risky_pieces(v)
     rows = pd.DataFrame({"piece": [v.pieces[i] for i in at], "rank": [ranks[v.pieces[i]] for i in at], "score": [v.scores[i] for i in at], "risky": [v.pieces[i] in risky for i in at]})
     return spark.createDataFrame(rows, "piece string, rank int, score double, risky boolean")
@@ -247,7 +248,7 @@ def count_units(docs: DataFrame, split: Splitter, most: int = 1_000_000) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(names[at : at + (1 << 16)], pa.string()), pa.array(counts[at : at + (1 << 16)])], ["unit", "n"])
 
         for batch in batches:
-            for _, texts in slices(batch, "t", 4 << 20):
+            for _, texts in slices(batch, "t", 1 << 20):
                 data, starts, ends, _ = split.spans(texts)
                 h, at, n = np.unique(word_hashes(data, starts, ends), return_index=True, return_counts=True)
                 place = _find(keys, h)
@@ -294,27 +295,55 @@ def unit_table(docs: DataFrame, v: Vocabulary, split: Splitter) -> DataFrame:
     return written(folded.mapInArrow(named, "h long, freq long, ids array<int>"), "units")
 
 
-def common_units(table: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(least count, hashes in order, offsets, ids) of the most frequent units, at most ``most`` of them."""
+@dataclass(frozen=True)
+class UnitIds:
+    """Ids of units by sorted hash, with the first place of every run of leading hash bits."""
+
+    least: int  # units seen less often are not here
+    keys: np.ndarray  # and one more entry
+    first: np.ndarray
+    offsets: np.ndarray
+    flat: np.ndarray
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if absent."""
+        out = np.full(len(h), -1)
+        last = len(self.keys) - 1
+        at = self.first[(h >> np.uint64(64 - (len(self.first).bit_length() - 1))).astype(np.int64)].astype(np.int64)
+        open_ = np.arange(len(h))
+        while len(open_):
+            key = self.keys[at]
+            hit = (key == h) & (at < last)
+            out[open_[hit]] = at[hit]
+            go = (key < h) & (at < last)
+            open_, at, h = open_[go], at[go] + 1, h[go]
+        return out
+
+
+def common_units(table: DataFrame, most: int) -> UnitIds:
+    """The most frequent units, at most ``most`` of them; all of them have ``least`` 0."""
     by_count = table.groupBy("freq").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("freq").desc())
-    total, least = 0, None
+    total, least = 0, 1 << 62
     for row in by_count.toLocalIterator():
         total += row["n"]
         if total > most:
             break
         least = row["freq"]
-    if least is None:
-        return 1 << 62, np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+    else:
+        least = 0
     got = table.where(F.col("freq") >= least).select("h", "ids").toArrow()
     h = got.column("h").to_numpy().view(np.uint64)
     lists = got.column("ids").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
+    bounds = lists.offsets.to_numpy()
     flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int32)
-    at = lists.offsets.to_numpy()[:-1]
     order = np.argsort(h)
+    sizes = np.diff(bounds)[order]
     offsets = np.zeros(len(h) + 1, dtype=np.int64)
-    np.cumsum(sizes[order], out=offsets[1:])
-    return least, h[order], offsets, flat[_ranges(at[order], sizes[order])]
+    np.cumsum(sizes, out=offsets[1:])
+    keys = h[order]
+    bits = max(1, len(keys).bit_length())
+    first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+    return UnitIds(least, np.append(keys, np.uint64(0)), first, offsets, flat[_ranges(bounds[:-1][order], sizes)])
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -341,15 +370,16 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS) -> DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
     split = splitter(v)
     table = unit_table(texts.select("t"), v, split)
-    held = docs.sparkSession.sparkContext.broadcast(common_units(table, most))
+    common = common_units(table, most)
+    held, least = docs.sparkSession.sparkContext.broadcast(common), common.least
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, keys, _, _ = held.value
+        known = held.value
         for batch in batches:
             for at, part in slices(batch, "t"):
                 data, starts, ends, first = split.spans(part)
                 h = word_hashes(data, starts, ends)
-                out = np.flatnonzero(_find(keys, h) < 0)
+                out = np.flatnonzero(known.find(h) < 0)
                 if not len(out):
                     continue
                 ids = np.repeat(batch.column("i").slice(at, len(part)).fill_null(-1).to_numpy(zero_copy_only=False), np.diff(first))
@@ -357,12 +387,13 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(one[:, 0].copy()), pa.array(one[:, 1].copy())], ["i", "h"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, keys, offsets, flat = held.value
+        known = held.value
+        offsets, flat = known.offsets, known.flat
         for batch in batches:
             for at, part in slices(batch, "_t"):
                 data, starts, ends, first = split.spans(part)
                 h = word_hashes(data, starts, ends)
-                place = _find(keys, h)
+                place = known.find(h)
                 rows = batch.column("_rare").slice(at, len(part))
                 own = rows.flatten()  # structs (h, ids) of all rows of the slice
                 own_h = own.field("h").to_numpy(zero_copy_only=False).view(np.uint64) if len(own) else np.zeros(0, dtype=np.uint64)
@@ -383,13 +414,16 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS) -> DataFram
                 ids = pa.ListArray.from_arrays(pa.array(total[first].astype(np.int32)), pa.array(pool[_ranges(begin, sizes)], pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("_row").slice(at, len(part)), ids], ["_row", "ids"])
 
-    pairs = texts.mapInArrow(rare, "i long, h long")
-    met = pairs.join(table.where(F.col("freq") < held.value[0]).select("h", "ids"), "h")
-    per_doc = met.groupBy("i").agg(F.collect_list(F.struct("h", "ids")).alias("_rare"))
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_i"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col("text").alias("_t"))
     empty = F.array().cast("array<struct<h:bigint,ids:array<int>>>")
-    joined = packed.join(per_doc, packed["_i"] == per_doc["i"], "left").select("_row", "_t", F.coalesce("_rare", empty).alias("_rare"))
+    if least:
+        pairs = texts.mapInArrow(rare, "i long, h long")
+        met = pairs.join(table.where(F.col("freq") < least).select("h", "ids"), "h")
+        per_doc = met.groupBy("i").agg(F.collect_set(F.struct("h", "ids")).alias("_rare"))
+        joined = packed.join(per_doc, packed["_i"] == per_doc["i"], "left").select("_row", "_t", F.coalesce("_rare", empty).alias("_rare"))
+    else:  # every unit is broadcast
+        joined = packed.select("_row", "_t", empty.alias("_rare"))
     schema = StructType([packed.schema["_row"], StructField("ids", ArrayType(IntegerType()))])
     return joined.mapInArrow(assemble, schema).select(*(F.col("_row").getField(c).alias(c) for c in rest), "ids")
 
