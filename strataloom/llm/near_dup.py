@@ -8,11 +8,10 @@ probability 1e-4, a pair at 0.9 with 1e-8.
 
 Equal shingle sets are one class, so copies never meet each other. Inside a
 table's bucket members are linked to one head only (a star), found first within
-blocks, then across them, so a bucket sends one row per block. Candidates are
-verified on both full sets. Families of bucket mates that the stars left in
-different components are then looked through whole, in blocks of bounded size:
-every pair in different components is compared on its full sets; no candidate is
-capped, and no pair is emitted but the links found.
+blocks, then across them, so a bucket sends one row per block. The stars connect
+bucket mates to families. Candidates are verified inside families, in blocks of
+bounded size: every pair in different components is compared on its full sets; no
+candidate is capped, and no pair is emitted but the links found.
 
 Words are runs of bytes outside ASCII white space, in lower case (A-Z). A text
 with fewer words than a shingle has one shingle, the whole sequence; a text
@@ -173,36 +172,6 @@ def star_candidates(classes: DataFrame, collections: int, width: int) -> DataFra
     return rows.repartition(n, "key").sortWithinPartitions("key", "w", "a").mapInArrow(across, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets satisfy 100 * intersection >= percent * union."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")), "i", ends, "id")
-    left = texts.select(F.col("i").alias("a"), F.col("t").alias("ta"))
-    right = texts.select(F.col("i").alias("b"), F.col("t").alias("tb"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                texts = {}
-                for ids, column in ((a, "ta"), (b, "tb")):
-                    for i, t in zip(ids, part.column(column).cast(pa.binary()), strict=True):
-                        if i not in texts:
-                            texts[i] = t.as_py() or b""
-                sets = dict(zip(texts, shingle_sets(list(texts.values()), size), strict=True))
-                keep = []
-                for x, y in zip(a, b, strict=True):
-                    p, q = sets[x], sets[y]
-                    both = np.concatenate((p, q))
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep.append(bool(common) and 100 * common >= percent * (len(p) + len(q) - common))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
-
-
 def _linked(sets: list[np.ndarray], roots: np.ndarray, probe: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs of set numbers that reach the similarity, enough to join all components they join; one of each is a probe."""
     sizes = np.array([len(x) for x in sets])
@@ -249,14 +218,14 @@ def block_links(members: DataFrame, docs: DataFrame, size: int, percent: int) ->
     texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")), "i", members, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, int, bool]] = {}
+        held: list[tuple[int, int, bool, np.ndarray]] = []  # rows that repeat an id stand beside each other
         key = None
 
         def links() -> Iterator[pa.RecordBatch]:
-            ids = list(held)
-            roots, probe = np.array([held[i][1] for i in ids]), np.array([held[i][2] for i in ids])
+            ids, roots, probe = ([x[j] for x in held] for j in range(3))
+            roots, probe = np.array(roots, dtype=np.int64), np.array(probe, dtype=bool)
             if len(ids) > 1 and roots.min() != roots.max() and probe.any():
-                found = _linked([held[i][0] for i in ids], roots, probe, percent)
+                found = _linked([x[3] for x in held], roots, probe, percent)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([min(ids[i], ids[j]) for i, j in found], pa.int64()), pa.array([max(ids[i], ids[j]) for i, j in found], pa.int64())], ["a", "b"])
             held.clear()
@@ -269,7 +238,7 @@ def block_links(members: DataFrame, docs: DataFrame, size: int, percent: int) ->
                     if (family, block) != key:
                         yield from links()
                         key = (family, block)
-                    held[ident] = (own, root, probe)
+                    held.append((ident, root, probe, own))
         yield from links()
         trim()
 
@@ -278,42 +247,36 @@ def block_links(members: DataFrame, docs: DataFrame, size: int, percent: int) ->
     return met.repartition(n, "family", "block").sortWithinPartitions("family", "block").mapInArrow(run, "a long, b long")
 
 
-def family_links(docs: DataFrame, classes: DataFrame, stars: DataFrame, links: DataFrame, labels: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, labels) completed inside families: documents that buckets connect, whether they are similar or not.
+def family_labels(docs: DataFrame, stars: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root): components of the links inside families, documents that buckets connect.
 
-    Every pair of bucket mates lies in one family. Families whose members are in
-    one component already are done. Others are cut into blocks of MEMBERS
-    documents, in which all components are held against each other; then the
-    members outside a family's largest component go to its other blocks as
-    probes. So every pair in different components is compared on its full sets,
-    and nothing but the links found is emitted.
+    Every pair of bucket mates lies in one family. Families are cut into blocks of
+    MEMBERS documents, which are held against each other; then the members outside
+    a family's largest component go to its other blocks as probes. So every pair
+    in different components is compared on its full sets, and nothing but the
+    links found is emitted.
     """
     families = components(stars)
-    rows = classes.select("doc_id").join(families.select("node", F.col("root").alias("family")), F.col("doc_id") == F.col("node")).select(F.col("doc_id").alias("id"), "family")
-    rows = written(rows, "families")
-
-    def mixed(labels: DataFrame) -> DataFrame:
-        known = rows.join(labels, rows["id"] == labels["node"], "left").select("id", "family", F.coalesce("root", "id").alias("root"))
-        sizes = known.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.max_by("root", "n").alias("most"), F.max("n").alias("in_most"))
-        open_ = sizes.where("k > 1").withColumn("blocks", F.ceil(F.col("n") / MEMBERS).cast("int"))
-        return known.join(open_.select("family", "blocks", "most", F.ceil((F.col("n") - F.col("in_most")) / MEMBERS).cast("int").alias("groups")), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-
-    first = written(mixed(labels), "open_families")
-    if not first.take(1):
-        return links, labels
-    links = links.union(written(block_links(first.withColumn("probe", F.lit(True)), docs, size, percent), "family_links"))
-    labels = written(components(links), "labels2")
-    large = written(mixed(labels).where("blocks > 1"), "large_families")
+    sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
+    rows = families.join(sizes.withColumnRenamed("root", "family"), F.col("root") == F.col("family"))
+    rows = written(rows.select("family", F.col("node").alias("id"), blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "families")
+    links = written(block_links(rows.select("family", "block", "id", F.col("id").alias("root"), F.lit(True).alias("probe")), docs, size, percent), "links")
+    labels = components(links)
+    large = rows.where("blocks > 1")
     if not large.take(1):
-        return links, labels
+        return labels
+    known = large.join(labels, large["id"] == labels["node"], "left").select("family", "block", "blocks", "id", F.coalesce("root", "id").alias("root"))
+    most = known.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("root", "n").alias("most"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    open_ = written(known.join(most.select("family", "most", F.ceil(F.col("others") / MEMBERS).cast("int").alias("groups")), "family"), "large_families")
     # a block meets the probes in groups that are as bounded as itself
-    held = large.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    probes = large.where("root != most").withColumn("group", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("groups")).cast("int"))
+    held = open_.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    probes = open_.where("root != most").withColumn("group", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("groups")).cast("int"))
     probes = probes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
     place = lambda block: (F.col(block) * F.col("groups") + F.col("group")).alias("block")
     both = held.select("family", place("block"), "id", "root", F.lit(False).alias("probe")).union(probes.select("family", place("other"), "id", "root", F.lit(True)))
-    links = links.union(written(block_links(both, docs, size, percent), "probe_links"))
-    return links, written(components(links), "labels3")
+    more = written(block_links(both, docs, size, percent), "probe_links")
+    return components(links.union(more)) if more.take(1) else labels
 
 
 def classes_of(docs: DataFrame, size: int = 5, percent: int = 80, collections: int = 12, width: int = 2) -> DataFrame:
@@ -322,9 +285,7 @@ def classes_of(docs: DataFrame, size: int = 5, percent: int = 80, collections: i
     whole = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(whole.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
     stars = written(star_candidates(classes, collections, width), "stars")
-    links = written(verified(docs, stars, size, percent), "links")
-    labels = written(components(links), "labels")
-    links, labels = family_links(docs, classes, stars, links, labels, size, percent)
+    labels = family_labels(docs, stars, size, percent)
     rep = classes.where("n > 1").select(F.col("fp").alias("_fp"), F.col("doc_id").alias("rep"))
     out = profile.join(rep, profile["fp"] == rep["_fp"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(labels, out["rep"] == labels["node"], "left")
