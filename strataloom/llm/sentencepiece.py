@@ -34,13 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .shared import slices, word_hashes, written
+from .shared import slices, sweep, word_hashes, written
 
 MARK = "▁"
 #: Longest unit, in characters, that is folded in SQL.
 LONG = 60
-#: Most units whose ids are broadcast.
-COMMON_UNITS = 1_000_000
+#: Most units whose ids are broadcast (some 40 bytes each, so 120 MB at most).
+COMMON_UNITS = 3_000_000
 
 
 @dataclass(frozen=True)
@@ -361,10 +361,11 @@ def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, at, -1)
 
 
-def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS) -> DataFrame:
-    """The input with ``ids`` (array<int>) added; ``doc_id`` tells rows apart for the rarer units.
+def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS, decoded: bool = False) -> DataFrame:
+    """The input with ``ids`` (array<int>) in place of ``text``; ``doc_id`` tells rows apart for the rarer units.
 
-    Rarer units of a document meet the unit table in a join on the unit and come
+    With ``decoded``, the text of those ids goes along, as ``decode`` would give it
+    in another pass. Rarer units of a document meet the unit table in a join on the unit and come
     back to the document in a join on ``doc_id``.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
@@ -372,6 +373,8 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS) -> DataFram
     table = unit_table(texts.select("t"), v, split)
     common = common_units(table, most)
     held, least = docs.sparkSession.sparkContext.broadcast(common), common.least
+    pieces = docs.sparkSession.sparkContext.broadcast(_piece_bytes(v))
+    sweep(docs.sparkSession)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
@@ -411,8 +414,11 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS) -> DataFram
                     pool = flat
                 total = np.zeros(len(h) + 1, dtype=np.int64)
                 np.cumsum(sizes, out=total[1:])
-                ids = pa.ListArray.from_arrays(pa.array(total[first].astype(np.int32)), pa.array(pool[_ranges(begin, sizes)], pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("_row").slice(at, len(part)), ids], ["_row", "ids"])
+                found = pool[_ranges(begin, sizes)]
+                columns = [batch.column("_row").slice(at, len(part)), pa.ListArray.from_arrays(pa.array(total[first].astype(np.int32)), pa.array(found, pa.int32()))]
+                if decoded:
+                    columns.append(pa.array(_texts(found, total[first], *pieces.value), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["_row", "ids", "decoded"][: len(columns)])
 
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_i"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col("text").alias("_t"))
@@ -424,34 +430,39 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS) -> DataFram
         joined = packed.join(per_doc, packed["_i"] == per_doc["i"], "left").select("_row", "_t", F.coalesce("_rare", empty).alias("_rare"))
     else:  # every unit is broadcast
         joined = packed.select("_row", "_t", empty.alias("_rare"))
-    schema = StructType([packed.schema["_row"], StructField("ids", ArrayType(IntegerType()))])
-    return joined.mapInArrow(assemble, schema).select(*(F.col("_row").getField(c).alias(c) for c in rest), "ids")
+    added = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())][: 1 + decoded]
+    return joined.mapInArrow(assemble, StructType([packed.schema["_row"], *added])).select(*(F.col("_row").getField(c).alias(c) for c in rest), *(f.name for f in added))
 
 
-def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
-    """The input with ``decoded`` added: the text of ``ids``, which is the encoded text with word marks as spaces."""
+def _piece_bytes(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, bytes) of what every id decodes to; control ids decode to nothing."""
     raw = [b""] * len(v.pieces)
     for i in v.normal:
         raw[i] = v.pieces[i].replace(MARK, " ").encode()
     for b, i in enumerate(v.bytes_at):
         raw[i] = bytes([b])
-    held = rows.sparkSession.sparkContext.broadcast((np.array([len(x) for x in raw]), np.frombuffer(b"".join(raw), dtype=np.uint8)))  # one vocabulary
+    return np.array([len(x) for x in raw]), np.frombuffer(b"".join(raw), dtype=np.uint8)
+
+
+def _texts(ids: np.ndarray, edges: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> list[str]:
+    """The texts of ids between neighbouring edges, without the mark that begins each."""
+    begin = np.cumsum(sizes) - sizes
+    data = flat[_ranges(begin[ids], sizes[ids])].tobytes()
+    at = np.concatenate(([0], np.cumsum(sizes[ids])))[edges].tolist()
+    return [data[s + 1 : e].decode("utf-8", "replace") for s, e in zip(at, at[1:], strict=False)]
+
+
+def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """The input with ``decoded`` added: the text of ``ids``, which is the encoded text with word marks as spaces."""
+    held = rows.sparkSession.sparkContext.broadcast(_piece_bytes(v))  # one vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, flat = held.value
-        begin = np.cumsum(sizes) - sizes
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 lists = part.column("ids")
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                data = flat[_ranges(begin[ids], sizes[ids])].tobytes()
-                total = np.concatenate(([0], np.cumsum(sizes[ids])))
-                texts, last = [], 0
-                for e in ends.tolist():
-                    texts.append(data[total[last] + 1 : total[e]].decode("utf-8", "replace") if e > last else "")
-                    last = e
+                edges = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+                texts = _texts(lists.flatten().to_numpy(zero_copy_only=False), edges, *held.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
@@ -459,6 +470,5 @@ def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
 
 def digest(docs: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, n_pieces, ids, decoded_sha256) of every row."""
-    v = load(model_file)
-    out = decode(encode(docs.select("doc_id", "text"), v), v)
+    out = encode(docs.select("doc_id", "text"), load(model_file), decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

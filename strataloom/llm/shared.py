@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,12 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the context cleaner drop shuffles that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Delete the table behind a ``written`` frame that nothing reads any more."""
     path = df.__dict__.get("table_path")

@@ -30,7 +30,6 @@ their texts agree or not. Extra columns are kept. Texts of any length are whole.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .shared import _BYTE_CODE, mix, powers, slices, written
+from .shared import _BYTE_CODE, mix, powers, slices, sweep, written
 
 LENGTH = 50
 #: Bytes of text whose entries are sorted and reduced together before they leave a task.
@@ -360,23 +359,17 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return written(rows.join(several, "i", "left_anti").select("i", F.lit(0).alias("k"), "t").union(own.distinct()), "numbered")
 
 
-def _sweep(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffles that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(i, k, spans): byte spans of (i, k, t) that hold a string of a smaller document, as packed (start, end)."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = rows.where(F.octet_length("t") >= length)
     found = _resolved(long.mapInArrow(_anchor_entries(parts, length), _ROWS), parts, length, True, "anchors")
-    _sweep(spark)
+    sweep(spark)
     open_ = found.where("open IS NOT NULL").select("i", "k", "open")
     texts = long.join(open_.hint("shuffle_hash"), ["i", "k"]).select("i", "k", "t", "open")
     more = _resolved(texts.mapInArrow(_window_entries(parts, length), _ROWS), parts, length, False, "windows")
-    _sweep(spark)
+    sweep(spark)
     return found.where("spans IS NOT NULL").select("i", "k", "spans").union(more.where("spans IS NOT NULL").select("i", "k", "spans"))
 
 
