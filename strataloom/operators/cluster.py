@@ -108,7 +108,7 @@ def cluster_in_batches(rows: DataFrame, provider, schema: str, size: int) -> Dat
             found = provider(group)
         except ValueError:
             found = pd.DataFrame()
-        return found if len(found) else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        return (found if len(found) else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})).astype(object)
 
     return batches(rows, size).groupBy("batch").applyInPandas(run, schema)
 
@@ -118,6 +118,6 @@ def extract_in_batches(chunks: DataFrame, provider, schema: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield provider(frame)
+            yield provider(frame).astype(object)
 
     return chunks.where(F.length(F.trim("text")) > 0).mapInPandas(run, schema)
