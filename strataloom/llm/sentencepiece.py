@@ -39,7 +39,7 @@ from .shared import slices, sweep, word_hashes, written
 MARK = "▁"
 #: Longest unit, in characters, that is folded in SQL.
 LONG = 60
-#: Most units whose ids are broadcast (some 40 bytes each, so 120 MB at most).
+#: Most units whose ids are broadcast (some 30 bytes each, so 100 MB at most).
 COMMON_UNITS = 3_000_000
 
 
@@ -338,7 +338,7 @@ def common_units(table: DataFrame, most: int) -> UnitIds:
     flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int32)
     order = np.argsort(h)
     sizes = np.diff(bounds)[order]
-    offsets = np.zeros(len(h) + 1, dtype=np.int64)
+    offsets = np.zeros(len(h) + 1, dtype=np.int32)  # a few million units have far fewer than 2**31 ids
     np.cumsum(sizes, out=offsets[1:])
     keys = h[order]
     bits = max(1, len(keys).bit_length())
