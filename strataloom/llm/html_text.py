@@ -48,7 +48,7 @@ LABELLED = np.array([
     (5, 0, 20, 0, 0, 0, 0, 0, 0, 0), (3, 0, 2, 100, 2, 100, 0, 0, 0, 0), (30, 85, 8, 0, 30, 85, 0, 0, 1, 0), (2, 0, 3, 100, 5, 100, 0, 0, 0, 0),
 ], dtype=np.float64)
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|math|select|textarea|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-z][a-z0-9:-]*)([^<>]*)(?:>|\Z)""", re.S | re.I)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|math|select|textarea|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)([^<>]*)(?:>|\Z)|</?\Z""", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

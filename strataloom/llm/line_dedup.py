@@ -107,7 +107,7 @@ def suspects(docs: DataFrame, least: int, bits: int) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bloom_bits: int = 27) -> DataFrame:
     """The input with ``_text`` (lines left), ``_n_lines`` and ``_n_dropped`` added.
 
-    ``bloom_bits``: the filter's size is 2**bloom_bits bits (16 MB), at any size of the input.
+    ``bloom_bits``, at least 20: the filter's size is 2**bloom_bits bits (16 MB), at any size of the input.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     found = suspects(texts, min_chars, bloom_bits)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import packed, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 #: Documents a chunk of the tree holds on average.
@@ -169,9 +169,9 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 
     A row whose size is 0 carries no words; it is kept once.
     """
-    made = decisions(docs, seed).select(F.col("key").alias("_key"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("_copies")).dropDuplicates(["_key"]).where("_copies > 0")
-    joined = docs.join(made, _key() == F.col("_key"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[f"`{c}`"] for c in docs.columns))
+    made = decisions(docs.select("doc_id", "source", "text"), seed).select(F.col("key").alias("_key"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("_copies")).dropDuplicates(["_key"]).where("_copies > 0")
+    rows = packed(docs, k=_key()).join(made, F.col("k") == F.col("_key")).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    return unpacked(rows, docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six ASCII white-space bytes every word rule of this package splits on.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -55,6 +56,16 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return out
 
 
+def packed(docs: DataFrame, **columns: Column | str) -> DataFrame:
+    """(_row, columns): whole rows as one struct, so that no column of theirs can clash with those of a plan."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(F.col(c).alias(name) if isinstance(c, str) else c.alias(name) for name, c in columns.items()))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The rows of ``packed`` again, with some columns changed."""
+    return rows.select(*(changed.get(c, F.col("_row").getField(c)).alias(c) for c in columns))
+
+
 def sweep(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffles that nothing refers to any more."""
     gc.collect()

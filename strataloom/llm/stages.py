@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import line_dedup as lines
 from . import mixing, near_dup, sentencepiece
 from . import quality_classifier as classifier
+from .shared import packed, unpacked
 from .tokenizer_files import PIECES
 
 
@@ -23,16 +24,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many share; ``n_chars`` follows the text, a null text stays null."""
-    out = lines.drop_repeated_lines(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = lines.drop_repeated_lines(packed(docs, doc_id="doc_id", text="text"))
+    text = F.when(F.col("text").isNotNull(), F.col("_text"))
+    length = F.when(F.col("_n_dropped") > 0, F.length("_text").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None
+    return unpacked(out, docs.columns, text=text, **({"n_chars": length} if length is not None else {}))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8): the one with the smallest id."""
-    gone = near_dup.classes_of(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = near_dup.classes_of(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    kept = packed(docs, i=F.col("doc_id").cast("long")).join(gone, F.col("i") == F.col("gone"), "left_anti")
+    return unpacked(kept, docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
