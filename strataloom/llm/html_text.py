@@ -41,6 +41,7 @@ LABELLED = np.array([
     # pages without a content container: long blocks with few links, and short ones between them
     (70, 0, 8, 0, 55, 0, 0, 0, 1, 1), (55, 0, 70, 0, 6, 0, 0, 0, 1, 1), (6, 0, 55, 0, 48, 0, 0, 0, 1, 1), (48, 5, 6, 0, 90, 0, 0, 0, 1, 1),
     (8, 0, 3, 100, 70, 0, 0, 0, 1, 1), (90, 0, 48, 5, 20, 0, 0, 0, 0, 1), (20, 0, 90, 0, 2, 100, 0, 0, 1, 1), (3, 0, 30, 0, 30, 0, 0, 0, 1, 1),
+    (4, 0, 2, 100, 30, 0, 0, 0, 1, 1), (6, 0, 1, 100, 45, 0, 0, 0, 1, 1), (3, 0, 5, 100, 28, 0, 0, 0, 1, 1), (10, 0, 4, 100, 90, 0, 0, 0, 1, 1),
     (25, 8, 2, 0, 4, 0, 0, 0, 0, 1), (14, 0, 60, 0, 4, 50, 0, 0, 1, 1), (2, 0, 8, 0, 9, 0, 0, 0, 1, 1), (9, 0, 2, 0, 2, 0, 0, 0, 1, 1),
     # and their menus, link lists and lines of credit
     (1, 100, 0, 0, 1, 100, 0, 0, 0, 0), (2, 100, 1, 100, 3, 100, 0, 0, 0, 0), (3, 100, 2, 100, 8, 0, 0, 0, 0, 0), (12, 90, 3, 100, 15, 95, 0, 0, 0, 0),
