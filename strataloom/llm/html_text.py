@@ -33,6 +33,10 @@ LABELLED = np.array([
     (40, 0, 1, 0, 3, 0, 1, 0, 1, 1), (3, 0, 40, 0, 12, 0, 1, 0, 1, 1), (12, 0, 3, 0, 12, 10, 1, 0, 0, 1), (12, 10, 12, 0, 5, 0, 1, 0, 0, 1),
     (5, 0, 12, 10, 25, 0, 1, 0, 1, 1), (25, 0, 5, 0, 2, 0, 1, 0, 1, 1), (2, 0, 25, 0, 9, 0, 1, 0, 1, 1), (150, 2, 30, 0, 7, 0, 1, 0, 1, 1),
     (1, 0, 0, 0, 0, 0, 1, 0, 1, 1), (4, 0, 1, 0, 1, 0, 1, 0, 0, 1), (30, 60, 90, 0, 90, 0, 1, 0, 1, 1), (2, 100, 70, 0, 70, 0, 1, 0, 1, 1),
+    (1, 0, 1, 0, 1, 0, 1, 0, 0, 1), (2, 0, 1, 0, 6, 0, 1, 0, 0, 1), (2, 0, 6, 0, 0, 0, 1, 0, 0, 1), (4, 0, 2, 100, 3, 0, 1, 0, 0, 1), (1, 0, 0, 0, 0, 0, 1, 0, 0, 1), (3, 100, 2, 0, 2, 100, 1, 0, 0, 1),
+    (7, 0, 3, 100, 2, 0, 1, 0, 0, 1), (1, 0, 90, 0, 90, 0, 1, 0, 0, 1),
+    (3, 0, 20, 0, 4, 100, 1, 0, 1, 1), (8, 0, 30, 0, 6, 100, 1, 0, 1, 1), (5, 0, 1, 0, 1, 100, 1, 0, 0, 1), (2, 0, 4, 100, 3, 100, 1, 0, 1, 1), (10, 0, 12, 100, 9, 100, 1, 0, 1, 1), (1, 0, 5, 0, 2, 100, 1, 0, 0, 1),
+    (60, 0, 40, 0, 0, 0, 1, 0, 1, 1), (12, 0, 3, 0, 0, 0, 1, 0, 1, 1), (5, 0, 20, 0, 0, 0, 1, 0, 0, 1), (9, 0, 2, 0, 0, 0, 1, 0, 1, 1), (25, 20, 60, 0, 0, 0, 1, 0, 1, 1), (4, 0, 2, 0, 5, 100, 1, 0, 0, 1), (20, 0, 1, 0, 1, 100, 1, 0, 1, 1),
     # what frames a page, inside or outside of its content container
     (1, 100, 0, 0, 1, 100, 0, 1, 0, 0), (1, 100, 1, 100, 1, 100, 0, 1, 0, 0), (8, 0, 1, 100, 9, 0, 0, 1, 0, 0), (9, 0, 80, 0, 0, 0, 0, 1, 0, 0),
     (40, 0, 3, 0, 35, 0, 0, 1, 1, 0), (35, 0, 40, 0, 60, 0, 0, 1, 1, 0), (60, 0, 35, 0, 2, 100, 0, 1, 1, 0), (2, 100, 60, 0, 12, 0, 0, 1, 0, 0),
@@ -43,6 +47,7 @@ LABELLED = np.array([
     (8, 0, 3, 100, 70, 0, 0, 0, 1, 1), (90, 0, 48, 5, 20, 0, 0, 0, 0, 1), (20, 0, 90, 0, 2, 100, 0, 0, 1, 1), (3, 0, 30, 0, 30, 0, 0, 0, 1, 1),
     (4, 0, 2, 100, 30, 0, 0, 0, 1, 1), (6, 0, 1, 100, 45, 0, 0, 0, 1, 1), (3, 0, 5, 100, 28, 0, 0, 0, 1, 1), (10, 0, 4, 100, 90, 0, 0, 0, 1, 1),
     (25, 8, 2, 0, 4, 0, 0, 0, 0, 1), (14, 0, 60, 0, 4, 50, 0, 0, 1, 1), (2, 0, 8, 0, 9, 0, 0, 0, 1, 1), (9, 0, 2, 0, 2, 0, 0, 0, 1, 1),
+    (60, 0, 40, 0, 0, 0, 0, 0, 1, 1), (22, 0, 35, 0, 0, 0, 0, 0, 1, 1),
     # and their menus, link lists and lines of credit
     (1, 100, 0, 0, 1, 100, 0, 0, 0, 0), (2, 100, 1, 100, 3, 100, 0, 0, 0, 0), (3, 100, 2, 100, 8, 0, 0, 0, 0, 0), (12, 90, 3, 100, 15, 95, 0, 0, 0, 0),
     (15, 95, 12, 90, 70, 0, 0, 0, 0, 0), (6, 80, 70, 0, 5, 100, 0, 0, 1, 0), (5, 100, 6, 80, 4, 0, 0, 0, 0, 0), (4, 0, 5, 100, 0, 0, 0, 0, 0, 0),
