@@ -39,6 +39,8 @@ from .shared import slices, sweep, word_hashes, written
 MARK = "▁"
 #: Longest unit, in characters, that is folded in SQL.
 LONG = 60
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
 #: Most units whose ids are broadcast (some 30 bytes each, so 100 MB at most).
 COMMON_UNITS = 3_000_000
 
@@ -237,7 +239,7 @@ def fold_viterbi(v: Vocabulary) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), F.col("n")), start, step), -1)["m"]
 
 
-def count_units(docs: DataFrame, split: Splitter, most: int = 1_000_000) -> DataFrame:
+def count_units(docs: DataFrame, split: Splitter, most: int = 400_000) -> DataFrame:
     """(unit, freq) over whole texts; equal units are counted before they leave a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,6 +370,8 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS, decoded: bo
     in another pass. Rarer units of a document meet the unit table in a join on the unit and come
     back to the document in a join on ``doc_id``.
     """
+    # texts, their ids and their rarer units stand side by side in a batch: keep batches small
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
     split = splitter(v)
     table = unit_table(texts.select("t"), v, split)
