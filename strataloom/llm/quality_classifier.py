@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality_stats import with_counts, with_counts_beside
+from .shared import trim
 
 #: Statistics the trees see, as SQL over the counts.
 FEATURES = {
@@ -169,7 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_ro
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     known = features(rows.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
-    return fit_rows(known[list(FEATURES)].to_numpy(dtype=np.float64).reshape(len(known), len(FEATURES)), known["y"].to_numpy(dtype=np.float64))
+    model = fit_rows(known[list(FEATURES)].to_numpy(dtype=np.float64).reshape(len(known), len(FEATURES)), known["y"].to_numpy(dtype=np.float64))
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:

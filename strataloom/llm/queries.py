@@ -28,6 +28,26 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+# Words of a document are rows; a window's words have no spaces, so joined by one they are its key.
+_BITS = " | ".join(f"(CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END)" for r in quality_rules.RULES)
+ORACLES["op6_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d
+), k AS (
+  SELECT doc_id, i, CASE WHEN lead(w, 4) OVER o IS NOT NULL THEN concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) END AS key
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), r AS (SELECT doc_id, i, CASE WHEN key IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, key) > 1 THEN 1 ELSE 0 END AS again FROM k
+), c AS (SELECT doc_id, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM r
+), n AS (SELECT doc_id, CAST(sum(covered) AS BIGINT) AS n_repeat_words FROM c GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: len(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d) d LEFT JOIN n ON n.doc_id = d.doc_id
+), b AS (SELECT *, CAST({_BITS} AS BIGINT) AS fail_bits FROM m)
+SELECT *, fail_bits & {quality_rules.BASE_MASK} <> 0 AS base_failed, fail_bits & {quality_rules.BASE_MASK | quality_rules.POLICIES['web-2']} = 0 AS kept FROM b
+"""
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .shared import slices, sweep, word_hashes, written
+from .shared import slices, sweep, trim, word_hashes, written
 
 MARK = "▁"
 #: Longest unit, in characters, that is folded in SQL.
@@ -42,7 +42,7 @@ LONG = 60
 #: Rows of an Arrow batch.
 BATCH_ROWS = 2000
 #: Most units whose ids are broadcast (some 30 bytes each, so 100 MB at most).
-COMMON_UNITS = 3_000_000
+COMMON_UNITS, FOLDS = 3_000_000, 8
 
 
 @dataclass(frozen=True)
@@ -333,19 +333,25 @@ def common_units(table: DataFrame, most: int) -> UnitIds:
         least = row["freq"]
     else:
         least = 0
-    got = table.where(F.col("freq") >= least).select("h", "ids").toArrow()
-    h = got.column("h").to_numpy().view(np.uint64)
-    lists = got.column("ids").combine_chunks()
-    bounds = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int32)
+    chosen = table.where(F.col("freq") >= least)
+    parts = []
+    for fold in range(FOLDS):  # the driver holds one part of the rows beside the arrays
+        got = chosen.where(F.pmod("h", F.lit(FOLDS)) == fold).select("h", "ids").toArrow()
+        lists = got.column("ids").combine_chunks()
+        parts.append((got.column("h").to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
+        del got, lists
+        trim()
+    h, lengths, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    begin = np.cumsum(lengths) - lengths
     order = np.argsort(h)
-    sizes = np.diff(bounds)[order]
+    sizes = lengths[order]
     offsets = np.zeros(len(h) + 1, dtype=np.int32)  # a few million units have far fewer than 2**31 ids
     np.cumsum(sizes, out=offsets[1:])
     keys = h[order]
     bits = max(1, len(keys).bit_length())
     first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
-    return UnitIds(least, np.append(keys, np.uint64(0)), first, offsets, flat[_ranges(bounds[:-1][order], sizes)])
+    return UnitIds(least, np.append(keys, np.uint64(0)), first, offsets, flat[_ranges(begin[order], sizes)])
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -378,6 +384,8 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS, decoded: bo
     common = common_units(table, most)
     held, least = docs.sparkSession.sparkContext.broadcast(common), common.least
     pieces = docs.sparkSession.sparkContext.broadcast(_piece_bytes(v))
+    del common
+    trim()
     sweep(docs.sparkSession)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
