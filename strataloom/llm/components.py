@@ -13,11 +13,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating star contraction: each round hangs larger neighbours on the
     smallest one seen, first over all neighbours, then over the smaller ones,
-    until the links are stars. Minima are pre-aggregated, so a node with very
+    until all links are stars. Minima are pre-aggregated, so a node with very
     many links costs one row per task; each round is a written table.
     """
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
-    print_of = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,10 +24,11 @@ def components(links: DataFrame) -> DataFrame:
         small_low = large.groupBy("b").agg(F.min("a").alias("m"))
         hung = large.join(small_low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e"))
         new = written(hung.select("e.a", "e.b").where("a < b").distinct(), "stars")
-        row = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(edges)
         edges = new
-        if (row[0], row[1]) == print_of:
+        # stars: no node hangs on two others, and none that hangs has others hanging on it
+        ends = new.select(F.col("b").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(new.select("a", F.lit(0), F.lit(1)))
+        left = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 OR (hangs > 0 AND holds > 0)")
+        if not left.take(1):
             break
-        print_of = (row[0], row[1])
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

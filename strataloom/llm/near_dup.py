@@ -173,7 +173,7 @@ def star_candidates(classes: DataFrame, collections: int, width: int) -> DataFra
 
 
 def _linked(sets: list[np.ndarray], roots: np.ndarray, probe: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of set numbers that reach the similarity, enough to join all components they join; one of each is a probe."""
+    """Pairs of set numbers that join all components that pairs of the similarity join; one of each such pair is a probe."""
     sizes = np.array([len(x) for x in sets])
     _, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     own = np.repeat(np.arange(len(sets)), sizes)
@@ -198,15 +198,17 @@ def _linked(sets: list[np.ndarray], roots: np.ndarray, probe: np.ndarray, percen
             x = root[x]
         return x
 
-    out = []
+    chosen = []
     for i in np.flatnonzero(probe).tolist():
         near = np.flatnonzero(100 * common[i].astype(np.int64) >= percent * (sizes[i] + sizes - common[i]))
         for j in near.tolist():
             a, b = find(int(roots[i])), find(int(roots[j]))
             if a != b:
                 root[a] = b
-                out.append((i, j))
-    return out
+                chosen += [i, j]
+    # the members of what has come together hang on one of them: one step to walk, not a chain
+    head: dict[int, int] = {}
+    return [(head[r], i) for i in dict.fromkeys(chosen) if (r := find(int(roots[i]))) in head or head.setdefault(r, i) != i]
 
 
 def block_links(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

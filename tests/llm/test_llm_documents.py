@@ -137,13 +137,18 @@ def test_near_duplicates_without_rows_and_ids(spark, empty):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, 3), (3, 3), (3, 3), (4, 3)]
 
 
-def test_linked_finds_enough_links_to_join_components():
+def test_linked_joins_what_similar_pairs_join():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(40)]
-    links = near_dup._linked(sets, np.arange(40), np.ones(40, dtype=bool), 50)
-    for i, j in links:
-        a, b = set(sets[i].tolist()), set(sets[j].tolist())
-        assert 100 * len(a & b) >= 50 * len(a | b)
+
+    def groups(pairs):
+        root = list(range(40))
+        for i, j in pairs:
+            root = [root[i] if r == root[j] else r for r in root]
+        return sorted(sorted(k for k in range(40) if root[k] == r) for r in set(root))
+
+    near = [(i, j) for i in range(40) for j in range(i) if 100 * len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 48 * len(set(sets[i].tolist()) | set(sets[j].tolist()))]
+    assert groups(near_dup._linked(sets, np.arange(40), np.ones(40, dtype=bool), 48)) == groups(near)
 
 
 # -- tokens
