@@ -239,7 +239,7 @@ def fold_viterbi(v: Vocabulary) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), F.col("n")), start, step), -1)["m"]
 
 
-def count_units(docs: DataFrame, split: Splitter, most: int = 400_000) -> DataFrame:
+def count_units(docs: DataFrame, split: Splitter, most: int = 250_000) -> DataFrame:
     """(unit, freq) over whole texts; equal units are counted before they leave a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +262,10 @@ def count_units(docs: DataFrame, split: Splitter, most: int = 400_000) -> DataFr
                 keys, counts, names = np.insert(keys, slot, h[new]), np.insert(counts, slot, n[new]), np.insert(names, slot, fresh)
                 if len(keys) > most:
                     yield from rows()
-                    keys, counts, names = keys[:0], counts[:0], names[:0]
+                    keys, counts, names = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object)
         yield from rows()
+        keys = counts = names = fresh = None  # the worker stays for other tasks
+        trim()
 
     return docs.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("freq"))
 
@@ -293,6 +295,7 @@ def unit_table(docs: DataFrame, v: Vocabulary, split: Splitter) -> DataFrame:
             own = batch.column("unit").to_pylist()
             lists = [pieces(u, m) for u, m in zip(own, batch.column("mask").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(unit_hashes(own).view(np.int64)), batch.column("freq"), pa.array(lists, pa.list_(pa.int32()))], ["h", "freq", "ids"])
+        trim()
 
     return written(folded.mapInArrow(named, "h long, freq long, ids array<int>"), "units")
 
@@ -349,7 +352,7 @@ def common_units(table: DataFrame, most: int) -> UnitIds:
     offsets = np.zeros(len(h) + 1, dtype=np.int32)  # a few million units have far fewer than 2**31 ids
     np.cumsum(sizes, out=offsets[1:])
     keys = h[order]
-    bits = max(1, len(keys).bit_length())
+    bits = max(1, len(keys).bit_length() - 2)
     first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
     return UnitIds(least, np.append(keys, np.uint64(0)), first, offsets, flat[_ranges(begin[order], sizes)])
 
