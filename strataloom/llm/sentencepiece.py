@@ -40,7 +40,7 @@ MARK = "▁"
 #: Longest unit, in characters, that is folded in SQL.
 LONG = 60
 #: Rows of an Arrow batch.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 #: Most units whose ids are broadcast (some 30 bytes each, so 100 MB at most).
 COMMON_UNITS, FOLDS = 3_000_000, 8
 
