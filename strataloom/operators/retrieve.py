@@ -118,18 +118,26 @@ def text_context(ranked: DataFrame) -> DataFrame:
     return body.select("question_id", F.concat(F.lit("--- Testo Originale dalle Guide per Contesto Aggiuntivo ---\n\n"), "body").alias("text_context"))
 
 
-def retrieve_raw(questions: DataFrame, terms: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, node_vectors: DataFrame | None = None, top_k: int = INITIAL_TOP_K, top_n: int = RERANKED_TOP_N) -> DataFrame:
+def retrieve_raw(questions: DataFrame, terms: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, node_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, top_k: int = INITIAL_TOP_K, top_n: int = RERANKED_TOP_N) -> DataFrame:
     """Hybrid retrieval: keyword and vector anchors, expanded, their chunks reranked.
 
     ``questions``: (question_id, question, embedding); ``node_vectors``: (id, name,
-    embedding). Returns (question_id, rank, chunk_id, score, source_file, page_number, section_title, text).
+    embedding); ``chunk_vectors``: (id, chunk_id, embedding), of which a near chunk is
+    a candidate and its nodes are anchors. Returns (question_id, rank, chunk_id, score,
+    source_file, page_number, section_title, text).
     """
     anchors = keyword_anchors(terms, nodes)
+    sources = nodes.select("name", F.col("source_chunk_id").alias("chunk_id"))
     if node_vectors is not None:
         near = vector_top_k(questions, node_vectors, top_k).join(node_vectors.select(F.col("id").cast("long").alias("id"), "name"), "id")
         anchors = anchors.union(near.select("question_id", "name")).distinct()
+    if chunk_vectors is not None:
+        close = vector_top_k(questions, chunk_vectors, top_k).join(chunk_vectors.select(F.col("id").cast("long").alias("id"), "chunk_id"), "id").select("question_id", "chunk_id")
+        anchors = anchors.union(close.join(sources, "chunk_id").select("question_id", "name")).distinct()
     found = graph.expand(anchors, nodes, edges)
-    wanted = found.join(nodes.select("name", F.col("source_chunk_id").alias("chunk_id")), "name").where("chunk_id != ''").select("question_id", "chunk_id")
+    wanted = found.join(sources, "name").where("chunk_id != ''").select("question_id", "chunk_id")
+    if chunk_vectors is not None:
+        wanted = wanted.union(close)
     candidates = fetch_chunks(wanted, chunks).join(questions.select("question_id", "question"), "question_id")
     return rerank(candidates, top_n=top_n)
 

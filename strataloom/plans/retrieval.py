@@ -146,6 +146,18 @@ def _chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.concat("source", F.lit("_section_"), F.col("doc_id").cast("string")).alias("chunk_id"), "text", F.col("source").alias("source_file"), (F.col("doc_id") % 7).cast("int").alias("page_number"), F.col("lang").alias("section_title"))
 
 
+def _asked(spark, sf_dir):
+    """Every question, with its vector if it has one."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    return table(spark, sf_dir, "benchmark").join(vectors, "item_id", "left").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), "embedding")
+
+
+def _chunk_vectors(spark, sf_dir):
+    """All vectors with the chunk of the document they belong to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("_section_"), F.col("doc_id").cast("string")).alias("chunk_id"))
+    return table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), "chunk_id", "embedding")
+
+
 def _distinct_words(x: str) -> str:
     return f"list_distinct(list_filter(string_split_regex(lower({x}), '\\s+'), lambda w: w <> ''))"
 
@@ -158,8 +170,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY s
 @register(f'WITH {_NODES_SQL}, {_ANCHORS_SQL}, {_LINKS_SQL}, {_FOUND_SQL}, {_CHUNKS_SQL}, {_RANKED_SQL} SELECT question_id, "rank", chunk_id, score FROM ranked')
 def retrieve_raw(spark, sf_dir):
     nodes, edges = _mention_graph(spark, sf_dir)
-    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return retrieve.retrieve_raw(questions, _question_terms(spark, sf_dir), nodes, edges, _chunks(spark, sf_dir)).select("question_id", "rank", "chunk_id", "score")
+    return retrieve.retrieve_raw(_asked(spark, sf_dir), _question_terms(spark, sf_dir), nodes, edges, _chunks(spark, sf_dir), chunk_vectors=_chunk_vectors(spark, sf_dir)).select("question_id", "rank", "chunk_id", "score")
 
 
 @register(f"""WITH {_NODES_SQL}, {_ANCHORS_SQL}, {_CHUNKS_SQL} SELECT question_id, chunk_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY coalesce(page_number, 0), chunk_id) AS INTEGER) AS "rank" FROM (SELECT DISTINCT question_id, source_chunk_id AS chunk_id FROM anchors JOIN nodes USING (name)) JOIN chunks USING (chunk_id)""")
@@ -194,9 +205,8 @@ def context_render(spark, sf_dir):
 @register()
 def qa_batch(spark, sf_dir):
     nodes, edges = _mention_graph(spark, sf_dir)
-    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    terms = _question_terms(spark, sf_dir)
-    texts = retrieve.text_context(retrieve.retrieve_raw(questions, terms, nodes, edges, _chunks(spark, sf_dir)))
+    questions, terms = _asked(spark, sf_dir), _question_terms(spark, sf_dir)
+    texts = retrieve.text_context(retrieve.retrieve_raw(questions, terms, nodes, edges, _chunks(spark, sf_dir), chunk_vectors=_chunk_vectors(spark, sf_dir)))
     graphs = retrieve.graph_context(retrieve.keyword_anchors(terms, nodes).join(nodes, "name"))
     return retrieve.answers(questions, graphs, texts)
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from conftest import DATA
 
+from strataloom.operators import retrieve
 from strataloom.plans import retrieval, tables
 
 
@@ -24,3 +25,15 @@ def test_shortest_paths_search_the_whole_graph(spark):
             expected[src, dst] = d
     assert len(expected) > 5
     assert {(r.src, r.dst): r.length for r in retrieval.shortest_path_len(spark, DATA).collect()} == expected
+
+
+def test_chunks_near_by_vector_only_are_retrieved(spark):
+    questions = spark.createDataFrame([(1, "una domanda", [1.0, 0.0]), (2, "altro", None)], "question_id long, question string, embedding array<double>")
+    terms = spark.createDataFrame([], "question_id long, term string")
+    nodes = spark.createDataFrame([("a", "c1", ["a"]), ("b", "c2", ["b"]), ("z", "c4", ["z"])], "name string, source_chunk_id string, original_names array<string>")
+    edges = spark.createDataFrame([(1, "b", "a", "usa")], "edge_id long, src string, dst string, type string")
+    chunks = spark.createDataFrame([(f"c{i}", "una domanda" if i == 3 else "testo", "f", 1, "s") for i in range(1, 5)], "chunk_id string, text string, source_file string, page_number int, section_title string")
+    vectors = spark.createDataFrame([(1, "c1", [0.9, 0.1]), (3, "c3", [0.8, 0.1]), (4, "c4", [-1.0, 0.0])], "id long, chunk_id string, embedding array<double>")
+    got = retrieve.retrieve_raw(questions, terms, nodes, edges, chunks, chunk_vectors=vectors, top_k=2).collect()
+    # c1 and c3 by their vectors, c3 without any node; c2 over the edge of c1's node
+    assert [(r.question_id, r["rank"], r.chunk_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, "c3"), (1, 2, "c1"), (1, 3, "c2")]
