@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from . import graph
 
 #: Questions whose vectors are broadcast at once.
 QUESTION_BLOCK = 4096
+#: Questions whose words are broadcast at once.
+RERANK_BLOCK = 512
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -90,6 +93,54 @@ def rerank(candidates: DataFrame, scorer: Callable[[Column, Column], Column] | N
     return ranked if top_n is None else ranked.where(F.col("rank") <= top_n)
 
 
+def rerank_all(questions: DataFrame, chunks: DataFrame, top_n: int = RERANKED_TOP_N) -> DataFrame:
+    """(question_id, chunk_id, score, rank): ``rerank`` of every chunk (chunk_id, text) for every (question_id, question), by shared distinct words.
+
+    Blocks of questions of bounded size are broadcast. A task counts shared words
+    as products of word matrices and sends its own best ``top_n`` of a question.
+    """
+    spark = questions.sparkSession
+    asked = questions.select("question_id", F.array_distinct(words(F.lower("question"))).alias("ws"))
+    said = chunks.select("chunk_id", F.array_distinct(words(F.lower(F.coalesce("text", F.lit(""))))).alias("ws"))
+    blocks = max(1, -(-asked.count() // RERANK_BLOCK))
+    out = None
+    for b in range(blocks):
+        rows = (asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b) if blocks > 1 else asked).collect()
+        at = {w: i for i, w in enumerate(sorted({w for r in rows for w in r.ws or []}))}
+        held = spark.sparkContext.broadcast((np.array([r.question_id for r in rows], dtype=np.int64), [len(r.ws or []) for r in rows], [[at[w] for w in r.ws or []] for r in rows], list(at)))
+
+        def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, sizes, has, vocabulary = held.value
+            if not len(ids):
+                return
+            wanted, known = np.zeros((len(vocabulary), len(ids)), dtype=np.float32), pa.array(vocabulary, pa.string())
+            for j, ws in enumerate(has):
+                wanted[ws, j] = 1
+            top: list[list[tuple[int, str]]] = [[] for _ in ids]
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
+                    column, names = part.column("ws"), part.column("chunk_id").to_pylist()
+                    owner, word = pc.list_parent_indices(column).to_numpy(), pc.index_in(column.flatten(), value_set=known)
+                    hit = word.is_valid().to_numpy(zero_copy_only=False)
+                    holds = np.zeros((len(names), len(vocabulary)), dtype=np.float32)
+                    holds[owner[hit], word.drop_null().to_numpy()] = 1
+                    shared = (holds @ wanted).astype(np.int64)
+                    place = np.empty(len(names), dtype=np.int64)
+                    place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+                    order = np.argsort(-shared * len(names) + place[:, None], axis=0)[:top_n]
+                    for j in range(len(ids)):
+                        top[j] = sorted(top[j] + [(-int(shared[i, j]), names[i]) for i in order[:, j]])[:top_n]
+            rows = [(i, n, -s, c) for i, n, t in zip(ids.tolist(), sizes, top, strict=True) for s, c in t]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["question_id", "n", "shared", "chunk_id"])
+
+        part = said.mapInArrow(best, "question_id long, n long, shared long, chunk_id string")
+        out = part if out is None else out.union(part)
+    score = F.round(F.col("shared") / F.greatest("n", F.lit(1)), 6)
+    order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "chunk_id")
+    return out.select("question_id", "chunk_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+
+
 def node_block(name: Column, kind: Column, description: Column, variants: Column) -> Column:
     """A node as lines of a context."""
     line = lambda label, c: F.when(F.coalesce(F.length(c) > 0, F.lit(False)), F.concat(F.lit(f"\n  • {label}: "), c)).otherwise("")

@@ -184,8 +184,8 @@ def retrieve_aggregated(spark, sf_dir):
 @register(f"""WITH {_CHUNKS_SQL}, s AS (SELECT item_id AS question_id, chunk_id, round(len(list_intersect(qw, cw)) / greatest(len(qw), 1), 6) AS score FROM (SELECT item_id, {_distinct_words('text')} AS qw FROM benchmark) b JOIN (SELECT chunk_id, page_number, {_distinct_words("coalesce(text, '')")} AS cw FROM chunks) c ON b.item_id % 7 = c.page_number)
 SELECT question_id, chunk_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS "rank" FROM s QUALIFY "rank" <= 5""")
 def rerank_top5(spark, sf_dir):
-    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), (F.col("item_id") % 7).cast("int").alias("page_number"))
-    return retrieve.rerank(_chunks(spark, sf_dir).join(questions, "page_number")).select("question_id", "chunk_id", "rank")
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return retrieve.rerank_all(questions, _chunks(spark, sf_dir)).select("question_id", "chunk_id", "rank")
 
 
 @register(f"SELECT doc_id, name FROM {MENTIONS} QUALIFY row_number() OVER (PARTITION BY name, lang ORDER BY doc_id, pos) = 1")

@@ -37,3 +37,16 @@ def test_chunks_near_by_vector_only_are_retrieved(spark):
     got = retrieve.retrieve_raw(questions, terms, nodes, edges, chunks, chunk_vectors=vectors, top_k=2).collect()
     # c1 and c3 by their vectors, c3 without any node; c2 over the edge of c1's node
     assert [(r.question_id, r["rank"], r.chunk_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, "c3"), (1, 2, "c1"), (1, 3, "c2")]
+
+
+def test_rerank_scores_every_document(spark):
+    def words(text):
+        return set((text or "").lower().split())
+
+    chunks = [(r.source + f"_section_{r.doc_id}", words(r.text)) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    expected = set()
+    for q in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+        asked = words(q.text)
+        ranked = sorted((-round(len(asked & c) / max(len(asked), 1), 6), name) for name, c in chunks)
+        expected |= {(q.item_id, name, k) for k, (_, name) in enumerate(ranked[:5], 1)}
+    assert {(r.question_id, r.chunk_id, r["rank"]) for r in retrieval.rerank_top5(spark, DATA).collect()} == expected
