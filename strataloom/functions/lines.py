@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from . import fixed_values as fixed
 from .names import strip, words
 
@@ -135,14 +136,28 @@ def match_toc(lines: DataFrame, toc: DataFrame) -> DataFrame:
     """(file, line_id, toc_ord) for (file, line_id, line): the first TOC entry that a line names.
 
     Exactly, after numbers and caption words are cut, or by sharing words: two of
-    them, or three fifths of a title's where those are fewer. TOC entries are few
-    per file, so the join on the file meets few rows per line.
+    them, or three fifths of a title's where those are fewer. Distinct texts meet
+    titles by shared words, the first titles first: texts that have found theirs
+    do not meet the later ones, so common words of many titles stay cheap.
     """
     text = F.regexp_replace(strip(F.regexp_replace("line", r"^\d+(\.\d+)*\.?\s*", "")), r"\s+", " ")
     text = F.regexp_replace(F.upper(text), r"^(FIGURA|TABELLA|STEP|F\s+IGURA)\s*\d+\s*[-–]?\s*", "")
-    entries = toc.select(F.col("file").alias("_f"), F.col("ord").alias("toc_ord"), F.regexp_replace(F.upper(strip(F.col("title"))), r"\s+", " ").alias("_title"))
-    met = lines.withColumn("_text", text).join(entries, F.col("file") == F.col("_f"))
-    shared = F.size(F.array_intersect(toc_words(F.col("_title")), toc_words(F.col("_text"))))
-    need = F.least(F.lit(2.0), F.size(toc_words(F.col("_title"))) * F.lit(0.6))
-    similar = (F.length("_text") > 5) & (F.length("_title") > 5) & (F.size(toc_words(F.col("_title"))) > 0) & (shared >= need)
-    return met.where((F.col("_text") == F.col("_title")) | similar).groupBy("file", "line_id").agg(F.min("toc_ord").alias("toc_ord"))
+    rows = lines.select("file", "line_id", text.alias("_text"))
+    entries = toc.select("file", F.regexp_replace(F.upper(strip(F.col("title"))), r"\s+", " ").alias("_title"), "ord").groupBy("file", "_title").agg(F.min("ord").alias("toc_ord"))
+    texts = rows.select("file", "_text").distinct()
+    found = texts.join(entries.withColumnRenamed("_title", "_text"), ["file", "_text"])
+    long = entries.where(F.length("_title") > 5).withColumn("_ws", toc_words(F.col("_title"))).where(F.size("_ws") > 0)
+    named = cut(long.select("file", "toc_ord", F.least(F.lit(2.0), F.size("_ws") * F.lit(0.6)).alias("_need"), F.explode("_ws").alias("_w")))
+    open_ = texts.where(F.length("_text") > 5)
+    last = named.agg(F.max("toc_ord")).first()[0]
+    low, high = None, 15
+    while last is not None and (low is None or low < last):
+        block = named.where((F.col("toc_ord") <= high) if low is None else (F.col("toc_ord") > low) & (F.col("toc_ord") <= high))
+        said = open_.select("file", "_text", F.explode(toc_words(F.col("_text"))).alias("_w"))
+        met = said.join(block, ["file", "_w"]).groupBy("file", "_text", "toc_ord").agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need"))
+        hits = cut(met.where("_n >= _need").groupBy("file", "_text").agg(F.min("toc_ord").alias("toc_ord")))
+        found = found.union(hits)
+        open_ = open_.join(hits, ["file", "_text"], "left_anti")
+        low, high = high, high * 16
+    first = found.groupBy("file", "_text").agg(F.min("toc_ord").alias("toc_ord"))
+    return rows.join(first, ["file", "_text"]).groupBy("file", "line_id").agg(F.min("toc_ord").alias("toc_ord"))

@@ -130,8 +130,7 @@ def toc_match(spark, sf_dir):
 
     rows = lines(spark, sf_dir)
     first = Window.partitionBy("source").orderBy("doc_id")
-    toc = rows.where("ln = 0").withColumn("ord", F.row_number().over(first)).where("ord <= 3")
-    toc = toc.select(F.col("source").alias("file"), "ord", F.array_join(F.slice(F.split("line", r"\s+"), 1, 4), " ").alias("title"))
+    toc = rows.where("ln = 0").withColumn("ord", F.row_number().over(first)).select(F.col("source").alias("file"), "ord", F.col("line").alias("title"))
     return L.match_toc(rows.select(F.col("source").alias("file"), (F.col("doc_id") * 100000 + F.col("ln")).alias("line_id"), "line"), toc)
 
 

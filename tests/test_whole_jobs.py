@@ -1,11 +1,12 @@
 """Queries over whole tables against brute force, where the SQL counterparts see a part only."""
 
+import re
 from collections import defaultdict
 
 from conftest import DATA
 
 from strataloom.operators import retrieve
-from strataloom.plans import retrieval, tables
+from strataloom.plans import retrieval, tables, text
 
 
 def test_shortest_paths_search_the_whole_graph(spark):
@@ -50,3 +51,21 @@ def test_rerank_scores_every_document(spark):
         ranked = sorted((-round(len(asked & c) / max(len(asked), 1), 6), name) for name, c in chunks)
         expected |= {(q.item_id, name, k) for k, (_, name) in enumerate(ranked[:5], 1)}
     assert {(r.question_id, r.chunk_id, r["rank"]) for r in retrieval.rerank_top5(spark, DATA).collect()} == expected
+
+
+def test_toc_has_every_title_whole(spark, tmp_path):
+    shared = ["comune", "testo", "di", "prova"]
+    docs = [(i, f"s{i % 2}", f"{shared[i % 4]} primo uno due tre{i} quattro{i}\n{i}. tre{i - 8} quattro{i - 8} altro\nniente", "it", 0) for i in range(80)]
+    docs += [(80, "s0", "solo\nil testo\n" + "parole comuni di tutti", "it", 0), (81, "s0", "parola\nParola in fine", "it", 0)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    bare = lambda x: {w for w in x.split() if w not in text.fixed.TOC_STOP_WORDS}
+    titles, expected = defaultdict(list), set()
+    for _, source, body, *_ in docs:
+        titles[source].append(" ".join(body.split("\n")[0].upper().split()))
+    for i, source, body, *_ in docs:
+        for ln, line in enumerate(body.split("\n")):
+            x = " ".join(re.sub(r"^\d+(\.\d+)*\.?\s*", "", line).upper().split())
+            same = [k for k, t in enumerate(titles[source], 1) if x == t or len(x) > 5 and len(t) > 5 and bare(t) and len(bare(t) & bare(x)) >= min(2.0, len(bare(t)) * 0.6)]
+            expected |= {(source, i * 100000 + ln, min(same))} if same else set()
+    assert max(k for *_, k in expected) > 16
+    assert {(r.file, r.line_id, r.toc_ord) for r in text.toc_match(spark, str(tmp_path)).collect()} == expected
