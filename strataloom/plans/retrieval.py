@@ -85,13 +85,13 @@ def fallback_search(spark, sf_dir):
     return graph.search_or_neighbors(terms, nodes, graph_edges(spark, sf_dir))
 
 
-# A question's key words: its first three long words.
+# A question's key words: all of its distinct long words; the SQL takes the first three.
 _QTERMS = r"(SELECT item_id AS question_id, unnest(list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:3]) AS term FROM (SELECT item_id, regexp_extract_all(lower(text), '\p{L}{7,}') AS ws FROM benchmark))"
 
 
 def _question_terms(spark, sf_dir):
     long = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{7,}"), F.lit(0)))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(F.slice(long, 1, 3)).alias("term"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(long).alias("term"))
 
 
 _NODES_SQL = f"""k AS (SELECT *, {clean_sql('nome_entita')} AS x FROM {ENTITIES}), m AS (SELECT *, {normal_sql('x')} AS name FROM k), nodes AS (SELECT name, arg_min(source_chunk_id, ord) AS source_chunk_id, arg_min(tipo_entita, ord) AS type, arg_min(coalesce(descrizione_entita, ''), ord) AS description FROM m WHERE name <> '' GROUP BY name),

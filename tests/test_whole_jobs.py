@@ -69,3 +69,9 @@ def test_toc_has_every_title_whole(spark, tmp_path):
             expected |= {(source, i * 100000 + ln, min(same))} if same else set()
     assert max(k for *_, k in expected) > 16
     assert {(r.file, r.line_id, r.toc_ord) for r in text.toc_match(spark, str(tmp_path)).collect()} == expected
+
+
+def test_every_long_word_of_a_question_is_a_term(spark):
+    got = {(r.question_id, r.term) for r in retrieval._question_terms(spark, DATA).collect()}
+    expected = {(r.item_id, w) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() for w in re.findall(r"[^\W\d_]{7,}", r.text.lower())}
+    assert got == expected and len(got) > 3 * len({q for q, _ in got})
