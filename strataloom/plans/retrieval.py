@@ -42,8 +42,7 @@ def proc_paths(spark, sf_dir):
 @register(f"""SELECT s.start, a.dst AS prerequisite, b.dst AS document FROM (SELECT 'part ' || p_partkey AS start FROM part UNION ALL SELECT 'supplier ' || s_suppkey FROM supplier UNION ALL SELECT 'customer ' || c_custkey FROM customer) s
 LEFT JOIN {EDGES} a ON a.src = s.start AND lower(a.type) = 'haprerequisito' LEFT JOIN {EDGES} b ON b.src = s.start AND lower(b.type) = 'richiededocumento'""")
 def requirements_join(spark, sf_dir):
-    starts = _starts(spark, sf_dir, "part", "part", "p_partkey").union(_starts(spark, sf_dir, "supplier", "supplier", "s_suppkey")).union(_starts(spark, sf_dir, "customer", "customer", "c_custkey"))
-    return graph.requirements(starts, graph_edges(spark, sf_dir))
+    return graph.requirements(graph_nodes(spark, sf_dir).select(F.col("name").alias("start")), graph_edges(spark, sf_dir))
 
 
 def _hop_sql(start: str, limit: int) -> str:
@@ -81,8 +80,7 @@ _TERMS_SQL = "(SELECT unnest(['Nation 1', 'region', 'SUPPLIER 1', 'zz', 'nation
 SELECT term, name, neighbor FROM h LEFT JOIN l ON l.node = h.name QUALIFY row_number() OVER (PARTITION BY term ORDER BY name, neighbor NULLS FIRST) <= 10""")
 def fallback_search(spark, sf_dir):
     terms = spark.createDataFrame([(t,) for t in _TERMS], "term string")
-    nodes = graph_nodes(spark, sf_dir).where("name NOT LIKE 'order %' AND name NOT LIKE 'part %'")
-    return graph.search_or_neighbors(terms, nodes, graph_edges(spark, sf_dir))
+    return graph.search_or_neighbors(terms, graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir))
 
 
 # A question's key words: all of its distinct long words; the SQL takes the first three.

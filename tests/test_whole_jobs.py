@@ -75,3 +75,21 @@ def test_every_long_word_of_a_question_is_a_term(spark):
     got = {(r.question_id, r.term) for r in retrieval._question_terms(spark, DATA).collect()}
     expected = {(r.item_id, w) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() for w in re.findall(r"[^\W\d_]{7,}", r.text.lower())}
     assert got == expected and len(got) > 3 * len({q for q, _ in got})
+
+
+def test_search_and_requirements_see_every_node(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "_TERMS", [*retrieval._TERMS, "order 1", "ART 9"])
+    names = [r.name for r in tables.graph_nodes(spark, DATA).select("name").collect()]
+    links, of = defaultdict(set), defaultdict(list)
+    for r in tables.graph_edges(spark, DATA).collect():
+        links[r.src].add(r.dst)
+        links[r.dst].add(r.src)
+        of[r.src, r.type.lower()].append(r.dst)
+    expected = set()
+    for term in retrieval._TERMS:
+        rows = sorted((n, x) for n in names if term.lower() in n.lower() for x in links[n] or [""])
+        expected |= {(term, n, x or None) for n, x in rows[:10]}
+    assert {(r.term, r.name, r.neighbor) for r in retrieval.fallback_search(spark, DATA).collect()} == expected
+    assert any(n.startswith("order ") for _, n, _ in expected)
+    rows = sorted((n, a, b) for n in names for a in of[n, "haprerequisito"] or [""] for b in of[n, "richiededocumento"] or [""])
+    assert sorted((r.start, r.prerequisite or "", r.document or "") for r in retrieval.requirements_join(spark, DATA).collect()) == rows
