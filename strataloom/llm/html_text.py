@@ -48,6 +48,8 @@ LABELLED = np.array([
     (4, 0, 2, 100, 30, 0, 0, 0, 1, 1), (6, 0, 1, 100, 45, 0, 0, 0, 1, 1), (3, 0, 5, 100, 28, 0, 0, 0, 1, 1), (10, 0, 4, 100, 90, 0, 0, 0, 1, 1),
     (25, 8, 2, 0, 4, 0, 0, 0, 0, 1), (14, 0, 60, 0, 4, 50, 0, 0, 1, 1), (2, 0, 8, 0, 9, 0, 0, 0, 1, 1), (9, 0, 2, 0, 2, 0, 0, 0, 1, 1),
     (60, 0, 40, 0, 0, 0, 0, 0, 1, 1), (22, 0, 35, 0, 0, 0, 0, 0, 1, 1),
+    # list items and cells between them
+    (3, 0, 60, 0, 70, 0, 0, 0, 0, 1), (1, 0, 40, 0, 50, 0, 0, 0, 0, 1), (3, 0, 60, 0, 4, 0, 0, 0, 0, 1), (4, 0, 3, 0, 2, 0, 0, 0, 0, 1), (2, 0, 4, 0, 70, 0, 0, 0, 0, 1), (8, 0, 30, 0, 9, 0, 0, 0, 0, 1), (1, 0, 1, 0, 1, 0, 0, 0, 0, 1), (12, 0, 10, 0, 40, 0, 0, 0, 0, 1),
     # and their menus, link lists and lines of credit
     (1, 100, 0, 0, 1, 100, 0, 0, 0, 0), (2, 100, 1, 100, 3, 100, 0, 0, 0, 0), (3, 100, 2, 100, 8, 0, 0, 0, 0, 0), (12, 90, 3, 100, 15, 95, 0, 0, 0, 0),
     (15, 95, 12, 90, 70, 0, 0, 0, 0, 0), (6, 80, 70, 0, 5, 100, 0, 0, 1, 0), (5, 100, 6, 80, 4, 0, 0, 0, 0, 0), (4, 0, 5, 100, 0, 0, 0, 0, 0, 0),
@@ -66,10 +68,14 @@ _FRAME_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|alert|banner|billboard|breadcrumbs?|byline-links|captcha|comments?|complementary|consent|contentinfo|cookies?|copyright|dialog|disqus|dropdown|feedback|foot|footer|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notification|overlay|pager|pagination|paywall|popup|privacy|promo\w*|reader-?comments?|recommend\w*|related|remarks?|replies|reply|respond|responses|search|share|sharing|sidebar|side|signup|sitemap|skip|social|sponsor\w*|subscribe|subscription|tags|teaser|toolbar|topbar|trending|widget)(?=[\s_-]|$)",
     re.I,
 )
+#: Parts of names that tell what a layout has or lacks beside the article.
+_MODIFIERS = re.compile(r"(?<![^\s_-])(?:with|without|has|no)[_-]\S*", re.I)
 
 
-def _framed(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element surrounds the article rather than holding it."""
+def _framed(tag: str, attributes: str, in_main: bool, main: bool = False) -> bool:
+    """Whether an element surrounds the article rather than holding it; the container itself never does."""
+    if main:
+        return False
     if tag in _FRAME and not (tag == "header" and in_main):
         return True
     if tag in ("html", "body") or "=" not in attributes:
@@ -78,7 +84,7 @@ def _framed(tag: str, attributes: str, in_main: bool) -> bool:
         name = m[2] or m[3] or m[4] or ""
         if in_main:
             name = re.sub(r"\bheader\b", "", name, flags=re.I)
-        if m[1].lower() != "aria-label" and _FRAME_WORDS.search(name):
+        if m[1].lower() != "aria-label" and _FRAME_WORDS.search(_MODIFIERS.sub("", name)):
             return True
     return False
 
@@ -86,7 +92,7 @@ def _framed(tag: str, attributes: str, in_main: bool) -> bool:
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """(text, words, words in links, in main, in frame, text tag) of every block with text, in page order."""
     out: list[tuple[str, int, int, int, int, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements that matter: tag, main, frame
+    stack: list[tuple[str, bool, int]] = []  # open elements that matter: tag, main, frame; a container takes back the frames around it
     mains = frames = links = 0
     kind, held, linked = "", [], []
 
@@ -141,10 +147,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             close(len(stack) - 1)
         if tag == "body":
             close(0)
-        frame = _framed(tag, attributes, mains > 0)
+        main = tag in _MAIN or "itemprop" in attributes and "articleBody" in attributes or 'role="main"' in attributes
+        frame = int(_framed(tag, attributes, mains > 0, main))
         if frame and tag in _INLINE:
             flush()
-        main = tag in _MAIN or "itemprop" in attributes and "articleBody" in attributes or 'role="main"' in attributes
+        if main and tag != "article":
+            frame = -frames
         if main or frame or tag in ("div", "section", "p", "li", "ul", "ol", "table", "td", "span") and not attributes.rstrip().endswith("/"):
             if frame or main or tag not in ("p", "li", "span"):
                 stack.append((tag, main, frame))
