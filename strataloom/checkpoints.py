@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A folder of this machine, where no shared one is set: only for masters that run on this machine alone."""
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="strataloom-")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint under ``spark.checkpoint.dir``; a folder of its own only where that is unset (tests)."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataloom-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or own_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -47,12 +47,16 @@ def _capital(word: Column) -> Column:
     return (F.upper(first) == first) & (F.lower(first) != first)
 
 
-def looks_like_title(line: Column) -> Column:
-    """A title word, or several words of which the first three are capitalised and none belongs to captions."""
+def _title_like(line: Column) -> Column:
     own = words(line)
     capital = (F.size(own) > 1) & F.forall(F.slice(own, 1, 3), _capital)
     caption = any_match(F.upper(line), fixed.CAPTION_WORDS, ignore_case=False)
-    return ~is_caption(line) & (any_match(line, fixed.TITLE_WORDS) | (capital & ~caption))
+    return any_match(line, fixed.TITLE_WORDS) | (capital & ~caption)
+
+
+def looks_like_title(line: Column) -> Column:
+    """A title word, or several words of which the first three are capitalised and none belongs to captions."""
+    return ~is_caption(line) & _title_like(line)
 
 
 def _all_capitals(line: Column) -> Column:
@@ -60,18 +64,23 @@ def _all_capitals(line: Column) -> Column:
 
 
 def is_section_title(line: Column, avg_size: Column | None = None, bold: Column | None = None) -> Column:
-    """A numbered title, capitals throughout, or a title-like line set large or bold."""
+    """A numbered title, capitals throughout, or a title-like line set large or bold; no caption."""
+    return ~is_caption(line) & _section_title(line, avg_size, bold)
+
+
+def _section_title(line: Column, avg_size: Column | None, bold: Column | None) -> Column:
+    """``is_section_title`` of a line that is known not to be a caption: that test is the dearest and runs once a line."""
     styled = F.coalesce(avg_size > 12, F.lit(False)) if avg_size is not None else F.lit(False)
     styled = styled | (F.coalesce(bold, F.lit(False)) if bold is not None else F.lit(False))
     capitals = _all_capitals(line) & (F.size(words(line)) > 1) & (F.length(line) < 100)
-    return ~is_caption(line) & ~is_page_reference(line) & (line.rlike(fixed.NUMBERED_TITLE) | capitals | (styled & looks_like_title(line)))
+    return ~is_page_reference(line) & (line.rlike(fixed.NUMBERED_TITLE) | capitals | (styled & _title_like(line)))
 
 
 def line_kind(line: Column, toc_match: Column, avg_size: Column | None = None, bold: Column | None = None) -> Column:
     """The first of: caption, header_footer, list, toc_title, title, paragraph."""
     return (
         F.when(is_caption(line), "caption").when(is_header_footer(line), "header_footer").when(is_list_item(line), "list")
-        .when(toc_match, "toc_title").when(is_section_title(line, avg_size, bold), "title").otherwise("paragraph")
+        .when(toc_match, "toc_title").when(_section_title(line, avg_size, bold), "title").otherwise("paragraph")
     )
 
 
@@ -96,15 +105,25 @@ def token_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)))
 
 
+def toc_page(pages: DataFrame, most: int = fixed.TOC_PAGES) -> DataFrame:
+    """(file, page_number, text) of each file's table of contents: the first page of its first ``most`` that names one."""
+    found = pages.where((F.col("page_number") <= most) & any_match(F.col("text"), fixed.TOC_HEADINGS))
+    first = found.groupBy("file").agg(F.min_by(F.struct("page_number", "text"), "page_number").alias("p"))
+    return first.select("file", "p.page_number", "p.text")
+
+
+def toc_of_pages(pages: DataFrame, most: int = fixed.TOC_PAGES) -> DataFrame:
+    """The parsed entries of the table of contents of each file of (file, page_number, text); see ``parse_toc``."""
+    return parse_toc(toc_page(pages, most).select("file", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line")))
+
+
 def parse_toc(lines: DataFrame) -> DataFrame:
     """TOC entries of (file, ord, line): (file, ord, section_key, title, page, section_number).
 
     Three shapes of line are tried in order: number, title, page; title, page;
     number, title. A repeated key keeps its first place and its last value.
     """
-    letter = f"[{fixed.TOC_CAPITALS}]"
-    title = rf"({letter}[{fixed.TOC_CAPITALS}\s]{{2,60}}?)"
-    full, plain, short = rf"(\d+(?:\.\d+)*\.?)\s+{title}\s*\.{{3,}}\s*(\d+)", rf"^{title}\s*\.{{3,}}\s*(\d+)\s*$", rf"(\d+(?:\.\d+)*\.?)\s+{title}(?:\s|$)"
+    full, plain, short = fixed.TOC_NUMBER_TITLE_PAGE, fixed.TOC_TITLE_PAGE, fixed.TOC_NUMBER_TITLE
     line = F.col("line")
     skip = F.lit(False)
     for word in fixed.TOC_SKIP:

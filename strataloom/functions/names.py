@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from .fixed_values import CLOSEST_PREDICATES, DEFAULT_PREDICATE, NAME_RULES, PREDICATE_KEYWORDS, STOP_WORDS, TYPE_KEYWORDS
 
 
+#: White space of any script.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends, of any script."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.trim(x, F.lit(WHITE))
 
 
 def blank(x: Column) -> Column:
@@ -41,12 +45,28 @@ def lookup(table: Mapping[str, str], key: Column) -> Column:
 def normalize_entity_name(name: Column, rules: Mapping[str, str] = NAME_RULES, stop_words: Iterable[str] = tuple(STOP_WORDS)) -> Column:
     """The canonical name: an exact rule, else the first rule whose key is inside, else the name without stop words. Blank gives ''."""
     clean = F.translate(F.lower(strip(name)), "`–—", "'--")
-    inside = first_of((F.contains(clean, F.lit(k)), F.lit(v)) for k, v in rules.items())
-    any_rule = clean.rlike("|".join(re.escape(k) for k in rules))  # most names meet no rule: one test tells
-    stops = F.array(*(F.lit(w) for w in stop_words))
-    left = F.array_join(F.filter(words(clean), lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w)), " ")
-    plain = F.coalesce(F.nullif(left, F.lit("")), clean)
-    return F.when(blank(name), "").otherwise(F.when(any_rule, F.coalesce(lookup(rules, clean), inside)).otherwise(plain))
+    table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in rules.items()))
+    any_rule = "|".join(re.escape(k) for k in rules)  # most names meet no rule: one test tells
+
+    def canonical(x: Column) -> Column:
+        inside = F.try_element_at(F.filter(table, lambda r: F.contains(x, r["k"])), F.lit(1))["v"]
+        left = F.array_join(F.filter(words(x), lambda w: (F.length(w) > 1) & ~w.isin(*stop_words)), " ")
+        return F.when(x == "", "").when(x.rlike(any_rule), F.coalesce(lookup(rules, x), inside)).otherwise(F.coalesce(F.nullif(left, F.lit("")), x))
+
+    # the cleaned name is made once, as the entry of an array, and not once for each use
+    return F.coalesce(F.element_at(F.transform(F.array(clean), canonical), 1), F.lit(""))
+
+
+def normalize_names(names: Column, rules: Mapping[str, str] = NAME_RULES) -> Column:
+    """The list form: (nome_originale, nome_normalizzato) of every name in order, without those that normalise to nothing."""
+    pairs = F.transform(names, lambda n: F.struct(n.alias("nome_originale"), normalize_entity_name(n, rules).alias("nome_normalizzato")))
+    return F.filter(pairs, lambda p: p["nome_normalizzato"] != "")
+
+
+def search_terms(terms: Column, names: Column) -> Column:
+    """Search terms and entity names as one list: lower case, each once, without empty ones; a null list counts as empty."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.filter(F.transform(F.concat(F.coalesce(terms, none), F.coalesce(names, none)), F.lower), lambda t: t != ""))
 
 
 def collapse_name(name: Column) -> Column:

@@ -2,8 +2,10 @@
 
 Row order matters to several results (first seen, last written); it is the
 explicit column ``ord``, never the physical order. Blank names and types drop
-out. All groupings are two-level, so that a name a third of all rows share is
-reduced before it is shuffled by name.
+out. Spellings are normalised once each, not once per row. Groupings by name are
+two-level, so that a name a third of all rows share is reduced to its spellings
+before it is shuffled by name; relations have one level, whose partial aggregates
+are reduced in each task.
 """
 
 from __future__ import annotations
@@ -83,11 +85,17 @@ def aggregate_relations(raw: DataFrame) -> DataFrame:
     )
 
 
+def _once(column: str) -> Column:
+    """A grouping's key as a value that hangs on its count ``n``: what is made of it stays above the grouping, once a key."""
+    return F.when(F.col("n") > 0, F.col(column))
+
+
 def merge_nodes_raw(raw: DataFrame) -> DataFrame:
     """Graph nodes by canonical name: the first row sets the fields, original names in first-seen order, number of rows."""
-    rows = raw.withColumn("name", normalize_entity_name(F.col("nome_entita"))).where("name != ''")
-    # at most one row per name and spelling meets the others of its name
-    spellings = rows.groupBy("name", "nome_entita").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("tipo_entita", "descrizione_entita", "source_chunk_id", "source_page_number", "source_section_title"), "ord").alias("f"), F.min("ord").alias("ord"))
+    # rows meet by their spelling, and only its one row is normalised and meets the others of its name
+    first = F.min_by(F.struct("tipo_entita", "descrizione_entita", "source_chunk_id", "source_page_number", "source_section_title"), "ord")
+    spellings = raw.groupBy("nome_entita").agg(F.count(F.lit(1)).alias("n"), first.alias("f"), F.min("ord").alias("ord"))
+    spellings = spellings.withColumn("name", normalize_entity_name(_once("nome_entita"))).where("name != ''")
     grouped = spellings.groupBy("name").agg(F.min_by("f", "ord").alias("f"), F.sum("n").alias("occurrence_count"), F.array_sort(F.collect_list(F.struct("ord", "nome_entita"))).alias("o"))
     return grouped.select(
         "name", F.coalesce("f.tipo_entita", F.lit("Unknown")).alias("type"), F.coalesce("f.descrizione_entita", F.lit("")).alias("description"), F.coalesce("f.source_chunk_id", F.lit("")).alias("source_chunk_id"),
@@ -107,10 +115,17 @@ def merge_nodes_clustered(clustered: DataFrame) -> DataFrame:
 
 
 def edges_raw(relations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One edge per relation whose normalised ends are nodes; relations are not merged."""
-    rows = valid_triples(relations).withColumns({"src": normalize_entity_name(F.col("soggetto")), "dst": normalize_entity_name(F.col("oggetto")), "predicate": safe_predicate(F.col("predicato"))})
-    names = nodes.select("name")
-    met = rows.join(names.withColumnRenamed("name", "src"), "src").join(names.withColumnRenamed("name", "dst"), "dst")
+    """One edge per relation whose normalised ends are nodes; relations are not merged.
+
+    Every distinct spelling is normalised once and kept if it names a node; the
+    relations meet that small table by their ends' spellings.
+    """
+    rows = valid_triples(relations)
+    spelled = rows.select(F.explode(F.array("soggetto", "oggetto")).alias("spelling")).groupBy("spelling").agg(F.count(F.lit(1)).alias("n"))
+    named = spelled.select("spelling", normalize_entity_name(_once("spelling")).alias("name")).join(nodes.select("name").distinct(), "name")
+    met = rows.withColumn("predicate", safe_predicate(F.col("predicato")))
+    for column, end in (("soggetto", "src"), ("oggetto", "dst")):
+        met = met.join(named.select(F.col("spelling").alias(column), F.col("name").alias(end)), column)
     return met.select(
         F.col("ord").alias("edge_id"), "src", "dst", "predicate", F.coalesce("contesto_relazione", F.lit("")).alias("context"), F.coalesce("source_chunk_id", F.lit("")).alias("source_chunk_id"),
         F.coalesce("source_page_number", F.lit(0)).alias("source_page_number"), F.coalesce("source_section_title", F.lit("")).alias("source_section_title"), F.col("soggetto").alias("original_subject"), F.col("oggetto").alias("original_object"), F.col("predicato").alias("original_predicate"),
@@ -131,7 +146,7 @@ def edges_clustered(relations: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def normalization_log(raw: DataFrame) -> DataFrame:
     """(name, originals): canonical names that several differing spellings lead to."""
-    rows = raw.withColumn("name", normalize_entity_name(F.col("nome_entita"))).where((F.col("name") != "") & (F.lower("nome_entita") != F.col("name")))
+    rows = raw.groupBy("nome_entita").agg(F.count(F.lit(1)).alias("n")).withColumn("name", normalize_entity_name(_once("nome_entita"))).where((F.col("name") != "") & (F.lower("nome_entita") != F.col("name")))
     return rows.groupBy("name").agg(F.array_sort(F.collect_set("nome_entita")).alias("originals")).where(F.size("originals") > 1)
 
 

@@ -18,10 +18,15 @@ def sentences(text: Column) -> Column:
 
 
 def section_of_page(pages: DataFrame, toc: DataFrame) -> DataFrame:
-    """``pages`` (file, page_number) with the title of the TOC entry of the greatest page not above theirs, the first in TOC order among equals."""
-    entries = toc.where("page > 0").select(F.col("file").alias("_f"), F.col("page").alias("_p"), "ord", "title")
-    met = pages.join(entries, (F.col("file") == F.col("_f")) & (F.col("_p") <= F.col("page_number")), "left")
-    return met.groupBy("file", "page_number").agg(F.max_by("title", F.struct("_p", -F.col("ord"))).alias("section_title"))
+    """``pages`` (file, page_number) with the title of the TOC entry of the greatest page not above theirs, the first in TOC order among equals.
+
+    Pages and entries of a file go through one window in order of their pages.
+    """
+    entries = toc.where("page > 0").groupBy("file", F.col("page").alias("at")).agg(F.min_by(F.struct("title"), "ord").alias("entry"))
+    asked = pages.select("file", F.col("page_number").alias("at"), F.lit(None).cast(entries.schema["entry"].dataType).alias("entry")).distinct()
+    both = entries.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
+    upto = Window.partitionBy("file").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("entry", F.last("entry", ignorenulls=True).over(upto)).where("asked").select("file", F.col("at").alias("page_number"), F.col("entry.title").alias("section_title"))
 
 
 def carry_forward(lines: DataFrame, order: list[str]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import ENTITY_BATCH, RELATION_BATCH
 from ..functions.responses import top_n
 
 
@@ -81,6 +83,35 @@ def singletons(entities: DataFrame) -> DataFrame:
     )
 
 
+def merge_relation_clusters(clusters: DataFrame, relations: DataFrame) -> DataFrame:
+    """Relation clusters (cluster_id, soggetto_cluster, predicato_cluster, oggetto_cluster, membri_ids) with their members' data; ids without a row are ignored."""
+    members = clusters.select("cluster_id", F.explode(F.col("membri_ids").cast("array<bigint>")).alias("idx"))
+    data = members.join(relations.withColumn("idx", F.col("idx").cast("long")), "idx").groupBy("cluster_id").agg(
+        _union("contesti").alias("contesti_aggregati"), _union("fonti_chunk_id").alias("fonti_aggregate_chunk_id"), _union("fonti_sezione").alias("fonti_aggregate_sezione"),
+        F.array_sort(F.filter(F.collect_set("predicato_norm"), lambda p: p != "")).alias("predicati_originali_cluster"), F.sum("conteggio_occorrenze").alias("conteggio_occorrenze_totale"),
+    )
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
+    return clusters.join(data, "cluster_id", "left").select(
+        "cluster_id", F.coalesce("soggetto_cluster", F.lit("Soggetto_Sconosciuto")).alias("soggetto_cluster"), F.coalesce("predicato_cluster", F.lit("Predicato_Sconosciuto")).alias("predicato_cluster"),
+        F.coalesce("oggetto_cluster", F.lit("Oggetto_Sconosciuto")).alias("oggetto_cluster"), empty("contesti_aggregati"), empty("fonti_aggregate_chunk_id"), empty("fonti_aggregate_sezione"), empty("predicati_originali_cluster"),
+        F.coalesce("conteggio_occorrenze_totale", F.lit(0)).alias("conteggio_occorrenze_totale"), F.col("membri_ids").alias("membri_ids_originali"),
+    )
+
+
+def relation_singletons(relations: DataFrame, names: DataFrame) -> DataFrame:
+    """A cluster of its own for each relation, its ends under their canonical names, in the layout of ``merge_relation_clusters`` without ``cluster_id``."""
+    return remap_relations(relations, names).select(
+        "soggetto_cluster", F.col("predicato_norm").alias("predicato_cluster"), "oggetto_cluster", F.col("contesti").alias("contesti_aggregati"), F.col("fonti_chunk_id").alias("fonti_aggregate_chunk_id"), F.col("fonti_sezione").alias("fonti_aggregate_sezione"),
+        F.array("predicato_norm").alias("predicati_originali_cluster"), F.col("conteggio_occorrenze").alias("conteggio_occorrenze_totale"), F.array(F.col("idx").cast("int")).alias("membri_ids_originali"),
+    )
+
+
+def finalize_relations(clusters: DataFrame, relations: DataFrame, names: DataFrame) -> DataFrame:
+    """All relation clusters: the merged ones, and a singleton for every relation that none of them holds."""
+    merged = merge_relation_clusters(clusters, relations).drop("cluster_id")
+    return merged.unionByName(relation_singletons(leftovers(relations, clusters), names))
+
+
 def canonical_names(clustered: DataFrame) -> DataFrame:
     """(member, canonical): each lower-cased member name with the name of the last cluster by ``ord`` that holds it."""
     members = clustered.select("ord", "nome_entita_cluster", F.explode("membri_cluster").alias("m"))
@@ -96,7 +127,22 @@ def remap_relations(relations: DataFrame, names: DataFrame, subject: str = "sogg
     return out
 
 
-def cluster_in_batches(rows: DataFrame, provider, schema: str, size: int) -> DataFrame:
+def _tried(provider, frame: pd.DataFrame, tries: int, pause: float) -> pd.DataFrame | None:
+    """The provider's frame, or None after ``tries`` failures; each pause is twice the one before."""
+    for k in range(tries):
+        try:
+            return provider(frame)
+        except Exception:  # noqa: BLE001 - whatever a provider raises counts as a failed try
+            if k + 1 < tries and pause:
+                time.sleep(pause * 2**k)
+    return None
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def cluster_in_batches(rows: DataFrame, provider, schema: str, size: int, tries: int = 1, pause: float = 0.0) -> DataFrame:
     """A clustering provider applied to each batch: it maps a pandas frame of a batch to clusters.
 
     A provider that fails on a batch gives no clusters; the batch's rows are left
@@ -104,20 +150,48 @@ def cluster_in_batches(rows: DataFrame, provider, schema: str, size: int) -> Dat
     """
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        try:
-            found = provider(group)
-        except ValueError:
-            found = pd.DataFrame()
-        return (found if len(found) else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})).astype(object)
+        found = _tried(provider, group, tries, pause)
+        return (found if found is not None and len(found) else pd.DataFrame({c: [] for c in _columns(schema)})).astype(object)
 
     return batches(rows, size).groupBy("batch").applyInPandas(run, schema)
 
 
-def extract_in_batches(chunks: DataFrame, provider, schema: str) -> DataFrame:
-    """An extraction provider over (chunk_id, text, ...) batches; it maps pandas frames to result rows. Blank texts are skipped."""
+def cluster_together(entities: DataFrame, relations: DataFrame, provider, schema: str, sizes: tuple[int, int] = (ENTITY_BATCH, RELATION_BATCH), tries: int = 1, pause: float = 0.0) -> DataFrame:
+    """One call of a provider for each run of entities and relations with the same batch number.
+
+    The provider maps the pandas frames of a run's entities and relations, either
+    of which may be empty, to rows of ``schema``. Failures are as in
+    ``cluster_in_batches``. A run has a bounded number of rows.
+    """
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = _tried(lambda _: provider(left, right), left, tries, pause)
+        return (found if found is not None and len(found) else pd.DataFrame({c: [] for c in _columns(schema)})).astype(object)
+
+    return batches(entities, sizes[0]).groupBy("batch").cogroup(batches(relations, sizes[1]).groupBy("batch")).applyInPandas(run, schema)
+
+
+def extract_in_batches(chunks: DataFrame, provider, schema: str, provenance: Iterable[str] = (), tries: int = 3, pause: float = 0.0, size: int = 10) -> DataFrame:
+    """An extraction provider over (chunk_id, text, ...) rows; it maps a pandas frame of up to ``size`` rows to result rows.
+
+    Blank texts are skipped. A run of rows that fails ``tries`` times gives no
+    results and stops nothing. ``provenance``: columns of the chunk that every
+    result row gets; the provider then names the row it comes from by the frame's
+    index, and its own columns are those of ``schema``.
+    """
+    kept = list(provenance)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield provider(frame).astype(object)
-
-    return chunks.where(F.length(F.trim("text")) > 0).mapInPandas(run, schema)
+            for at in range(0, len(frame), size):
+                part = frame.iloc[at : at + size].reset_index(drop=True)
+                found = _tried(provider, part, tries, pause)
+                if found is None or not len(found):
+                    continue
+                if kept:
+                    found = found.join(part[kept])
+                yield found.astype(object)
+
+    types = dict(chunks.dtypes)
+    whole = ", ".join([schema, *(f"{c} {types[c]}" for c in kept)])
+    return chunks.where(F.length(F.trim("text")) > 0).mapInPandas(run, whole)

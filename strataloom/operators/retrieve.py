@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.fixed_values import INITIAL_TOP_K, RERANKED_TOP_N
-from ..functions.names import words
+from ..functions.names import search_terms, words
 from ..functions.responses import NO_ANSWER, NO_GRAPH, graph_usable, prompt, usable_contexts, variants_shown
 from . import graph
 
 #: Questions whose vectors are broadcast at once.
 QUESTION_BLOCK = 4096
+#: Scores that a task holds at once.
+SCORES = 1 << 22
 #: Questions whose words are broadcast at once.
 RERANK_BLOCK = 512
 
@@ -31,7 +35,8 @@ def vector_top_k(questions: DataFrame, vectors: DataFrame, k: int = INITIAL_TOP_
 
     Scores are rounded to ``digits`` before ranking, ties go to the smaller id.
     Questions without a vector have no rows. Blocks of questions of bounded size
-    are broadcast; each task sends its own best ``k``, so little is shuffled.
+    are broadcast; a task scores SCORES pairs at a time and sends its own best
+    ``k``, so little is held and little is shuffled.
     """
     spark = questions.sparkSession
     asked = questions.where("embedding IS NOT NULL").select("question_id", "embedding")
@@ -45,17 +50,21 @@ def vector_top_k(questions: DataFrame, vectors: DataFrame, k: int = INITIAL_TOP_
 
         def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
-            top_s, top_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
+            who, score, row = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
+            step = max(k, SCORES // max(len(ids), 1))
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                x = _rows(batch.column("embedding"))
-                s = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, digits)
-                s = np.concatenate((top_s, s), axis=1)
-                i = np.concatenate((top_i, np.broadcast_to(batch.column("id").to_numpy(), (len(ids), len(x)))), axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top_s.shape[1])), pa.array(top_i.reshape(-1)), pa.array(top_s.reshape(-1))], ["question_id", "id", "score"])
+                for lo in range(0, batch.num_rows if len(ids) else 0, step):
+                    part = batch.slice(lo, step)
+                    x = _rows(part.column("embedding"))
+                    s = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, digits)
+                    least = np.partition(s, len(x) - k, axis=1)[:, [len(x) - k]] if len(x) > k else s.min(axis=1, keepdims=True)
+                    i, j = np.nonzero(s >= least)  # ties with the k-th included
+                    who, score, row = np.concatenate((who, i)), np.concatenate((score, s[i, j])), np.concatenate((row, part.column("id").to_numpy()[j]))
+                    order = np.lexsort((row, -score, who))
+                    who, score, row = who[order], score[order], row[order]
+                    nth = np.arange(len(who)) - np.searchsorted(who, who)
+                    who, score, row = (v[nth < k] for v in (who, score, row))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]) if len(who) else pa.array([], pa.int64()), pa.array(row, pa.int64()), pa.array(score, pa.float64())], ["question_id", "id", "score"])
 
         part = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(best, "question_id long, id long, score double")
         out = part if out is None else out.union(part)
@@ -153,7 +162,7 @@ def chunk_block(source: Column, page: Column, section: Column, text: Column) ->
 
 
 def _listed(rows: DataFrame, block: Column, order: Column) -> DataFrame:
-    """(question_id, body): blocks of a question in order; what is listed per question is bounded by the retrieval's limits."""
+    """(question_id, body): blocks of a question in order. A context is one text, so a question's blocks meet in one row."""
     return rows.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), block.alias("b")))), lambda x: x["b"]), "\n\n").alias("body"))
 
 
@@ -169,6 +178,40 @@ def text_context(ranked: DataFrame) -> DataFrame:
     return body.select("question_id", F.concat(F.lit("--- Testo Originale dalle Guide per Contesto Aggiuntivo ---\n\n"), "body").alias("text_context"))
 
 
+def hybrid_anchors(questions: DataFrame, terms: DataFrame, nodes: DataFrame, node_vectors: DataFrame | None = None, close: DataFrame | None = None, top_k: int = INITIAL_TOP_K) -> DataFrame:
+    """(question_id, name): nodes that hold a term, nodes near the question's vector, and the nodes of the chunks ``close`` to it.
+
+    ``node_vectors``: (id, name, embedding); ``close``: (question_id, chunk_id). A
+    question without a vector has keyword anchors only.
+    """
+    anchors = keyword_anchors(terms, nodes)
+    if node_vectors is not None:
+        named = node_vectors.select(F.col("id").cast("long").alias("id"), "name")
+        near = vector_top_k(questions, node_vectors.select("id", "embedding"), top_k).join(named, "id").join(nodes.select("name"), "name", "left_semi")
+        anchors = anchors.union(near.select("question_id", "name"))
+    if close is not None:
+        anchors = anchors.union(close.join(nodes.select("name", F.col("source_chunk_id").alias("chunk_id")), "chunk_id").select("question_id", "name"))
+    return anchors.distinct()
+
+
+def close_chunks(questions: DataFrame, chunk_vectors: DataFrame, top_k: int = INITIAL_TOP_K) -> DataFrame:
+    """(question_id, chunk_id): the chunks of (id, chunk_id, embedding) nearest to each question's vector."""
+    return vector_top_k(questions, chunk_vectors, top_k).join(chunk_vectors.select(F.col("id").cast("long").alias("id"), "chunk_id"), "id").select("question_id", "chunk_id")
+
+
+def rank_chunks(questions: DataFrame, wanted: DataFrame, chunks: DataFrame, top_n: int | None = RERANKED_TOP_N) -> DataFrame:
+    """(question_id, rank, chunk_id, score, source_file, page_number, section_title, text) of the chunks wanted, reranked."""
+    return rerank(fetch_chunks(wanted, chunks).join(questions.select("question_id", "question"), "question_id"), top_n=top_n)
+
+
+def find_raw(questions: DataFrame, terms: DataFrame, nodes: DataFrame, edges: DataFrame, node_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, top_k: int = INITIAL_TOP_K) -> tuple[DataFrame, DataFrame]:
+    """The nodes found (question_id, name), which are the hybrid anchors expanded, and the chunks to rerank (question_id, chunk_id)."""
+    close = cut(close_chunks(questions, chunk_vectors, top_k)) if chunk_vectors is not None else None
+    found = cut(graph.expand(hybrid_anchors(questions, terms, nodes, node_vectors, close, top_k), nodes, edges))
+    wanted = found.join(nodes.select("name", F.col("source_chunk_id").alias("chunk_id")), "name").where("chunk_id != ''").select("question_id", "chunk_id")
+    return found, (wanted if close is None else wanted.union(close))
+
+
 def retrieve_raw(questions: DataFrame, terms: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, node_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, top_k: int = INITIAL_TOP_K, top_n: int = RERANKED_TOP_N) -> DataFrame:
     """Hybrid retrieval: keyword and vector anchors, expanded, their chunks reranked.
 
@@ -177,20 +220,8 @@ def retrieve_raw(questions: DataFrame, terms: DataFrame, nodes: DataFrame, edges
     a candidate and its nodes are anchors. Returns (question_id, rank, chunk_id, score,
     source_file, page_number, section_title, text).
     """
-    anchors = keyword_anchors(terms, nodes)
-    sources = nodes.select("name", F.col("source_chunk_id").alias("chunk_id"))
-    if node_vectors is not None:
-        near = vector_top_k(questions, node_vectors, top_k).join(node_vectors.select(F.col("id").cast("long").alias("id"), "name"), "id")
-        anchors = anchors.union(near.select("question_id", "name")).distinct()
-    if chunk_vectors is not None:
-        close = vector_top_k(questions, chunk_vectors, top_k).join(chunk_vectors.select(F.col("id").cast("long").alias("id"), "chunk_id"), "id").select("question_id", "chunk_id")
-        anchors = anchors.union(close.join(sources, "chunk_id").select("question_id", "name")).distinct()
-    found = graph.expand(anchors, nodes, edges)
-    wanted = found.join(sources, "name").where("chunk_id != ''").select("question_id", "chunk_id")
-    if chunk_vectors is not None:
-        wanted = wanted.union(close)
-    candidates = fetch_chunks(wanted, chunks).join(questions.select("question_id", "question"), "question_id")
-    return rerank(candidates, top_n=top_n)
+    _, wanted = find_raw(questions, terms, nodes, edges, node_vectors, chunk_vectors, top_k)
+    return rank_chunks(questions, wanted, chunks, top_n)
 
 
 def retrieve_aggregated(found: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -212,3 +243,56 @@ def answers(questions: DataFrame, graph_texts: DataFrame, chunk_texts: DataFrame
     reply = model(asked) if model else F.concat(F.lit("Contesto di "), F.length(asked).cast("string"), F.lit(" caratteri."))
     answer = F.when(graph_usable(F.col("graph_context"), F.col("text_context")), reply).otherwise(NO_ANSWER)
     return joined.select("question_id", "question", answer.alias("answer"), usable_contexts(F.col("graph_context"), F.col("text_context")).alias("contexts"))
+
+
+def described(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(question_id, graph_context) of nodes (question_id, name) that a graph query found, in the plainer layout: type and first description."""
+    line = F.concat(F.lit("- Entità: "), "name", F.lit(" (Tipo: "), F.coalesce("type", F.lit("N/A")), F.lit(")"))
+    told = F.when(F.size("descriptions") > 0, F.concat(F.lit("\n  Descrizione: "), F.element_at("descriptions", 1))).otherwise("")
+    rows = found.join(nodes, "name")
+    listed = F.array_sort(F.collect_list(F.struct(F.col("name").alias("o"), F.concat(line, told).alias("b"))))
+    body = rows.groupBy("question_id").agg(F.array_join(F.transform(listed, lambda x: x["b"]), "\n").alias("body"))
+    return body.select("question_id", F.concat(F.lit("Informazioni rilevanti trovate nel Knowledge Graph:\n\n"), "body").alias("graph_context"))
+
+
+def ask(questions: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, mode: str = "raw", node_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, model: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(question_id, question, answer, contexts): a batch of questions from analysis to answer.
+
+    ``questions``: (question_id, question, intent, entities, terms, embedding), what
+    the analysis of a question gives. ``mode`` is ``raw`` (hybrid anchors, expansion,
+    reranking over nodes with one source chunk) or ``aggregated`` (the graph query of
+    the intent over nodes with ``source_chunk_ids`` and ``descriptions``, all chunks).
+    """
+    if mode not in ("raw", "aggregated"):
+        raise ValueError(f"unknown mode: {mode}")
+    if mode == "raw":
+        terms = questions.select("question_id", F.explode(search_terms(F.col("terms"), F.col("entities"))).alias("term"))
+        found, wanted = find_raw(questions, terms, nodes, edges, node_vectors, chunk_vectors)
+        graphs, texts = graph_context(found.join(nodes, "name")), text_context(rank_chunks(questions, wanted, chunks))
+    else:
+        found = graph.find_by_intent(questions, nodes, edges)
+        graphs, texts = described(found, nodes), text_context(retrieve_aggregated(found, nodes, chunks))
+    return answers(questions, graphs, texts, model)
+
+
+def embed(rows: DataFrame, provider: Callable[[list[str]], list[list[float] | None]], text: Column, tries: int = 3) -> DataFrame:
+    """``rows`` with ``embedding``: the provider's vectors of ``text``, batch by batch.
+
+    A batch that fails ``tries`` times has null vectors, and so do null texts: such
+    questions are asked by keywords only, such nodes stay pending.
+    """
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        out: list[list[float] | None] = [None] * len(texts)
+        known = np.flatnonzero(texts.notna().to_numpy()).tolist()
+        for _ in range(tries if known else 0):
+            try:
+                for i, vector in zip(known, provider([texts.iloc[i] for i in known]), strict=True):
+                    out[i] = vector
+                break
+            except Exception:  # noqa: BLE001 - whatever a provider raises counts as a failed try
+                out = [None] * len(texts)
+        return pd.Series(out, dtype=object)
+
+    return rows.withColumn("embedding", vectors(text))

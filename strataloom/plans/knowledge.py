@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import fixed_values as fixed
 from ..functions.lines import token_count
-from ..operators import aggregate, chunking, cluster
+from ..operators import aggregate, chunking, cluster, retrieve
 from ..sources import writers
 from .catalog import register
-from .tables import ENTITIES, LINES, MENTIONS, RELATIONS, clean_sql, lines, mentions, normal_sql, raw_entities, raw_relations, strip_sql, table
+from .tables import ENTITIES, FILE, LINES, MENTIONS, RELATIONS, clean_sql, file_of, lines, mentions, normal_sql, raw_entities, raw_relations, strip_sql, table
 
 _AGGREGATED = f"""e AS (SELECT *, lower(nome_entita) AS norm FROM {ENTITIES}),
 nm AS (SELECT norm, nome_entita AS v FROM e GROUP BY norm, nome_entita QUALIFY row_number() OVER (PARTITION BY norm ORDER BY count(*) DESC, min(ord)) = 1),
@@ -131,6 +133,50 @@ def greedy_clusters(spark, sf_dir):
     return cluster.accept_greedily(offered).select("batch", "ord")
 
 
+# Relations of suppliers to parts, one a pair of their keys; those with the same supplier and size class are one cluster.
+_LINKED = "(SELECT CAST(row_number() OVER (ORDER BY s, p) AS BIGINT) AS idx, 'supplier ' || s AS soggetto_norm, CASE WHEN p % 2 = 0 THEN 'fornisce' ELSE 'vende' END AS predicato_norm, 'part ' || p AS oggetto_norm, ['x' || (p % 3)] AS contesti, ['c' || (p % 50), ''] AS fonti_chunk_id, ['s' || (s % 7)] AS fonti_sezione, n AS conteggio_occorrenze, s, p FROM (SELECT l_suppkey AS s, l_partkey AS p, count(*) AS n FROM lineitem GROUP BY 1, 2))"
+
+
+def _linked(spark, sf_dir):
+    pairs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.count(F.lit(1)).alias("conteggio_occorrenze"))
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    # one row a pair of keys: numbered on the graph's edges, not on the corpus
+    nth = F.row_number().over(Window.orderBy("s", "p")).cast("long")
+    return pairs.select(
+        nth.alias("idx"), text("supplier ", F.col("s")).alias("soggetto_norm"), F.when(F.col("p") % 2 == 0, "fornisce").otherwise("vende").alias("predicato_norm"), text("part ", F.col("p")).alias("oggetto_norm"), F.array(text("x", F.col("p") % 3)).alias("contesti"),
+        F.array(text("c", F.col("p") % 50), F.lit("")).alias("fonti_chunk_id"), F.array(text("s", F.col("s") % 7)).alias("fonti_sezione"), "conteggio_occorrenze", "s", "p",
+    )
+
+
+@register(f"""WITH r AS (SELECT * FROM {_LINKED}), names AS (SELECT lower('Supplier ' || s_suppkey) AS member, arg_max('Fornitore ' || s_nationkey, s_suppkey) AS canonical FROM supplier GROUP BY 1),
+m AS (SELECT 'Fornitore ' || (s % 5) AS soggetto_cluster, 'fornisce' AS predicato_cluster, 'classe ' || (p % 11) AS oggetto_cluster, list_sort(list_distinct(flatten(list(contesti)))) AS contesti_aggregati, list_sort(list_filter(list_distinct(flatten(list(fonti_chunk_id))), lambda x: x <> '')) AS fonti_aggregate_chunk_id,
+  list_sort(list_distinct(flatten(list(fonti_sezione)))) AS fonti_aggregate_sezione, list_sort(list_distinct(list(predicato_norm))) AS predicati_originali_cluster, CAST(sum(conteggio_occorrenze) AS BIGINT) AS conteggio_occorrenze_totale, list_sort(list(CAST(idx AS INTEGER))) AS membri_ids_originali FROM r WHERE p % 3 > 0 GROUP BY s % 5, p % 11)
+SELECT * FROM m UNION ALL SELECT coalesce(canonical, soggetto_norm), predicato_norm, oggetto_norm, contesti, fonti_chunk_id, fonti_sezione, [predicato_norm], conteggio_occorrenze, [CAST(idx AS INTEGER)] FROM r LEFT JOIN names ON soggetto_norm = member WHERE p % 3 = 0""")
+def relation_clusters(spark, sf_dir):
+    relations = cut(_linked(spark, sf_dir))
+    grouped = relations.where("p % 3 > 0").groupBy((F.col("s") % 5).alias("a"), (F.col("p") % 11).alias("b")).agg(F.array_sort(F.collect_list(F.col("idx").cast("int"))).alias("membri_ids"))
+    clusters = grouped.select(
+        (F.col("a") * 11 + F.col("b")).alias("cluster_id"), F.concat(F.lit("Fornitore "), F.col("a").cast("string")).alias("soggetto_cluster"), F.lit("fornisce").alias("predicato_cluster"), F.concat(F.lit("classe "), F.col("b").cast("string")).alias("oggetto_cluster"), "membri_ids"
+    )
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("Fornitore "), F.col("s_nationkey").cast("string")).alias("nome_entita_cluster"), F.array(F.concat(F.lit("Supplier "), F.col("s_suppkey").cast("string"))).alias("membri_cluster"))
+    return cluster.finalize_relations(clusters, relations.drop("s", "p"), cluster.canonical_names(suppliers))
+
+
+# One call for 15 entities and 30 relations; the provider tells what it was shown, and fails on every seventh call.
+@register(f"""WITH e AS (SELECT CAST(floor(p_partkey / 15) AS BIGINT) AS batch, count(*) AS n_entities FROM part GROUP BY 1), r AS (SELECT CAST(floor(idx / 30) AS BIGINT) AS batch, count(*) AS n_relations FROM {_LINKED} GROUP BY 1)
+SELECT coalesce(e.batch, r.batch) AS batch, coalesce(n_entities, 0) AS n_entities, coalesce(n_relations, 0) AS n_relations FROM e FULL JOIN r ON e.batch = r.batch WHERE coalesce(e.batch, r.batch) % 7 > 0""")
+def cluster_calls(spark, sf_dir):
+    import pandas as pd
+
+    def provider(entities: pd.DataFrame, relations: pd.DataFrame) -> pd.DataFrame:
+        batch = int((entities if len(entities) else relations)["batch"].iloc[0])
+        if batch % 7 == 0:
+            raise RuntimeError("no answer")
+        return pd.DataFrame([(batch, len(entities), len(relations))], columns=["batch", "n_entities", "n_relations"])
+
+    return cluster.cluster_together(_parts(spark, sf_dir).select("idx"), _linked(spark, sf_dir).select("idx"), provider, "batch long, n_entities long, n_relations long")
+
+
 @register("""WITH c AS (SELECT lower(c_name) AS member, arg_max(c_mktsegment, c_custkey) AS canonical FROM customer GROUP BY 1)
 SELECT o_orderkey, coalesce(a.canonical, s) AS soggetto_cluster, coalesce(b.canonical, o) AS oggetto_cluster FROM (SELECT o_orderkey, 'customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS s, o_orderpriority AS o FROM orders) LEFT JOIN c a ON lower(s) = a.member LEFT JOIN c b ON lower(o) = b.member""")
 def relation_remap(spark, sf_dir):
@@ -171,9 +217,9 @@ def valid_rows(spark, sf_dir):
     return aggregate.valid_triples(raw_relations(spark, sf_dir)).select("ord", "soggetto", "predicato", "oggetto")
 
 
-@register("""SELECT source AS source_file, string_agg(text || chr(10) || chr(10), '' ORDER BY doc_id) AS text FROM documents WHERE source <> '' AND text <> '' GROUP BY source""")
+@register(f"""SELECT {FILE} AS source_file, string_agg(text || chr(10) || chr(10), '' ORDER BY doc_id) AS text FROM documents WHERE source <> '' AND text <> '' GROUP BY 1""")
 def doc_concat(spark, sf_dir):
-    return chunking.join_by_file(table(spark, sf_dir, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("ord"), "text"))
+    return chunking.join_by_file(table(spark, sf_dir, "documents").select(file_of().alias("source_file"), F.col("doc_id").alias("ord"), "text"))
 
 
 @register(r"""WITH c AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'toc_section' ELSE 'sentence_based' END AS chunk_type, CASE WHEN doc_id % 3 > 0 THEN lang END AS section_title, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS word_count FROM documents)
@@ -183,12 +229,12 @@ def chunk_stats(spark, sf_dir):
     return chunking.chunk_stats(docs)
 
 
-# Pages are documents numbered within their source; a TOC entry of a source is a document of it in every fifth place.
-_PAGES = "(SELECT source AS file, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page_number, doc_id, lang, text FROM documents)"
+# Pages are documents numbered within their file; a TOC entry of a file is a document of it in every fifth place.
+_PAGES = f"(SELECT {FILE} AS file, CAST(row_number() OVER (PARTITION BY {FILE} ORDER BY doc_id) AS INTEGER) AS page_number, doc_id, lang, text FROM documents)"
 
 
 def _pages(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), "doc_id", "lang", "text")
+    docs = table(spark, sf_dir, "documents").select(file_of().alias("file"), "doc_id", "lang", "text")
     return chunking.numbered(docs, ["doc_id"]).withColumn("page_number", (F.col("n") + 1).cast("int")).drop("n")
 
 
@@ -209,9 +255,9 @@ def section_carry_forward(spark, sf_dir):
     return chunking.carry_forward(pages, ["page_number"]).select("file", "page_number", "section", "section_no")
 
 
-@register("SELECT doc_id, source || '_section_' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS chunk_id FROM documents")
+@register(f"SELECT doc_id, {FILE} || '_section_' || (row_number() OVER (PARTITION BY {FILE} ORDER BY doc_id) - 1) AS chunk_id FROM documents")
 def chunk_numbering(spark, sf_dir):
-    rows = chunking.numbered(table(spark, sf_dir, "documents").withColumnRenamed("source", "file"), ["doc_id"])
+    rows = chunking.numbered(table(spark, sf_dir, "documents").select(file_of().alias("file"), "doc_id"), ["doc_id"])
     return rows.select("doc_id", F.concat("file", F.lit("_section_"), F.col("n").cast("string")).alias("chunk_id"))
 
 
@@ -222,12 +268,30 @@ def chunker_choice(spark, sf_dir):
     return chunking.choose_chunks(by_section, docs.select("source_file", "doc_id", F.lit("sentence").alias("kind")))
 
 
-@register()
+# Greedy packing in SQL: sentences of a group one after the other, the state being the tokens of the open chunk and its number.
+_TOKENS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
+
+
+def _packed_sql(key: str) -> str:
+    """b: (key, k, text) chunks of a table g (key, text)."""
+    tokens = _TOKENS.format("s")
+    return f"""s AS (SELECT {key}, i, l[i] AS s, {_TOKENS.format('l[i]')} AS n FROM (SELECT {key}, l, unnest(generate_series(1, len(l))) AS i FROM (
+  SELECT {key}, list_filter(string_split(regexp_replace({strip_sql('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM g))),
+w AS (SELECT {key}, i, s, n, 0 AS k FROM s WHERE i = 1 UNION ALL SELECT {', '.join('s.' + c for c in key.split(', '))}, s.i, s.s, CASE WHEN w.n + s.n > 512 THEN s.n ELSE w.n + s.n END, CASE WHEN w.n + s.n > 512 THEN w.k + 1 ELSE w.k END FROM w JOIN s ON {' AND '.join(f's.{c} = w.{c}' for c in key.split(', '))} AND s.i = w.i + 1),
+b AS (SELECT {key}, k, string_agg(s, ' ' ORDER BY i) AS text FROM w GROUP BY {key}, k)"""
+
+
+@register(f"""WITH RECURSIVE g AS (SELECT file, page_number, text FROM {_PAGES} WHERE len({strip_sql('text')}) > 0), {_packed_sql('file, page_number')}
+SELECT file || '_page_' || page_number || '_chunk_' || k AS chunk_id, text, file AS source_file, page_number, 'sentence_based' AS chunk_type, CAST({_TOKENS.format('text')} AS INTEGER) AS word_count FROM b""")
 def sentence_chunks(spark, sf_dir):
     return chunking.sentence_chunks(_pages(spark, sf_dir).select("file", "page_number", "text"))
 
 
-@register()
+@register(f"""WITH RECURSIVE p AS (SELECT file, page_number, CASE WHEN page_number % 4 = 0 THEN lang END AS title, coalesce(text, '') AS text FROM {_PAGES}), c AS (SELECT *, last_value(title IGNORE NULLS) OVER (PARTITION BY file ORDER BY page_number ROWS UNBOUNDED PRECEDING) AS section FROM p),
+d AS (SELECT *, CASE WHEN section IS NOT NULL AND section IS DISTINCT FROM lag(section) OVER (PARTITION BY file ORDER BY page_number) THEN 1 ELSE 0 END AS changed FROM c), r AS (SELECT *, CAST(sum(changed) OVER (PARTITION BY file ORDER BY page_number ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section_no FROM d),
+g AS (SELECT file, section_no, any_value(section) AS section_title, max(page_number) AS page_number, string_agg(text, ' ' ORDER BY page_number) AS text FROM r GROUP BY file, section_no), {_packed_sql('file, section_no')}
+SELECT b.file || '_section_' || (row_number() OVER (PARTITION BY b.file ORDER BY b.section_no, k) - 1) AS chunk_id, b.text, b.file AS source_file, page_number, section_title, CASE WHEN k < max(k) OVER (PARTITION BY b.file, b.section_no) THEN 'toc_section_split' ELSE 'toc_section' END AS chunk_type, CAST({_TOKENS.format('b.text')} AS INTEGER) AS word_count
+FROM b JOIN g USING (file, section_no)""")
 def section_chunks(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     titled = pages.select("file", "page_number", F.when(F.col("page_number") % 4 == 0, F.col("lang")).alias("section_title"), F.coalesce("text", F.lit("")).alias("text"))
@@ -240,19 +304,36 @@ def chunk_store(spark, sf_dir):
     return writers.chunk_table(rows)
 
 
-@register(f"""SELECT doc_id, name AS nome_entita, pos FROM {MENTIONS} WHERE name <> ''""")
+@register(f"""SELECT doc_id, name AS nome_entita, pos, source AS source_file FROM {MENTIONS} WHERE name <> '' AND doc_id % 9 > 0""")
 def extract_stub(spark, sf_dir):
-    """An extraction provider that finds the long words of a chunk."""
+    """An extraction provider that finds the long words of a chunk; it fails for good on some chunks and at first on all others."""
     import pandas as pd
     import regex
 
     word = regex.compile(r"\p{L}{6,}")
+    tried = set()
 
     def provider(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(d, w, k) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for k, w in enumerate(word.findall(t))]
-        return pd.DataFrame(rows, columns=["doc_id", "nome_entita", "pos"])
-
-    return cluster.extract_in_batches(table(spark, sf_dir, "documents").select("doc_id", "text"), provider, "doc_id long, nome_entita string, pos int")
+        key = tuple(frame["doc_id"])
+        first = key not in tried
+        tried.add(key)
+        if first or any(d % 9 == 0 for d in key):
+            raise TimeoutError("no answer")
+        rows = [(i, d, w, k) for i, d, t in zip(frame.index, frame["doc_id"], frame["text"], strict=True) for k, w in enumerate(word.findall(t))]
+        return pd.DataFrame(rows, columns=["i", "doc_id", "nome_entita", "pos"]).set_index("i")
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("source_file"))
+    return cluster.extract_in_batches(docs, provider, "doc_id long, nome_entita string, pos int", ["source_file"], size=1)
+
+
+# Vectors of texts by an offline provider: lengths and counts. Texts the provider fails on stay without one.
+@register("SELECT doc_id, CASE WHEN text IS NOT NULL AND doc_id % 10 > 0 THEN [CAST(len(text) AS FLOAT), CAST(len(text) - len(replace(text, ' ', '')) AS FLOAT)] END AS embedding FROM documents")
+def embed_texts(spark, sf_dir):
+    def provider(texts: list[str]) -> list[list[float] | None]:
+        return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieve.embed(docs, provider, F.when(F.col("doc_id") % 10 > 0, F.col("text"))).select("doc_id", "embedding")
 
 
 @register(f"SELECT 'raw' AS stage, count(*) AS n FROM {MENTIONS} UNION ALL SELECT 'aggregated', count(DISTINCT lower(name)) FROM {MENTIONS} UNION ALL SELECT 'clustered', count(DISTINCT left(lower(name), 3)) FROM {MENTIONS}")

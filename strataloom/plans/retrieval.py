@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..functions import names as N
+from ..functions import responses as R
 from ..operators import aggregate, evaluate, graph, retrieve
 from ..sources import readers, writers
 from ..streaming import ingest
 from .catalog import register
-from .tables import EDGES, ENTITIES, MENTIONS, NODES, clean_sql, graph_edges, graph_nodes, mentions, normal_sql, raw_entities, raw_relations, table
+from .tables import EDGES, ENTITIES, MENTIONS, NODES, clean_sql, graph_edges, graph_nodes, listed, mentions, normal_sql, quoted, raw_entities, raw_relations, table
 
 # An undirected view of the edges.
 _UND = f"(SELECT edge_id, src AS node, dst AS neighbor, type FROM {EDGES} UNION ALL SELECT edge_id, dst, src, type FROM {EDGES} WHERE src <> dst)"
@@ -29,17 +31,18 @@ _CHAIN = """(SELECT event_id AS edge_id, 'event ' || event_id AS src, 'event ' |
 p AS (SELECT start, src, dst, [start, dst] AS nodes, [edge_id] AS edge_ids FROM s JOIN e ON start = src UNION ALL SELECT p.start, e.src, e.dst, list_append(nodes, e.dst), list_append(edge_ids, e.edge_id) FROM p JOIN e ON p.dst = e.src WHERE len(edge_ids) < 5 AND NOT list_contains(edge_ids, e.edge_id))
 SELECT start, nodes, edge_ids, CAST(len(edge_ids) AS INTEGER) AS length FROM p QUALIFY row_number() OVER (PARTITION BY start ORDER BY len(edge_ids) DESC, edge_ids) <= 3""")
 def proc_paths(spark, sf_dir):
-    from pyspark.sql import Window
+    starts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("e")).select(F.concat(F.lit("event "), F.col("e").cast("string")).alias("start"))
+    return graph.longest(graph.trails(starts, _event_chain(spark, sf_dir), graph.PROCEDURE_STEPS))
 
-    events = table(spark, sf_dir, "events")
-    chain = events.withColumn("nxt", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("nxt IS NOT NULL")
+
+def _event_chain(spark, sf_dir):
+    chain = table(spark, sf_dir, "events").withColumn("nxt", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("nxt IS NOT NULL")
     kind = F.when(F.col("event_type") == "purchase", "altro").when(F.col("event_id") % 2 == 0, "haPassoSuccessivo").otherwise("includeOperazione")
-    edges = chain.select(F.col("event_id").alias("edge_id"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("src"), F.concat(F.lit("event "), F.col("nxt").cast("string")).alias("dst"), kind.alias("type"))
-    starts = events.groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("e")).select(F.concat(F.lit("event "), F.col("e").cast("string")).alias("start"))
-    return graph.longest(graph.trails(starts, edges, ["hapassosuccessivo", "includeoperazione"]))
+    name = lambda c: F.concat(F.lit("event "), F.col(c).cast("string"))
+    return chain.select(F.col("event_id").alias("edge_id"), name("event_id").alias("src"), name("nxt").alias("dst"), kind.alias("type"))
 
 
-@register(f"""SELECT s.start, a.dst AS prerequisite, b.dst AS document FROM (SELECT 'part ' || p_partkey AS start FROM part UNION ALL SELECT 'supplier ' || s_suppkey FROM supplier UNION ALL SELECT 'customer ' || c_custkey FROM customer) s
+@register(f"""SELECT s.start, a.dst AS prerequisite, b.dst AS document FROM (SELECT name AS start FROM {NODES}) s
 LEFT JOIN {EDGES} a ON a.src = s.start AND lower(a.type) = 'haprerequisito' LEFT JOIN {EDGES} b ON b.src = s.start AND lower(b.type) = 'richiededocumento'""")
 def requirements_join(spark, sf_dir):
     return graph.requirements(graph_nodes(spark, sf_dir).select(F.col("name").alias("start")), graph_edges(spark, sf_dir))
@@ -59,12 +62,19 @@ def generic_1hop(spark, sf_dir):
     return graph.one_hop(_starts(spark, sf_dir, "supplier", "supplier", "s_suppkey"), graph_edges(spark, sf_dir), 5)
 
 
-# Paths between nations over their customers and regions: the SQL sees this part of the graph only, the plan all of it.
-_SMALL = "(SELECT edge_id, node, neighbor FROM (SELECT CAST(n_nationkey AS BIGINT) AS edge_id, 'nation ' || n_nationkey AS node, 'region ' || n_regionkey AS neighbor FROM nation UNION ALL SELECT CAST(n_nationkey AS BIGINT), 'region ' || n_regionkey, 'nation ' || n_nationkey FROM nation UNION ALL SELECT 1000000000 + c_custkey, 'customer ' || c_custkey, 'nation ' || c_nationkey FROM customer UNION ALL SELECT 1000000000 + c_custkey, 'nation ' || c_nationkey, 'customer ' || c_custkey FROM customer))"
+_LINKS = f"l AS (SELECT DISTINCT node, neighbor FROM {_UND})"
+
+
+def _reached_sql(name: str, starts: str, most: int = 10) -> str:
+    """Hops from every start to every node at most ``most`` away, by a search that keeps one row a node."""
+    return f"""{name}(src, place, d) USING KEY (src, place) AS (SELECT src, src, 0 FROM ({starts}) UNION SELECT b.src, l.neighbor, min(b.d) + 1 FROM {name} b JOIN l ON l.node = b.place
+WHERE b.d < {most} AND NOT EXISTS (SELECT 1 FROM recurring.{name} r WHERE r.src = b.src AND r.place = l.neighbor) GROUP BY b.src, l.neighbor)"""
+
+
+_NATIONS = "SELECT 'nation ' || n_nationkey AS src, 'nation ' || ((n_nationkey * 7 + 5) % 25) AS dst FROM nation"
 
 
-@register(f"""WITH RECURSIVE l AS (SELECT DISTINCT node, neighbor FROM {_SMALL}), b AS (SELECT 'nation ' || n_nationkey AS src, 'nation ' || n_nationkey AS place, 0 AS d FROM nation UNION SELECT src, neighbor, d + 1 FROM b JOIN l ON place = node WHERE d < 4)
-SELECT x.src, x.dst, CAST(min(d) AS INTEGER) AS length FROM (SELECT 'nation ' || a.n_nationkey AS src, 'nation ' || b.n_nationkey AS dst FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey * 7 + 5) % 25) x JOIN b ON b.src = x.src AND b.place = x.dst GROUP BY 1, 2""")
+@register(f"""WITH RECURSIVE {_LINKS}, {_reached_sql('b', _NATIONS)} SELECT x.src, x.dst, CAST(d AS INTEGER) AS length FROM ({_NATIONS}) x JOIN b ON b.src = x.src AND b.place = x.dst""")
 def shortest_path_len(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").select("n_nationkey")
     name = lambda c: F.concat(F.lit("nation "), c.cast("string"))
@@ -76,33 +86,45 @@ _TERMS = ["Nation 1", "region", "SUPPLIER 1", "zz", "nation 24", "9"]
 _TERMS_SQL = "(SELECT unnest(['Nation 1', 'region', 'SUPPLIER 1', 'zz', 'nation 24', '9']) AS term)"
 
 
-@register(f"""WITH n AS (SELECT name FROM {NODES} WHERE name NOT LIKE 'order %' AND name NOT LIKE 'part %'), h AS (SELECT term, name FROM {_TERMS_SQL} JOIN n ON contains(lower(name), lower(term))), l AS (SELECT DISTINCT node, neighbor FROM {_UND})
+@register(f"""WITH n AS (SELECT name FROM {NODES}), h AS (SELECT term, name FROM {_TERMS_SQL} JOIN n ON contains(lower(name), lower(term))), l AS (SELECT DISTINCT node, neighbor FROM {_UND})
 SELECT term, name, neighbor FROM h LEFT JOIN l ON l.node = h.name QUALIFY row_number() OVER (PARTITION BY term ORDER BY name, neighbor NULLS FIRST) <= 10""")
 def fallback_search(spark, sf_dir):
     terms = spark.createDataFrame([(t,) for t in _TERMS], "term string")
     return graph.search_or_neighbors(terms, graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir))
 
 
-# A question's key words: all of its distinct long words; the SQL takes the first three.
-_QTERMS = r"(SELECT item_id AS question_id, unnest(list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:3]) AS term FROM (SELECT item_id, regexp_extract_all(lower(text), '\p{L}{7,}') AS ws FROM benchmark))"
+# A question's search terms: all of its long words and, as names of entities, its capitalised words.
+_QTERMS = r"(SELECT item_id AS question_id, unnest(list_distinct(list_concat(regexp_extract_all(lower(text), '\p{L}{7,}'), list_transform(regexp_extract_all(text, '\p{Lu}\p{L}{5,}'), lambda w: lower(w))))) AS term FROM benchmark)"
+
+
+def _questions(spark, sf_dir):
+    """Every question as its analysis gives it: (question_id, question, entities, terms, embedding); some have no vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    found = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    asked = table(spark, sf_dir, "benchmark").join(vectors, "item_id", "left")
+    return asked.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), found("text", r"\p{Lu}\p{L}{5,}").alias("entities"), found(F.lower("text"), r"\p{L}{7,}").alias("terms"), "embedding")
 
 
 def _question_terms(spark, sf_dir):
-    long = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{7,}"), F.lit(0)))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(long).alias("term"))
+    return _questions(spark, sf_dir).select("question_id", F.explode(N.search_terms(F.col("terms"), F.col("entities"))).alias("term"))
+
+
+@register(f"SELECT * FROM {_QTERMS}")
+def search_terms(spark, sf_dir):
+    return _question_terms(spark, sf_dir)
 
 
 _NODES_SQL = f"""k AS (SELECT *, {clean_sql('nome_entita')} AS x FROM {ENTITIES}), m AS (SELECT *, {normal_sql('x')} AS name FROM k), nodes AS (SELECT name, arg_min(source_chunk_id, ord) AS source_chunk_id, arg_min(tipo_entita, ord) AS type, arg_min(coalesce(descrizione_entita, ''), ord) AS description FROM m WHERE name <> '' GROUP BY name),
 spell AS (SELECT DISTINCT name, nome_entita FROM m)"""
 _ANCHORS_SQL = f"""anchors AS (SELECT DISTINCT question_id, s.name FROM {_QTERMS} t JOIN spell s ON contains(lower(s.name), t.term) OR contains(lower(s.nome_entita), t.term))"""
 _LINKS_SQL = f"""links AS (SELECT ord AS edge_id, {normal_sql('sx')} AS src, {normal_sql('ox')} AS dst FROM (SELECT ord, lower(soggetto) AS sx, lower(oggetto) AS ox FROM (
-  SELECT doc_id * 1000000 + pos AS ord, name AS soggetto, lead(name) OVER (PARTITION BY doc_id ORDER BY pos) AS oggetto FROM {MENTIONS}) WHERE oggetto IS NOT NULL))"""
-_FOUND_SQL = """found AS (SELECT question_id, name FROM anchors UNION SELECT a.question_id, o.name FROM (SELECT DISTINCT question_id, source_chunk_id FROM anchors JOIN nodes USING (name)) a JOIN nodes o ON a.source_chunk_id = o.source_chunk_id
-  UNION SELECT question_id, dst FROM anchors JOIN links ON src = name UNION SELECT question_id, src FROM anchors JOIN links ON dst = name)"""
+  SELECT doc_id * 4294967296 + pos AS ord, name AS soggetto, lead(name) OVER (PARTITION BY doc_id ORDER BY pos) AS oggetto FROM {MENTIONS}) WHERE oggetto IS NOT NULL))"""
+_FOUND_SQL = """found AS (SELECT question_id, name FROM hybrid UNION SELECT a.question_id, o.name FROM (SELECT DISTINCT question_id, source_chunk_id FROM hybrid JOIN nodes USING (name)) a JOIN nodes o ON a.source_chunk_id = o.source_chunk_id
+  UNION SELECT question_id, dst FROM hybrid JOIN links ON src = name UNION SELECT question_id, src FROM hybrid JOIN links ON dst = name)"""
 
 
 def _mention_graph(spark, sf_dir):
-    nodes = cut(aggregate.merge_nodes_raw(raw_entities(spark, sf_dir)))  # a graph is loaded once and queried many times
+    nodes = cut(aggregate.merge_nodes_raw(raw_entities(spark, sf_dir)))
     edges = cut(aggregate.edges_raw(raw_relations(spark, sf_dir), nodes).select("edge_id", "src", "dst", F.col("predicate").alias("type")))
     return nodes, edges
 
@@ -126,49 +148,52 @@ def vector_topk(spark, sf_dir):
     return retrieve.vector_top_k(_question_vectors(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")).select("question_id", "id", "rank")
 
 
-@register(f"""WITH {_NODES_SQL}, {_ANCHORS_SQL} SELECT question_id, name FROM anchors UNION SELECT question_id, 'vector ' || id FROM {_TOP}""")
-def hybrid_anchor(spark, sf_dir):
-    return keyword_anchor(spark, sf_dir).union(vector_topk(spark, sf_dir).select("question_id", F.concat(F.lit("vector "), F.col("id").cast("string")).alias("name"))).distinct()
-
-
-@register(f"WITH {_NODES_SQL}, {_ANCHORS_SQL}, {_LINKS_SQL}, {_FOUND_SQL} SELECT * FROM found")
-def expand_subgraph(spark, sf_dir):
-    nodes, edges = _mention_graph(spark, sf_dir)
-    return graph.expand(retrieve.keyword_anchors(_question_terms(spark, sf_dir), nodes), nodes, edges)
-
-
 _CHUNKS_SQL = "chunks AS (SELECT source || '_section_' || doc_id AS chunk_id, text, source AS source_file, CAST(doc_id % 7 AS INTEGER) AS page_number, lang AS section_title FROM documents)"
+# The 20 chunks nearest to a question; all vectors of documents take part.
+_CLOSE_SQL = f"""close AS (SELECT b.item_id AS question_id, d.source || '_section_' || d.doc_id AS chunk_id FROM benchmark b JOIN embeddings q ON b.item_id = q.vec_id CROSS JOIN embeddings v JOIN documents d ON d.doc_id = v.vec_id QUALIFY row_number() OVER (PARTITION BY b.item_id ORDER BY {_COSINE} DESC, v.vec_id) <= 20)"""
+_HYBRID_SQL = "hybrid AS (SELECT question_id, name FROM anchors UNION SELECT question_id, name FROM close JOIN nodes ON chunk_id = source_chunk_id)"
 
 
 def _chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.concat("source", F.lit("_section_"), F.col("doc_id").cast("string")).alias("chunk_id"), "text", F.col("source").alias("source_file"), (F.col("doc_id") % 7).cast("int").alias("page_number"), F.col("lang").alias("section_title"))
 
 
-def _asked(spark, sf_dir):
-    """Every question, with its vector if it has one."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return table(spark, sf_dir, "benchmark").join(vectors, "item_id", "left").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), "embedding")
-
-
 def _chunk_vectors(spark, sf_dir):
     """All vectors with the chunk of the document they belong to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("_section_"), F.col("doc_id").cast("string")).alias("chunk_id"))
     return table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("id"), "chunk_id", "embedding")
 
 
+@register(f"WITH {_NODES_SQL}, {_ANCHORS_SQL}, {_CLOSE_SQL}, {_HYBRID_SQL} SELECT question_id, name FROM hybrid")
+def hybrid_anchor(spark, sf_dir):
+    nodes = cut(aggregate.merge_nodes_raw(raw_entities(spark, sf_dir)))
+    questions = _questions(spark, sf_dir)
+    return retrieve.hybrid_anchors(questions, _question_terms(spark, sf_dir), nodes, close=retrieve.close_chunks(questions, _chunk_vectors(spark, sf_dir)))
+
+
+@register(f"WITH {_NODES_SQL}, {_ANCHORS_SQL}, {_CLOSE_SQL}, {_HYBRID_SQL}, {_LINKS_SQL}, {_FOUND_SQL} SELECT * FROM found")
+def expand_subgraph(spark, sf_dir):
+    nodes, edges = _mention_graph(spark, sf_dir)
+    return retrieve.find_raw(_questions(spark, sf_dir), _question_terms(spark, sf_dir), nodes, edges, chunk_vectors=_chunk_vectors(spark, sf_dir))[0]
+
+
 def _distinct_words(x: str) -> str:
     return f"list_distinct(list_filter(string_split_regex(lower({x}), '\\s+'), lambda w: w <> ''))"
 
 
-_RANKED_SQL = f"""cand AS (SELECT DISTINCT question_id, source_chunk_id AS chunk_id FROM found JOIN nodes USING (name)),
+_RANKED_SQL = f"""cand AS (SELECT question_id, source_chunk_id AS chunk_id FROM found JOIN nodes USING (name) UNION SELECT question_id, chunk_id FROM close),
 scored AS (SELECT c.question_id, c.chunk_id, round(len(list_intersect(qw, cw)) / greatest(len(qw), 1), 6) AS score FROM cand c JOIN (SELECT chunk_id, {_distinct_words("coalesce(text, '')")} AS cw FROM chunks) k USING (chunk_id) JOIN (SELECT item_id, {_distinct_words('text')} AS qw FROM benchmark) b ON b.item_id = c.question_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS "rank" FROM scored QUALIFY "rank" <= 5)"""
 
 
-@register(f'WITH {_NODES_SQL}, {_ANCHORS_SQL}, {_LINKS_SQL}, {_FOUND_SQL}, {_CHUNKS_SQL}, {_RANKED_SQL} SELECT question_id, "rank", chunk_id, score FROM ranked')
+_RAW_SQL = f"{_NODES_SQL}, {_ANCHORS_SQL}, {_CLOSE_SQL}, {_HYBRID_SQL}, {_LINKS_SQL}, {_FOUND_SQL}, {_CHUNKS_SQL}, {_RANKED_SQL}"
+
+
+@register(f'WITH {_RAW_SQL} SELECT question_id, "rank", chunk_id, score FROM ranked')
 def retrieve_raw(spark, sf_dir):
     nodes, edges = _mention_graph(spark, sf_dir)
-    return retrieve.retrieve_raw(_asked(spark, sf_dir), _question_terms(spark, sf_dir), nodes, edges, _chunks(spark, sf_dir), chunk_vectors=_chunk_vectors(spark, sf_dir)).select("question_id", "rank", "chunk_id", "score")
+    found = retrieve.retrieve_raw(_questions(spark, sf_dir), _question_terms(spark, sf_dir), nodes, edges, _chunks(spark, sf_dir), chunk_vectors=_chunk_vectors(spark, sf_dir))
+    return found.select("question_id", "rank", "chunk_id", "score")
 
 
 @register(f"""WITH {_NODES_SQL}, {_ANCHORS_SQL}, {_CHUNKS_SQL} SELECT question_id, chunk_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY coalesce(page_number, 0), chunk_id) AS INTEGER) AS "rank" FROM (SELECT DISTINCT question_id, source_chunk_id AS chunk_id FROM anchors JOIN nodes USING (name)) JOIN chunks USING (chunk_id)""")
@@ -179,7 +204,7 @@ def retrieve_aggregated(spark, sf_dir):
     return retrieve.retrieve_aggregated(found, sources, _chunks(spark, sf_dir)).select("question_id", "chunk_id", "rank")
 
 
-@register(f"""WITH {_CHUNKS_SQL}, s AS (SELECT item_id AS question_id, chunk_id, round(len(list_intersect(qw, cw)) / greatest(len(qw), 1), 6) AS score FROM (SELECT item_id, {_distinct_words('text')} AS qw FROM benchmark) b JOIN (SELECT chunk_id, page_number, {_distinct_words("coalesce(text, '')")} AS cw FROM chunks) c ON b.item_id % 7 = c.page_number)
+@register(f"""WITH {_CHUNKS_SQL}, s AS (SELECT item_id AS question_id, chunk_id, round(len(list_intersect(qw, cw)) / greatest(len(qw), 1), 6) AS score FROM (SELECT item_id, {_distinct_words('text')} AS qw FROM benchmark) b JOIN (SELECT chunk_id, {_distinct_words("coalesce(text, '')")} AS cw FROM chunks) c ON true)
 SELECT question_id, chunk_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS "rank" FROM s QUALIFY "rank" <= 5""")
 def rerank_top5(spark, sf_dir):
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
@@ -192,21 +217,106 @@ def dedupe_first_seen(spark, sf_dir):
     return retrieve.first_seen(rows, ["name", "lang"], "o").select("doc_id", "name")
 
 
-@register(f"""WITH {_NODES_SQL}, {_ANCHORS_SQL}, v AS (SELECT name, list(nome_entita ORDER BY f) AS vs FROM (SELECT name, nome_entita, min(ord) AS f FROM m GROUP BY 1, 2) GROUP BY name)
-SELECT question_id, 'Informazioni rilevanti trovate nel Knowledge Graph:' || chr(10) || chr(10) || string_agg('✓ **Entità trovata**: ' || name || chr(10) || '  • Tipo: ' || type || CASE WHEN description <> '' THEN chr(10) || '  • Descrizione: ' || description ELSE '' END || chr(10) || '  • Varianti trovate: ' || array_to_string(vs[1:3], ', ') || CASE WHEN len(vs) > 3 THEN '...' ELSE '' END, chr(10) || chr(10) ORDER BY name) AS graph_context
-FROM anchors JOIN nodes USING (name) JOIN v USING (name) GROUP BY question_id""")
+_SPELLINGS_SQL = "v AS (SELECT name, list(nome_entita ORDER BY f) AS vs FROM (SELECT name, nome_entita, min(ord) AS f FROM m GROUP BY 1, 2) GROUP BY name)"
+
+
+def _context_sql(found: str) -> str:
+    """(question_id, graph_context) of the nodes of a table (question_id, name)."""
+    return f"""(SELECT question_id, 'Informazioni rilevanti trovate nel Knowledge Graph:' || chr(10) || chr(10) || string_agg('✓ **Entità trovata**: ' || name || chr(10) || '  • Tipo: ' || type || CASE WHEN description <> '' THEN chr(10) || '  • Descrizione: ' || description ELSE '' END
+|| chr(10) || '  • Varianti trovate: ' || array_to_string(vs[1:3], ', ') || CASE WHEN len(vs) > 3 THEN '...' ELSE '' END, chr(10) || chr(10) ORDER BY name) AS graph_context FROM {found} JOIN nodes USING (name) JOIN v USING (name) GROUP BY question_id)"""
+
+
+@register(f"WITH {_NODES_SQL}, {_ANCHORS_SQL}, {_SPELLINGS_SQL} SELECT * FROM {_context_sql('anchors')}")
 def context_render(spark, sf_dir):
-    nodes = aggregate.merge_nodes_raw(raw_entities(spark, sf_dir))
+    nodes = cut(aggregate.merge_nodes_raw(raw_entities(spark, sf_dir)))
     return retrieve.graph_context(retrieve.keyword_anchors(_question_terms(spark, sf_dir), nodes).join(nodes, "name"))
 
 
-@register()
+def _texts_sql(ranked: str) -> str:
+    """(question_id, text_context) of a table (question_id, rank, chunk_id) with its chunks."""
+    return f"""(SELECT question_id, '--- Testo Originale dalle Guide per Contesto Aggiuntivo ---' || chr(10) || chr(10) || string_agg('Fonte: ' || source_file || ' - Pagina ' || chunks.page_number || ' - Sezione ' || chr(39) || coalesce(section_title, 'N/A') || chr(39) || chr(10) || '```' || chr(10) || coalesce(text, '') || chr(10) || '```', chr(10) || chr(10) ORDER BY "rank") AS text_context
+FROM {ranked} JOIN chunks USING (chunk_id) GROUP BY question_id)"""
+
+
+def _answers_sql(graphs: str, texts: str) -> str:
+    """Questions with the offline answer and the contexts it had."""
+    head, graph, text, tail = R.PROMPTS["answer"].split("%s")
+    asked = f"len({quoted(head)} || question || {quoted(graph)} || g || {quoted(text)} || t || {quoted(tail)})"
+    return f"""SELECT question_id, question, CASE WHEN NOT ((g = '' OR contains(g, 'Nessuna')) AND (t = '' OR contains(t, 'Nessun'))) THEN 'Contesto di ' || {asked} || ' caratteri.' ELSE {quoted(R.NO_ANSWER)} END AS answer,
+list_filter([CASE WHEN g <> '' AND NOT contains(g, 'Nessuna') THEN g END, CASE WHEN t <> '' AND NOT contains(t, 'Nessun') THEN t END], lambda x: x IS NOT NULL) AS contexts
+FROM (SELECT item_id AS question_id, text AS question, coalesce(graph_context, {quoted(R.NO_GRAPH)}) AS g, coalesce(text_context, '') AS t FROM benchmark LEFT JOIN {graphs} gs ON gs.question_id = item_id LEFT JOIN {texts} ts ON ts.question_id = item_id)"""
+
+
+@register(f"WITH {_RAW_SQL}, {_SPELLINGS_SQL} {_answers_sql(_context_sql('found'), _texts_sql('ranked'))}")
 def qa_batch(spark, sf_dir):
     nodes, edges = _mention_graph(spark, sf_dir)
-    questions, terms = _asked(spark, sf_dir), _question_terms(spark, sf_dir)
-    texts = retrieve.text_context(retrieve.retrieve_raw(questions, terms, nodes, edges, _chunks(spark, sf_dir), chunk_vectors=_chunk_vectors(spark, sf_dir)))
-    graphs = retrieve.graph_context(retrieve.keyword_anchors(terms, nodes).join(nodes, "name"))
-    return retrieve.answers(questions, graphs, texts)
+    return retrieve.ask(_questions(spark, sf_dir), nodes, edges, _chunks(spark, sf_dir), "raw", chunk_vectors=_chunk_vectors(spark, sf_dir))
+
+
+# Questions of every intent over the whole typed graph, to which the users' events belong as actions; the number in a node's name is the document it comes from.
+_ALL_NODES = f"(SELECT name, type, label FROM {NODES} UNION ALL SELECT 'event ' || event_id, 'AzioneUtente', event_type FROM events)"
+_ALL_EDGES = f"(SELECT edge_id, src, dst, type FROM {EDGES} UNION ALL SELECT 20000000000 + edge_id, src, dst, type FROM {_CHAIN})"
+_ALL_UND = f"(SELECT edge_id, src AS node, dst AS neighbor, type FROM {_ALL_EDGES} UNION ALL SELECT edge_id, dst, src, type FROM {_ALL_EDGES} WHERE src <> dst)"
+_INTENTS = ["find_procedure", "find_requirements", "find_definition", "find_relationship", "generic_search", "find_definition"]
+_ENTITIES = [
+    "['event ' || item_id, 'event ' || (item_id + 1)]", "['customer ' || item_id, 'order ' || item_id, 'part ' || (item_id + 1)]", "['nation ' || (item_id % 25)]",
+    "['supplier ' || (item_id % 10 + 1), 'customer ' || (item_id + 1)]", "['supplier ' || (item_id % 10 + 1)]", "['Nation ' || (item_id % 25), '']",
+]
+_INTENT_QUESTIONS = f"q AS (SELECT item_id AS question_id, {listed(_INTENTS)}[item_id % 6 + 1] AS intent, CASE item_id % 6 {' '.join(f'WHEN {i} THEN {e}' for i, e in enumerate(_ENTITIES))} END AS names FROM benchmark)"
+_TWO = "SELECT question_id, names[1] AS src, names[2] AS dst FROM q WHERE intent = 'find_relationship'"
+_INTENT_SQL = f"""{_INTENT_QUESTIONS}, n AS (SELECT * FROM {_ALL_NODES}), e AS (SELECT * FROM {_ALL_EDGES}), und AS (SELECT * FROM {_ALL_UND}), l AS (SELECT DISTINCT node, neighbor FROM und),
+st AS (SELECT DISTINCT question_id, name AS start FROM (SELECT question_id, unnest(names) AS name FROM q WHERE intent = 'find_procedure') JOIN n USING (name) WHERE type IN ('AzioneUtente', 'FunzionalitàPiattaforma', 'PiattaformaModulo')),
+steps AS (SELECT * FROM e WHERE lower(type) IN ('hapassosuccessivo', 'includeoperazione')),
+p AS (SELECT question_id, dst AS place, [start, dst] AS nodes, [edge_id] AS ids FROM st JOIN steps ON src = start UNION ALL SELECT question_id, dst, list_append(nodes, dst), list_append(ids, edge_id) FROM p JOIN steps ON src = place WHERE len(ids) < 5 AND NOT list_contains(ids, edge_id)),
+f1 AS (SELECT question_id, unnest(nodes) AS name FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY len(ids) DESC, ids) <= 3)),
+r AS (SELECT question_id, name AS start, a.dst AS pre, b.dst AS doc FROM (SELECT DISTINCT question_id, unnest(names) AS name FROM q WHERE intent = 'find_requirements') JOIN n USING (name) LEFT JOIN e a ON a.src = name AND lower(a.type) = 'haprerequisito' LEFT JOIN e b ON b.src = name AND lower(b.type) = 'richiededocumento'),
+f2 AS (SELECT question_id, unnest(CASE WHEN pre IS NOT NULL OR doc IS NOT NULL THEN [start, pre, doc] ELSE [NULL] END) AS name FROM r),
+f3 AS (SELECT question_id, unnest([node, neighbor]) AS name FROM (SELECT question_id, node, neighbor FROM q JOIN und ON node = names[1] WHERE intent IN ('find_definition', 'generic_search') QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY und.type, neighbor, edge_id) <= CASE intent WHEN 'find_definition' THEN 15 ELSE 5 END)),
+{_reached_sql('ds', f'SELECT DISTINCT src FROM ({_TWO})')}, {_reached_sql('dd', f'SELECT DISTINCT dst AS src FROM ({_TWO})')},
+w AS (SELECT question_id, t.src, dst, d FROM ({_TWO}) t JOIN ds ON ds.src = t.src AND ds.place = t.dst WHERE t.src <> t.dst),
+g AS (SELECT question_id, src AS name, 0 AS k FROM w UNION ALL SELECT g.question_id, min(l.neighbor), g.k + 1 FROM g JOIN w ON w.question_id = g.question_id JOIN l ON l.node = g.name JOIN dd ON dd.src = w.dst AND dd.place = l.neighbor AND dd.d = w.d - g.k - 1 WHERE g.k < w.d GROUP BY g.question_id, g.k),
+f AS (SELECT * FROM f1 UNION SELECT * FROM f2 UNION SELECT * FROM f3 UNION SELECT question_id, name FROM g),
+m AS (SELECT q.question_id, names[1] AS term FROM q WHERE question_id NOT IN (SELECT question_id FROM f)),
+h AS (SELECT question_id, n.name, l.neighbor FROM m JOIN n ON contains(lower(n.name), lower(term)) LEFT JOIN l ON l.node = n.name QUALIFY row_number() OVER (PARTITION BY term, question_id ORDER BY n.name, neighbor NULLS FIRST) <= 10),
+found AS (SELECT DISTINCT question_id, name FROM (SELECT * FROM f UNION ALL SELECT question_id, unnest([name, neighbor]) FROM h) WHERE name IS NOT NULL)"""
+
+
+def _all_graph(spark, sf_dir):
+    """Nodes (name, type, descriptions, source_chunk_ids) and edges of the typed graph with the users' events."""
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("name"), F.lit("AzioneUtente").alias("type"), F.col("event_type").alias("label"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), F.concat("source", F.lit("_section_"), F.col("doc_id").cast("string")).alias("chunk_id"))
+    nodes = graph_nodes(spark, sf_dir).union(events).join(docs, F.split_part("name", F.lit(" "), F.lit(2)).cast("long") == F.col("_d"), "left")
+    nodes = nodes.select("name", "type", F.array("label").alias("descriptions"), F.when(F.col("chunk_id").isNotNull(), F.array("chunk_id")).alias("source_chunk_ids"))
+    chain = _event_chain(spark, sf_dir).withColumn("edge_id", F.lit(20000000000) + F.col("edge_id"))
+    return cut(nodes), cut(graph_edges(spark, sf_dir).unionByName(chain))  # a graph is loaded once and queried many times
+
+
+def _intent_questions(spark, sf_dir):
+    k, name = F.col("item_id"), lambda kind, n: F.concat(F.lit(f"{kind} "), n.cast("string"))
+    entities = [
+        [name("event", k), name("event", k + 1)], [name("customer", k), name("order", k), name("part", k + 1)], [name("nation", k % 25)],
+        [name("supplier", k % 10 + 1), name("customer", k + 1)], [name("supplier", k % 10 + 1)], [name("Nation", k % 25), F.lit("")],
+    ]
+    intent, names = F.lit(None), F.lit(None)
+    for i in range(5, -1, -1):
+        intent, names = F.when(k % 6 == i, _INTENTS[i]).otherwise(intent), F.when(k % 6 == i, F.array(*entities[i])).otherwise(names)
+    return table(spark, sf_dir, "benchmark").select(k.alias("question_id"), F.col("text").alias("question"), intent.alias("intent"), names.alias("entities"))
+
+
+@register(f"WITH RECURSIVE {_INTENT_SQL} SELECT question_id, name FROM found")
+def retrieve_by_intent(spark, sf_dir):
+    nodes, edges = _all_graph(spark, sf_dir)
+    return graph.find_by_intent(_intent_questions(spark, sf_dir), nodes, edges)
+
+
+_DESCRIBED_SQL = """(SELECT question_id, 'Informazioni rilevanti trovate nel Knowledge Graph:' || chr(10) || chr(10) || string_agg('- Entità: ' || name || ' (Tipo: ' || type || ')' || chr(10) || '  Descrizione: ' || label, chr(10) ORDER BY name) AS graph_context FROM found JOIN n USING (name) GROUP BY question_id)"""
+_PAGED_SQL = """ranked AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY coalesce(page_number, 0), chunk_id) AS "rank" FROM (SELECT DISTINCT question_id, chunk_id, page_number FROM found JOIN chunks ON TRY_CAST(split_part(name, ' ', 2) AS BIGINT) = doc_id))"""
+
+
+@register(f"WITH RECURSIVE {_INTENT_SQL}, {_CHUNKS_SQL.replace('FROM documents', ', doc_id FROM documents')}, {_PAGED_SQL} {_answers_sql(_DESCRIBED_SQL, _texts_sql('ranked'))}")
+def qa_aggregated(spark, sf_dir):
+    nodes, edges = _all_graph(spark, sf_dir)
+    return retrieve.ask(_intent_questions(spark, sf_dir), nodes, edges, _chunks(spark, sf_dir), "aggregated")
 
 
 # Documents with labels play an evaluation run: quality and toxic as metrics, the language as a question's type.

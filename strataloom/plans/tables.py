@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -62,6 +62,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("ln", "line"))
 
 
+# Documents as the pages of files: up to 64 documents of a source are one file.
+FILE = "(source || '_' || (doc_id // 64))"
+
+
+def file_of() -> Column:
+    return F.concat(F.col("source"), F.lit("_"), F.floor(F.col("doc_id") / 64).cast("string"))
+
+
 # Long words as mentions of entities: (doc_id, source, lang, pos, name).
 MENTIONS = r"""(SELECT doc_id, source, lang, CAST(i - 1 AS INTEGER) AS pos, t[i] AS name FROM (
   SELECT doc_id, source, lang, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, source, lang, regexp_extract_all(coalesce(text, ''), '\p{L}{6,}') AS t FROM documents)))"""
@@ -72,14 +80,14 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", "lang", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}{6,}"), F.lit(0))).alias("pos", "name"))
 
 
-ENTITIES = f"""(SELECT doc_id * 1000000 + pos AS ord, name AS nome_entita, CASE (pos + len(name)) % 3 WHEN 0 THEN 'AzioneUtente' WHEN 1 THEN 'DocumentoSistema' ELSE 'RuoloUtente' END AS tipo_entita,
+ENTITIES = f"""(SELECT doc_id * 4294967296 + pos AS ord, name AS nome_entita, CASE (pos + len(name)) % 3 WHEN 0 THEN 'AzioneUtente' WHEN 1 THEN 'DocumentoSistema' ELSE 'RuoloUtente' END AS tipo_entita,
   CASE WHEN pos % 4 > 0 THEN 'descrizione ' || (pos % 4) END AS descrizione_entita, source || '_section_' || doc_id AS source_chunk_id, CAST(doc_id % 7 AS INTEGER) AS source_page_number, lang AS source_section_title FROM {MENTIONS})"""
 
 
 def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = (F.col("pos") + F.length("name")) % 3
     return mentions(spark, sf_dir).select(
-        (F.col("doc_id") * 1000000 + F.col("pos")).alias("ord"), F.col("name").alias("nome_entita"), F.when(kind == 0, "AzioneUtente").when(kind == 1, "DocumentoSistema").otherwise("RuoloUtente").alias("tipo_entita"),
+        (F.col("doc_id") * 4294967296 + F.col("pos")).alias("ord"), F.col("name").alias("nome_entita"), F.when(kind == 0, "AzioneUtente").when(kind == 1, "DocumentoSistema").otherwise("RuoloUtente").alias("tipo_entita"),
         F.when(F.col("pos") % 4 > 0, F.concat(F.lit("descrizione "), (F.col("pos") % 4).cast("string"))).alias("descrizione_entita"), F.concat("source", F.lit("_section_"), F.col("doc_id").cast("string")).alias("source_chunk_id"),
         (F.col("doc_id") % 7).cast("int").alias("source_page_number"), F.col("lang").alias("source_section_title"),
     )
@@ -87,7 +95,7 @@ def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RELATIONS = f"""(SELECT ord, soggetto, CASE pos % 4 WHEN 0 THEN 'ha Passo Successivo' WHEN 1 THEN 'includeOperazione' WHEN 2 THEN 'haPrerequisito' ELSE 'è Eseguita Da' END AS predicato, oggetto,
   CASE WHEN pos % 3 > 0 THEN 'contesto ' || (pos % 3) END AS contesto_relazione, source_chunk_id, source_page_number, source_section_title FROM (
-  SELECT doc_id * 1000000 + pos AS ord, pos, name AS soggetto, lead(name) OVER (PARTITION BY doc_id ORDER BY pos) AS oggetto, source || '_section_' || doc_id AS source_chunk_id, CAST(doc_id % 7 AS INTEGER) AS source_page_number, lang AS source_section_title FROM {MENTIONS}) WHERE oggetto IS NOT NULL)"""
+  SELECT doc_id * 4294967296 + pos AS ord, pos, name AS soggetto, lead(name) OVER (PARTITION BY doc_id ORDER BY pos) AS oggetto, source || '_section_' || doc_id AS source_chunk_id, CAST(doc_id % 7 AS INTEGER) AS source_page_number, lang AS source_section_title FROM {MENTIONS}) WHERE oggetto IS NOT NULL)"""
 
 
 def raw_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +104,7 @@ def raw_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = docs.select("doc_id", "source", "lang", F.posexplode(F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("pos", "x"))
     step = F.col("pos") % 4
     return pairs.select(
-        (F.col("doc_id") * 1000000 + F.col("pos")).alias("ord"), F.col("x.a").alias("soggetto"), F.when(step == 0, "ha Passo Successivo").when(step == 1, "includeOperazione").when(step == 2, "haPrerequisito").otherwise("è Eseguita Da").alias("predicato"), F.col("x.b").alias("oggetto"),
+        (F.col("doc_id") * 4294967296 + F.col("pos")).alias("ord"), F.col("x.a").alias("soggetto"), F.when(step == 0, "ha Passo Successivo").when(step == 1, "includeOperazione").when(step == 2, "haPrerequisito").otherwise("è Eseguita Da").alias("predicato"), F.col("x.b").alias("oggetto"),
         F.when(F.col("pos") % 3 > 0, F.concat(F.lit("contesto "), (F.col("pos") % 3).cast("string"))).alias("contesto_relazione"), F.concat("source", F.lit("_section_"), F.col("doc_id").cast("string")).alias("source_chunk_id"),
         (F.col("doc_id") % 7).cast("int").alias("source_page_number"), F.col("lang").alias("source_section_title"),
     )

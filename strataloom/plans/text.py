@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -11,7 +12,7 @@ from ..functions import responses as R
 from ..operators import aggregate
 from ..sources import readers
 from .catalog import register
-from .tables import LINES, MENTIONS, SAMPLE_NAMES, clean_sql, keyword_sql, lines, listed, mentions, normal_sql, quoted, sample, strip_sql, table, values
+from .tables import FILE, LINES, MENTIONS, SAMPLE_NAMES, clean_sql, file_of, keyword_sql, lines, listed, mentions, normal_sql, quoted, sample, strip_sql, table, values
 
 
 @register(f"""WITH n AS (SELECT DISTINCT name FROM {MENTIONS} UNION SELECT name FROM {values(SAMPLE_NAMES, 'name')}), c AS (SELECT name, {clean_sql('name')} AS x FROM n)
@@ -39,7 +40,10 @@ def search_patterns(spark, sf_dir):
     return names.select("name", N.search_patterns(F.col("name")).alias("patterns"))
 
 
-@register(f"SELECT doc_id, {strip_sql(chr(114) + 'egexp_replace(lower(text), ' + quoted(chr(92) + 's+') + ', ' + quoted(' ') + ', ' + quoted('g') + ')')} AS name FROM documents")
+_SINGLE_SPACES = "regexp_replace(lower(text), '\\s+', ' ', 'g')"
+
+
+@register(f"SELECT doc_id, {strip_sql(_SINGLE_SPACES)} AS name FROM documents")
 def ws_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", N.collapse_name(F.col("text")).alias("name"))
 
@@ -81,15 +85,6 @@ _SECTION = f"""(NOT {_CAPTION} AND NOT {_PAGE_REF} AND (regexp_matches(line, {qu
 _SAMPLE_LINES = ["FIGURA 3 - Accesso", "Tabella riepilogativa dei campi", "Pag. 4", "QUESTO DOCUMENTO È DI PROPRIETÀ", "1. Primo passo", "• voce", "- trattino", "LISTA ATTIVITÀ BLOCCANTI", "Questo È Un Titolo", "3.2 Accesso al sistema", "12", "Introduzione al portale", "Una riga normale di testo.", "Fig. 2 schermata", "a) opzione"]
 
 
-@register(f"""WITH l AS (SELECT doc_id, ln, line FROM {LINES} UNION ALL SELECT -i AS doc_id, CAST(i AS INTEGER) AS ln, s[i] AS line FROM (SELECT s, unnest(generate_series(1, len(s))) AS i FROM (SELECT {listed(_SAMPLE_LINES)} AS s)))
-SELECT doc_id, ln, CASE WHEN {_CAPTION} THEN 'caption' WHEN {_HEADER} THEN 'header_footer' WHEN {_LIST} THEN 'list' WHEN {_SECTION} THEN 'title' ELSE 'paragraph' END AS kind FROM l""")
-def line_classify(spark, sf_dir):
-    extra = spark.createDataFrame([(-i, i, x) for i, x in enumerate(_SAMPLE_LINES, 1)], "doc_id long, ln int, line string")
-    rows = lines(spark, sf_dir).select("doc_id", "ln", "line").union(extra)
-    size, bold = (F.lit(8) + F.length("line") % 8).cast("double"), F.col("ln") % 5 == 0
-    return rows.select("doc_id", "ln", L.line_kind(F.col("line"), F.lit(False), size, bold).alias("kind"))
-
-
 @register(f"""WITH l AS (SELECT doc_id, ln, {strip_sql('line')} AS line FROM {LINES}), k AS (
   SELECT doc_id, ln, regexp_replace(regexp_replace(line, '^Vers\\.\\s*\\d+\\.\\d+\\s*', ''), 'Pag\\.\\s*\\d+\\s*', '', 'g') AS line FROM l WHERE line <> '' AND NOT {_HEADER} AND NOT {_CAPTION} AND NOT {_PAGE_REF}),
 j AS (SELECT doc_id, regexp_replace(string_agg(line, ' ' ORDER BY ln), '\\s+', ' ', 'g') AS t FROM k WHERE len(line) > 10 GROUP BY doc_id)
@@ -99,10 +94,7 @@ def clean_text(spark, sf_dir):
 
 
 _TOC = ["1. INTRODUZIONE ........ 3", "2.1 ACCESSO AL SISTEMA .... 5", "GESTIONE UTENTI ..... 7", "4. LEGENDA", "Sommario", "xx", "5. PRIMO ACCESSO", "2.1 ACCESSO NUOVO .... 9", "FIGURA 1 ..... 4", "TITOLO SENZA NUMERO", "6.2.1. REGISTRAZIONE DITTE .......... 12", "PROFILAZIONE .... 14"]
-_LETTERS = fixed.TOC_CAPITALS
-_P1 = rf"(\d+(?:\.\d+)*\.?)\s+([{_LETTERS}][{_LETTERS}\s]{{2,60}}?)\s*\.{{3,}}\s*(\d+)"
-_P2 = rf"^([{_LETTERS}][{_LETTERS}\s]{{2,60}}?)\s*\.{{3,}}\s*(\d+)\s*$"
-_P3 = rf"(\d+(?:\.\d+)*\.?)\s+([{_LETTERS}][{_LETTERS}\s]{{2,60}}?)(?:\s|$)"
+_P1, _P2, _P3 = fixed.TOC_NUMBER_TITLE_PAGE, fixed.TOC_TITLE_PAGE, fixed.TOC_NUMBER_TITLE
 
 
 @register(f"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS file, ln AS ord, {strip_sql('line')} AS line FROM {LINES} UNION ALL SELECT 'toc', CAST(i AS INTEGER), s[i] FROM (SELECT s, unnest(generate_series(1, len(s))) AS i FROM (SELECT {listed(_TOC)} AS s))),
@@ -117,23 +109,55 @@ def toc_parse(spark, sf_dir):
     return L.parse_toc(lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), F.col("ln").alias("ord"), "line").union(toc))
 
 
-_TITLES = f"""(SELECT source AS file, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS ord, array_to_string(string_split_regex(line, '\\s+')[1:4], ' ') AS title FROM {LINES} WHERE ln = 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 3)"""
+# Documents as pages of files; what a file's table of contents is parsed from is the first of its first pages that names one.
+_HEADINGS = _any("text", fixed.TOC_HEADINGS)
+
+
+@register(f"""WITH p AS (SELECT {FILE} AS file, CAST(row_number() OVER (PARTITION BY {FILE} ORDER BY doc_id) AS INTEGER) AS page_number, CASE WHEN doc_id % 4 = 0 THEN 'Indice' || chr(10) || coalesce(text, '') ELSE text END AS text FROM documents)
+SELECT file, page_number, text FROM p WHERE page_number <= {fixed.TOC_PAGES} AND {_HEADINGS} QUALIFY row_number() OVER (PARTITION BY file ORDER BY page_number) = 1""")
+def toc_page(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Indice\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("doc_id"))
+    return L.toc_page(docs.withColumn("file", file_of()).withColumn("page_number", nth).select("file", "page_number", "text"))
+
+
+@register(f"""SELECT doc_id, list_transform(list_filter(list_transform([source, ' ' || upper(source) || ' ', '', 'il la', lang], lambda n: {{'o': n, 'n': CASE WHEN n IS NULL THEN '' ELSE {normal_sql(clean_sql('n'))} END}}), lambda p: p.n <> ''), lambda p: p.o || '/' || p.n) AS names FROM documents""")
+def normalize_name_lists(spark, sf_dir):
+    listed_ = F.array("source", F.concat(F.lit(" "), F.upper("source"), F.lit(" ")), F.lit(""), F.lit("il la"), F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(N.normalize_names(listed_), lambda p: F.concat_ws("/", p["nome_originale"], p["nome_normalizzato"])).alias("names"))
+
+
+# Every first line of a source is a title.
+_TITLES = f"""(SELECT source AS file, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS ord, line AS title FROM {LINES} WHERE ln = 0)"""
 _STOPS = listed(fixed.TOC_STOP_WORDS)
 
 
-@register(f"""WITH t AS (SELECT file, ord, regexp_replace(upper({strip_sql('title')}), '\\s+', ' ', 'g') AS title FROM {_TITLES}), l AS (
+_TOC_MATCH = f"""(WITH t AS (SELECT file, title, min(ord) AS ord, list_distinct(list_filter(string_split_regex(title, '\\s+'), lambda w: w <> '' AND NOT list_contains({_STOPS}, w))) AS tw FROM (
+  SELECT file, ord, regexp_replace(upper({strip_sql('title')}), '\\s+', ' ', 'g') AS title FROM {_TITLES}) GROUP BY file, title), l AS (
   SELECT source AS file, doc_id * 100000 + ln AS line_id, regexp_replace(upper(regexp_replace({strip_sql("regexp_replace(line, '^\\d+(\\.\\d+)*\\.?\\s*', '')")}, '\\s+', ' ', 'g')), '^(FIGURA|TABELLA|STEP|F\\s+IGURA)\\s*\\d+\\s*[-–]?\\s*', '') AS text FROM {LINES}),
-m AS (SELECT l.file, line_id, t.ord, text, title, list_distinct(list_filter(string_split_regex(title, '\\s+'), lambda w: w <> '' AND NOT list_contains({_STOPS}, w))) AS tw, list_distinct(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '' AND NOT list_contains({_STOPS}, w))) AS lw FROM l JOIN t ON l.file = t.file)
-SELECT file, line_id, min(ord) AS toc_ord FROM m WHERE text = title OR (len(text) > 5 AND len(title) > 5 AND len(tw) > 0 AND len(list_intersect(tw, lw)) >= least(2.0, len(tw) * 0.6)) GROUP BY file, line_id""")
-def toc_match(spark, sf_dir):
-    from pyspark.sql import Window
+x AS (SELECT file, text, list_distinct(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '' AND NOT list_contains({_STOPS}, w))) AS lw FROM (SELECT DISTINCT file, text FROM l)),
+m AS (SELECT x.file, text, min(t.ord) AS toc_ord FROM x JOIN t ON x.file = t.file WHERE text = title OR (len(text) > 5 AND len(title) > 5 AND len(tw) > 0 AND len(list_intersect(tw, lw)) >= least(2.0, len(tw) * 0.6)) GROUP BY x.file, text)
+SELECT l.file, line_id, toc_ord FROM l JOIN m ON l.file = m.file AND l.text = m.text)"""
+
 
+@register(f"SELECT * FROM {_TOC_MATCH}")
+def toc_match(spark, sf_dir):
     rows = lines(spark, sf_dir)
     first = Window.partitionBy("source").orderBy("doc_id")
     toc = rows.where("ln = 0").withColumn("ord", F.row_number().over(first)).select(F.col("source").alias("file"), "ord", F.col("line").alias("title"))
     return L.match_toc(rows.select(F.col("source").alias("file"), (F.col("doc_id") * 100000 + F.col("ln")).alias("line_id"), "line"), toc)
 
 
+@register(f"""WITH l AS (SELECT doc_id, ln, line FROM {LINES} UNION ALL SELECT -i AS doc_id, CAST(i AS INTEGER) AS ln, s[i] AS line FROM (SELECT s, unnest(generate_series(1, len(s))) AS i FROM (SELECT {listed(_SAMPLE_LINES)} AS s))), t AS (SELECT line_id FROM {_TOC_MATCH})
+SELECT doc_id, ln, CASE WHEN {_CAPTION} THEN 'caption' WHEN {_HEADER} THEN 'header_footer' WHEN {_LIST} THEN 'list' WHEN line_id IS NOT NULL THEN 'toc_title' WHEN {_SECTION} THEN 'title' ELSE 'paragraph' END AS kind FROM l LEFT JOIN t ON line_id = doc_id * 100000 + ln""")
+def line_classify(spark, sf_dir):
+    extra = spark.createDataFrame([(-i, i, x) for i, x in enumerate(_SAMPLE_LINES, 1)], "doc_id long, ln int, line string")
+    rows = lines(spark, sf_dir).select("doc_id", "ln", "line").union(extra).withColumn("line_id", F.col("doc_id") * 100000 + F.col("ln"))
+    titled = toc_match(spark, sf_dir).select("line_id", F.lit(True).alias("in_toc"))
+    size, bold = (F.lit(8) + F.length("line") % 8).cast("double"), F.col("ln") % 5 == 0
+    return rows.join(titled, "line_id", "left").select("doc_id", "ln", L.line_kind(F.col("line"), F.coalesce("in_toc", F.lit(False)), size, bold).alias("kind"))
+
+
 @register("""SELECT doc_id, 'Nome: ' || coalesce(source, 'None') || '. Tipo: ' || coalesce(lang, 'None') || '. Descrizione: ' || coalesce(d, 'None') || '.' || CASE WHEN len(v) > 0 THEN ' Varianti: ' || array_to_string(v, ', ') ELSE '' END AS text,
 CASE WHEN len(v) > 3 THEN array_to_string(v[1:3], ', ') || '...' ELSE array_to_string(v, ', ') END AS shown
 FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 2 = 0 THEN 'd' || doc_id END AS d, list_transform(generate_series(1, doc_id % 6), lambda i: lang || i) AS v FROM documents)""")
@@ -163,12 +187,29 @@ def context_gate(spark, sf_dir):
     return rows.select("conv_id", "turn", R.graph_usable(g, t).alias("valid"), R.usable_contexts(g, t).alias("contexts"))
 
 
-@register("SELECT item_id, 'Analizza la domanda e rispondi in JSON con intento, entita_chiave e termini_di_ricerca_espansi.' || chr(10) || 'Tipi: " + ", ".join(fixed.QUESTION_ENTITY_TYPES) + "' || chr(10) || 'Domanda: ' || text AS prompt FROM benchmark")
+def _prompt_sql(kind: str, *fields: str) -> str:
+    parts = R.PROMPTS[kind].split("%s")
+    return " || ".join(quoted(part) + (f" || {field}" if field else "") for part, field in zip(parts, [*fields, ""], strict=True))
+
+
+_PROMPTED = {
+    "extraction": (quoted(", ".join(fixed.ENTITY_TYPES)), quoted(", ".join(fixed.RELATION_TYPES)), "'SezioneSconosciuta_' || item_id", "text"), "clustering": ("text", "''"), "analysis": ("'n' || item_id", "text"),
+    "analysis_terms": (quoted(", ".join(fixed.QUESTION_ENTITY_TYPES)), "text"), "answer": ("text", quoted(R.NO_GRAPH), "text"),
+}
+
+
+@register(" UNION ALL ".join(f"SELECT item_id, {quoted(kind)} AS kind, {_prompt_sql(kind, *fields)} AS prompt FROM benchmark" for kind, fields in _PROMPTED.items()))
 def prompt_render(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", R.prompt("analysis", F.lit(", ".join(fixed.QUESTION_ENTITY_TYPES)), F.col("text")).alias("prompt"))
+    text, item = F.col("text"), F.col("item_id").cast("string")
+    fields = {
+        "extraction": (F.lit(", ".join(fixed.ENTITY_TYPES)), F.lit(", ".join(fixed.RELATION_TYPES)), N.section_name(F.lit(" "), F.concat(F.lit("c_"), item)), text), "clustering": (text, F.lit("")), "analysis": (F.concat(F.lit("n"), item), text),
+        "analysis_terms": (F.lit(", ".join(fixed.QUESTION_ENTITY_TYPES)), text), "answer": (text, F.lit(R.NO_GRAPH), text),
+    }
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), R.prompt(k, *v).alias("prompt")) for k, v in fields.items())))
+    return table(spark, sf_dir, "benchmark").select("item_id", kinds.alias("p")).select("item_id", "p.kind", "p.prompt")
 
 
-@register()
+@register("""SELECT doc_id, 'Risposta.' || chr(10) || chr(10) || '**Fonti:**' || chr(10) || '* [' || source || ' guida.pdf](http://localhost/docs/' || url_encode(source) || '%20guida.pdf)' || chr(10) || '* [' || lang || '.pdf](http://localhost/docs/' || url_encode(lang) || '.pdf)' AS answer FROM documents""")
 def source_links(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Risposta.\n\n**Fonti:**\n* "), "source", F.lit(" guida.pdf\n- "), "lang", F.lit(".pdf\n\nInformazioni aggiuntive: no")).alias("answer"))
     return rows.select("doc_id", R.link_sources(F.col("answer"), "http://localhost/docs/").alias("answer"))

@@ -69,6 +69,39 @@ def test_failing_provider_leaves_singletons(spark):
     assert sorted(r.idx for r in got) == [2, 3]
 
 
+def test_providers_are_tried_again_and_fail_to_nothing(spark):
+    tries = {}
+
+    def provider(frame):
+        key = frame["chunk_id"].iloc[0]
+        tries[key] = tries.get(key, 0) + 1
+        if key == "c" or tries[key] < 3:
+            raise ConnectionError("busy")
+        return frame[["chunk_id"]].rename(columns={"chunk_id": "found"})
+
+    chunks = spark.createDataFrame([("a", "x", 1), ("b", " ", 2), ("c", "y", 3)], "chunk_id string, text string, page_number int")
+    got = cluster.extract_in_batches(chunks, provider, "found string", ["page_number"], size=1).collect()
+    assert [(r.found, r.page_number) for r in got] == [("a", 1)]
+
+
+def test_calls_hold_entities_and_relations_together(spark):
+    def provider(entities, relations):
+        return entities.assign(n=len(relations))[["idx", "n"]] if len(entities) else relations.assign(n=-1)[["idx", "n"]]
+
+    rows = lambda n: spark.range(n).withColumnRenamed("id", "idx")
+    got = cluster.cluster_together(rows(3), rows(9), provider, "idx long, n long", (2, 4)).collect()
+    assert sorted((r.idx, r.n) for r in got) == [(0, 4), (1, 4), (2, 4), (8, -1)]
+
+
+def test_relations_of_no_cluster_stay_single(spark):
+    relations = spark.createDataFrame([(i, f"s{i}", "p", f"o{i}", ["x"], ["c"], ["t"], 2) for i in range(3)], "idx int, soggetto_norm string, predicato_norm string, oggetto_norm string, contesti array<string>, fonti_chunk_id array<string>, fonti_sezione array<string>, conteggio_occorrenze long")
+    clusters = spark.createDataFrame([(1, "S", None, "O", [0, 2, 99])], "cluster_id int, soggetto_cluster string, predicato_cluster string, oggetto_cluster string, membri_ids array<int>")
+    names = spark.createDataFrame([("s1", "Uno")], "member string, canonical string")
+    got = {r.soggetto_cluster: r for r in cluster.finalize_relations(clusters, relations, names).collect()}
+    assert (got["S"].predicato_cluster, got["S"].conteggio_occorrenze_totale, got["S"].contesti_aggregati) == ("Predicato_Sconosciuto", 4, ["x"])
+    assert (got["Uno"].oggetto_cluster, got["Uno"].membri_ids_originali) == ("o1", [1]) and len(got) == 2
+
+
 EDGES = "edge_id long, src string, dst string, type string"
 
 
@@ -101,6 +134,47 @@ def test_requirements_keep_starts_without_any(spark):
     assert [(r.prerequisite, r.document) for r in got if r.start == "z"] == [(None, None)]
 
 
+def test_every_intent_has_its_graph_query(spark):
+    edges = spark.createDataFrame(
+        [(1, "az", "p1", "haPassoSuccessivo"), (2, "p1", "p2", "includeOperazione"), (3, "p2", "p3", "altro"), (4, "req", "pre", "haPrerequisito"), (5, "d1", "n1", "x"), (6, "n2", "d1", "x"), (7, "n1", "z", "x")], EDGES
+    )
+    nodes = spark.createDataFrame([(n, "AzioneUtente" if n == "az" else "Altro") for n in ("az", "p1", "p2", "p3", "req", "pre", "d1", "n1", "n2", "z", "solo")], "name string, type string")
+    asked = [
+        (1, "find_procedure", ["az", "p1"]), (2, "find_requirements", ["req", "solo"]), (3, "find_definition", ["d1", "az"]), (4, "find_relationship", ["n2", "z", "az"]), (5, "find_relationship", ["n2"]), (6, "generic_search", ["n1"]),
+        (7, "find_definition", ["SOLO"]), (8, "find_procedure", ["p1"]), (9, "find_requirements", ["solo"]), (10, None, ["az"]), (11, "find_definition", ["", None]), (12, "find_definition", []),
+    ]
+    got = {}
+    for r in graph.find_by_intent(spark.createDataFrame(asked, "question_id long, intent string, entities array<string>"), nodes, edges).collect():
+        got.setdefault(r.question_id, set()).add(r.name)
+    assert got == {
+        1: {"az", "p1", "p2"}, 2: {"req", "pre"}, 3: {"d1", "n1", "n2"}, 4: {"n2", "d1", "n1", "z"}, 5: {"n2", "d1"}, 6: {"n1", "d1", "z"},
+        7: {"solo"}, 8: {"p1", "az", "p2"},
+    }  # fmt: skip  # 8 falls back to its name, 9 is known and has nothing, 10 to 12 have no query
+
+
+def test_vectors_of_a_failing_provider_are_null(spark):
+    def provider(texts):
+        if "bad" in texts:
+            raise OSError("down")
+        return [[float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([("abc",), (None,)], "t string")
+    assert [r.embedding for r in retrieve.embed(rows.coalesce(1), provider, F.col("t")).orderBy(F.col("t").desc_nulls_last()).collect()] == [[3.0], None]
+    assert retrieve.embed(spark.createDataFrame([("bad",)], "t string"), provider, F.col("t")).first().embedding is None
+    with pytest.raises(ValueError, match="mode"):
+        retrieve.ask(rows, rows, rows, rows, "other")
+
+
+def test_batches_are_saved_once_and_discarded(spark, tmp_path):
+    rows = spark.range(20)
+    assert ingest.save_batches(rows, str(tmp_path / "b"), "id", 4) > 1
+    assert ingest.save_batches(rows, str(tmp_path / "b"), "id", 4) == 0
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 20
+    assert ingest.discard(spark, str(tmp_path / "b")) and not ingest.discard(spark, str(tmp_path / "b"))
+    seen, figures = ingest.measured(rows)
+    assert seen.count() == 20 and figures()["n"] == 20 and figures()["rows_per_second"] > 0
+
+
 def test_vector_top_k_ties(spark):
     v = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (4, None)], "id long, embedding array<double>")
     q = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "question_id long, embedding array<double>")
@@ -175,11 +249,15 @@ def test_binary_documents_isolate_bad_files(spark, tmp_path):
 
     def extract(content):
         if content == b"bad":
-            raise ValueError("unreadable")
+            raise LookupError("unreadable")
         return content.decode().split("\x0c")
 
     got = readers.read_documents(spark, str(tmp_path), extract).collect()
-    assert sorted(tuple(r) for r in got) == [("a.pdf", 1, "one"), ("a.pdf", 2, "two")]
+    assert sorted(((r.source_file, r.page_number or 0, r.text, r.error) for r in got)) == [("a.pdf", 1, "one", None), ("a.pdf", 2, "two", None), ("b.pdf", 0, None, "LookupError: unreadable")]
+    whole = readers.read_documents(spark, str(tmp_path), lambda content: content.decode()).where("source_file = 'a.pdf'").collect()
+    assert [(r.page_number, r.text) for r in whole] == [(1, "one\x0ctwo")]
+    lines = readers.read_structured(spark, str(tmp_path), lambda content: [[[(content.decode()[:1], 12, 16)]]]).orderBy("source_file").collect()
+    assert [(r.page_number, r.ln, r.spans[0].text, r.spans[0].flags) for r in lines] == [(1, 0, "o", 16), (1, 0, "b", 16)]
     assert readers.latest_file(spark, str(tmp_path), "*.txt").endswith("c.txt")
 
 

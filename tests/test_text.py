@@ -84,3 +84,17 @@ def test_source_links(spark):
     out = one(spark, R.link_sources(F.col("a"), "http://h/"), a="Testo.\nFonti:\n* a b/c.pdf\n- d.pdf\n\nInformazioni aggiuntive: x")
     assert out == "Testo.\n**Fonti:**\n* [a b/c.pdf](http://h/a%20b/c.pdf)\n* [d.pdf](http://h/d.pdf)"
     assert one(spark, R.link_sources(F.col("a"), "http://h/"), a="senza elenco") == "senza elenco"
+
+
+def test_lists_of_names_and_terms(spark):
+    got = spark.range(1).select(N.normalize_names(F.array(F.lit("Login"), F.lit(" "), F.lit(None), F.lit("ditta"))).alias("x")).first()[0]
+    assert [(r.nome_originale, r.nome_normalizzato) for r in got] == [("Login", "accesso"), ("ditta", "fornitore")]
+    terms = lambda a, b: spark.range(1).select(N.search_terms(a, b).alias("x")).first()[0]
+    assert terms(F.array(F.lit("A b"), F.lit("")), F.array(F.lit("a B"), F.lit("c"))) == ["a b", "c"]
+    assert terms(F.lit(None).cast("array<string>"), F.array(F.lit("c"))) == ["c"]
+
+
+def test_toc_is_parsed_from_the_first_page_that_names_one(spark):
+    pages = [("f", 1, "Copertina"), ("f", 3, "Sommario\n1. INTRODUZIONE ...... 4"), ("f", 4, "Indice\n2. ALTRO TITOLO ..... 5"), ("g", 6, "Indice\n1. TARDI ..... 5")]
+    got = L.toc_of_pages(spark.createDataFrame(pages, "file string, page_number int, text string")).collect()
+    assert [(r.file, r.title, r.page, r.section_number) for r in got] == [("f", "INTRODUZIONE", 4, "1")]

@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import regex
 from conftest import DATA
 
 from strataloom.operators import retrieve
@@ -73,7 +74,8 @@ def test_toc_has_every_title_whole(spark, tmp_path):
 
 def test_every_long_word_of_a_question_is_a_term(spark):
     got = {(r.question_id, r.term) for r in retrieval._question_terms(spark, DATA).collect()}
-    expected = {(r.item_id, w) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() for w in re.findall(r"[^\W\d_]{7,}", r.text.lower())}
+    rows = spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
+    expected = {(r.item_id, w) for r in rows for w in re.findall(r"[^\W\d_]{7,}", r.text.lower()) + [x.lower() for x in regex.findall(r"\p{Lu}\p{L}{5,}", r.text)]}
     assert got == expected and len(got) > 3 * len({q for q, _ in got})
 
 
