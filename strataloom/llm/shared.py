@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import own_folder
+
 #: The six ASCII white-space bytes every word rule of this package splits on.
 WHITE = b" \t\n\x0b\x0c\r"
 _IS_WHITE = np.zeros(256, dtype=bool)
@@ -26,14 +27,14 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one set here when it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one set here when it is unset and the master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="strataloom-")
+    own = own_folder(spark)
     spark.sparkContext.setCheckpointDir(own)
     return own
 

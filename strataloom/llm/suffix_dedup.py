@@ -1,31 +1,34 @@
 """Removal of byte strings that earlier documents hold, by bucket-pointer refinement.
 
-A suffix's initial bucket is its q-gram (q is half the length sought), named by a
-hash. Buckets are refined by the bucket identifiers of later offsets: the
-identifier at i and the one q bytes on name the 50-byte bucket of i, and the
-identifiers at a, a + q and b + q name everything from a to b + 50. Refined
-identifiers are used again: groups that one refinement settles are not looked at
-any more, the rest goes through the next one.
-
-Only some suffixes are dealt out: of the q-grams of every 50-byte window, the one
-with the least hash (the window's anchor) stands for the window. Equal windows
+A suffix's initial bucket is its q-gram (q is a quarter of the length sought),
+named by a hash. Buckets are refined by the bucket identifiers of later offsets,
+and refined identifiers are used again in the next refinement: the identifiers at
+i and q - 1 bytes on name the half-length bucket of i, and those of the half-length
+buckets at i and half a length on name the full 50-byte bucket. Two independent
+families of hashes are refined side by side; nothing but sorting on refined
+identifiers decides what repeats.
+
+Only some suffixes are dealt out: of the half-length buckets of every 50-byte
+window, the one with the least identifier (the window's anchor) stands for the window. Equal windows
 have equal anchors, so no repeat is lost. An anchor owns the neighbouring windows
 it stands for, [a, b].
 
-1. Anchors meet by q-gram bucket, refined by the identifiers over [a, b + 50). If
+1. Anchors meet by half-length bucket, refined by the full buckets of a and b. If
    a smaller document has the same refined bucket, all owned windows repeat.
    Before anything leaves a task, each refined bucket is reduced to its smallest
    document there; larger ones are settled, so a bucket that a third of all
    documents share costs one entry a task.
-2. Where one q-gram bucket split into several refined buckets, the first document
-   of each may still share single windows with the others. Their owned windows
-   are refined one by one, to 50-byte buckets, and settled in the same way.
+2. Where one half-length bucket split into several refined buckets, the first
+   document of each may still share single windows with the others. Their owned
+   windows are sorted one by one on their full buckets and settled in the same way.
 3. What is settled goes back to its document as byte spans and is cut out.
 
-Identifiers that decide are 88 bits wide. Texts are UTF-8 bytes (null: empty);
-texts under 50 bytes hold no string sought. Rows with a null id neither lose nor
-take anything. Rows that repeat an id are no smaller than each other, whether
-their texts agree or not. Extra columns are kept. Texts of any length are whole.
+What decides is 104 bits of two independent hashes; bytes are not compared again.
+Texts are UTF-8 bytes (null: empty); texts under 50 bytes hold no string sought.
+Rows with a null id neither lose nor take anything. Rows that repeat an id are no
+smaller than each other, whether their texts agree or not, and every row gives one
+row. Extra columns are kept, but for those named as the columns added. Texts of any
+length are whole.
 """
 
 from __future__ import annotations
@@ -47,18 +50,43 @@ HELD = 24 << 20
 MET = 3_000_000
 _K1, _K2, _K3 = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
 _H_MASK = np.uint64((1 << 48) - 1)
-_C_MASK = np.uint64((1 << 40) - 1)
+_C_MASK = np.uint64((1 << 56) - 1)
+_SECOND_CODE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Columns that ``cut_repeats`` adds.
+ADDED = ("_kept", "_n_bytes", "_spans")
 
 
-def buckets(data: np.ndarray, q: int) -> np.ndarray:
-    """The bucket identifier of the q-gram at every offset."""
-    n = len(data)
-    if n < q:
-        return np.zeros(0, dtype=np.uint64)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[data] * up[:n], out=total[1:])
-    return mix((total[q:] - total[:-q]) * down[: n - q + 1])
+class Buckets:
+    """Bucket identifiers of a text's offsets for one family of hashes, refined by those of later offsets."""
+
+    def __init__(self, data: np.ndarray, code: np.ndarray, length: int):
+        self.length, self.half = length, (length + 1) // 2
+        self.q = (self.half + 1) // 2
+        up, self.down = powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(code[data] * up[: len(data)], out=self.total[1:])
+
+    def _grams(self, at: np.ndarray | slice, to: np.ndarray | slice) -> np.ndarray:
+        return mix((self.total[to] - self.total[at]) * self.down[at])
+
+    def halves(self) -> np.ndarray:
+        """The half-length bucket at every offset."""
+        n = len(self.total) - 1 - self.q + 1
+        g = self._grams(slice(0, n), slice(self.q, self.q + n))
+        step = self.half - self.q
+        return mix(g[: n - step] * _K1 + g[step:] * _K2)
+
+    def half_at(self, at: np.ndarray) -> np.ndarray:
+        """The half-length bucket at some offsets."""
+        later = at + (self.half - self.q)
+        return mix(self._grams(at, at + self.q) * _K1 + self._grams(later, later + self.q) * _K2)
+
+    def full(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The full bucket of offsets from the half-length buckets there and at ``length - half`` bytes on."""
+        return mix(one * _K3 + two * _K1)
+
+    def full_at(self, at: np.ndarray) -> np.ndarray:
+        return self.full(self.half_at(at), self.half_at(at + self.length - self.half))
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -86,42 +114,34 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8), edges
 
 
-def _twice(g1: np.ndarray, g2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent identifiers of a pair of buckets."""
-    return mix(g1 * _K1 + g2), mix(g2 * _K2 + g1 * _K3)
-
-
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text, first owned window, further owned windows, q-gram bucket, refined bucket) of every anchor."""
+    """(text, first owned window, further owned windows, half-length bucket, refined bucket) of every anchor."""
     data, edges = _joined(texts)
-    q = (length + 1) // 2
     starts = _windows(edges, length, len(data))
     if not len(starts):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    g = buckets(data, q)
+    first, second = Buckets(data, _BYTE_CODE, length), Buckets(data, _SECOND_CODE, length)
+    g = first.halves()
     bits = np.uint64(len(data).bit_length())
-    least = _window_min((g >> bits << bits) | np.arange(len(g), dtype=np.uint64), length - q + 1)
+    least = _window_min((g >> bits << bits) | np.arange(len(g), dtype=np.uint64), length - first.half + 1)
     p = (least[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (starts[1:] != starts[:-1] + 1))))
     a, b, p = starts[new], starts[np.append(new[1:], len(starts)) - 1], p[new]
-    far = length - q
-    one, two = _twice(g[a], g[a + far])
-    c = mix(one * _K1 + two * _K3 + g[b + far] * _K2 + ((p - a) * 64 + (b - a)).astype(np.uint64))
+    # a and b are at most half a length apart, so their full buckets name all bytes from a to b + length
+    c = mix(second.full_at(a) * _K1 + second.full_at(b) * _K2 + ((p - a) * 64 + (b - a)).astype(np.uint64))
     text = np.searchsorted(edges, a, side="right") - 1
     return text, a - edges[text], b - a, g[p], c
 
 
 def windows_at(texts: list[bytes], text: np.ndarray, first: np.ndarray, more: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, window start, both identifiers) of all windows from ``first`` to ``first + more``."""
+    """(text, window start, full buckets of both families) of all windows from ``first`` to ``first + more``."""
     data, edges = _joined(texts)
-    q = (length + 1) // 2
-    g = buckets(data, q)
     size = more + 1
     own = np.repeat(np.arange(len(text)), size)
     at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + first[own]
     whole = at + edges[text[own]]
-    one, two = _twice(g[whole], g[whole + length - q])
+    one, two = (Buckets(data, code, length).full_at(whole) for code in (_BYTE_CODE, _SECOND_CODE))
     return text[own], at, one, two
 
 
@@ -265,18 +285,28 @@ def _window_entries(parts: int, length: int):
 
 
 def _folds(bodies: list[bytes], kinds: str, of) -> Iterator[list[np.ndarray]]:
-    """The columns of many bodies, at most about MET rows at a time; rows that ``of`` maps to one number stay together."""
+    """The columns of many bodies, at most about MET rows at a time; rows that ``of`` maps to one number stay together.
+
+    Every body is unpacked once: more than one fold are dealt out as packed columns first.
+    """
     total = sum(int.from_bytes(b[:4], "little") for b in bodies)
-    folds = np.uint64(-(-total // MET))
-    for f in range(int(folds)):
-        parts = [unpack_columns(b, kinds) for b in bodies] if folds == 1 else None
-        if parts is None:
-            parts = []
-            for b in bodies:
-                columns = unpack_columns(b, kinds)
-                mine = of(columns) % folds == np.uint64(f)
-                parts.append([x[mine] for x in columns])
-        yield [np.concatenate(x) for x in zip(*parts, strict=True)]
+    folds = -(-total // MET)
+    if folds <= 1:
+        if bodies:
+            yield [np.concatenate(x) for x in zip(*(unpack_columns(b, kinds) for b in bodies), strict=True)]
+        return
+    dealt: list[list[bytes]] = [[] for _ in range(folds)]
+    while bodies:
+        columns = unpack_columns(bodies.pop(), kinds)
+        fold = (of(columns) % np.uint64(folds)).astype(np.int64)
+        order = np.argsort(fold, kind="stable")
+        edge = np.searchsorted(fold[order], np.arange(folds + 1))
+        for f in np.flatnonzero(np.diff(edge)).tolist():
+            dealt[f].append(pack_columns(*(x[order[edge[f] : edge[f + 1]]] for x in columns)))
+    for f in range(folds):
+        if dealt[f]:
+            yield [np.concatenate(x) for x in zip(*(unpack_columns(b, kinds) for b in dealt[f]), strict=True)]
+        dealt[f] = []
 
 
 def _settle(parts: int, length: int, refine: bool):
@@ -348,15 +378,20 @@ def _resolved(entries: DataFrame, parts: int, length: int, refine: bool, name: s
     return written(back.mapInArrow(_by_document(), "i long, k int, spans binary, open binary"), name)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """(i, k, t): ``k`` tells the different texts of a repeated id apart, 0 for all others."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(i, k, t) of all rows with an id, and (i, h, k) of the ids that have different texts, if there are any.
+
+    ``k`` tells the different texts of a repeated id apart and is 0 for all other
+    rows; ``h`` is the text's hash. Rows of an id with one text may repeat.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     hashed = rows.groupBy("i").agg(F.min(F.xxhash64("t")).alias("a"), F.max(F.xxhash64("t")).alias("b"))
     several = written(hashed.where("a != b").select("i"), "several")
     if not several.take(1):
-        return rows.select("i", F.lit(0).alias("k"), "t")
-    own = rows.join(several, "i").withColumn("k", F.dense_rank().over(Window.partitionBy("i").orderBy("t")) - 1).select("i", "k", "t")
-    return written(rows.join(several, "i", "left_anti").select("i", F.lit(0).alias("k"), "t").union(own.distinct()), "numbered")
+        return rows.select("i", F.lit(0).alias("k"), "t"), None
+    own = rows.join(several, "i").withColumn("h", F.xxhash64("t")).dropDuplicates(["i", "h"])
+    own = written(own.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("h")) - 1), "numbered")
+    return rows.join(several, "i", "left_anti").select("i", F.lit(0).alias("k"), "t").union(own.select("i", "k", "t")), own.select("i", "h", "k")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -375,16 +410,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The input with ``_kept`` (binary), ``_n_bytes`` and ``_spans`` (array of start, end) added."""
-    rows = _numbered(docs)
+    rows, several = _numbered(docs)
     spans = repeated_spans(rows, length)
-    whole = docs
-    if "numbered" in str(rows.__dict__.get("table_path", "")):
-        texts = rows.select(F.col("i").alias("_ti"), F.col("k").alias("_k"), F.xxhash64("t").alias("_th"))
-        whole = docs.join(texts, (docs["doc_id"].cast("long") == F.col("_ti")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left").drop("_ti", "_th")
+    names = [c for c in docs.columns if c not in ADDED]
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.col("text").alias("t"))
+    if several is None:
+        packed = whole.withColumn("_k", F.lit(0))
     else:
-        whole = docs.withColumn("_k", F.lit(0))
+        known = several.select(F.col("i").alias("_si"), F.col("h").alias("_sh"), F.col("k").alias("_sk"))
+        packed = whole.join(known, (F.col("_i") == F.col("_si")) & (F.xxhash64("t") == F.col("_sh")), "left").withColumn("_k", F.coalesce("_sk", F.lit(0)))
     held = spans.groupBy("i", "k").agg(F.collect_list("spans").alias("_held"))
-    packed = whole.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_i"), "_k", F.col("text").alias("t"))
     joined = packed.join(held.hint("shuffle_hash"), (F.col("_i") == F.col("i")) & (F.col("_k") == F.col("k")), "left").select("_row", "t", "_held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,12 +440,12 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     spans.append([{"start": s, "end": e} for s, e in pairs])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_row").slice(at, len(texts)), pa.array(kept, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    ["_row", "_kept", "_n_bytes", "_spans"],
+                    ["_row", *ADDED],
                 )
 
     pair = StructType([StructField("start", LongType()), StructField("end", LongType())])
     schema = StructType([packed.schema["_row"], StructField("_kept", BinaryType()), StructField("_n_bytes", LongType()), StructField("_spans", ArrayType(pair))])
-    return joined.mapInArrow(run, schema).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns), "_kept", "_n_bytes", "_spans")
+    return joined.mapInArrow(run, schema).select(*(F.col("_row").getField(c).alias(c) for c in names), *ADDED)
 
 
 def brute_force(texts: dict[int, bytes], length: int = LENGTH) -> dict[int, list[tuple[int, int]]]:

@@ -89,6 +89,59 @@ def test_suffix_dedup_repeated_and_null_ids(spark):
     assert bytes(got["d"]._kept) == b"x"
 
 
+def test_suffix_dedup_gives_a_row_for_a_row(spark):
+    text, other = "".join(chr(97 + k * k % 23) for k in range(90)), "".join(chr(97 + k * k % 19) for k in range(90))
+    rows = [(1, text, "a"), (1, text, "b"), (2, "x" + text, "c"), (2, other, "d"), (2, other, "e"), (3, other, "f"), (3, other, "g"), (None, None, "h"), (4, None, "i"), (4, text, "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string").withColumns({"_kept": F.lit("mine"), "_k": F.lit(3), "i": F.lit(4), "t": F.lit(5)})
+    out = suffix_dedup.cut_repeats(docs)
+    assert out.columns == ["doc_id", "text", "name", "_k", "i", "t", "_kept", "_n_bytes", "_spans"]
+    got = out.collect()
+    assert sorted(r.name for r in got) == list("abcdefghij")
+    assert {r.name: bytes(r._kept or b"") for r in got} == {"a": text.encode(), "b": text.encode(), "c": b"x", "d": other.encode(), "e": other.encode(), "f": b"", "g": b"", "h": b"", "i": b"", "j": b""}
+
+
+@pytest.mark.parametrize(("held", "met"), [(1 << 12, 3_000_000), (24 << 20, 50), (1 << 10, 7)])
+def test_suffix_dedup_in_small_steps(spark, docs, rows, held, met, monkeypatch):
+    """Entries leave their tasks early and meet in many folds."""
+    for batches, kinds in ((suffix_dedup._anchor_entries(3, 50), "ikt"),):
+        monkeypatch.setattr(suffix_dedup, "HELD", held)
+        monkeypatch.setattr(suffix_dedup, "MET", met)
+        import pyarrow as pa
+
+        texts = {r[0]: (r[1] or "").encode() for r in rows if len((r[1] or "").encode()) >= 50}
+        table = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array([0] * len(texts), pa.int32()), pa.array(list(texts.values()), pa.binary())], list(kinds))
+
+        def through(batch, step):
+            return [b for b in step(iter(batch)) if b.num_rows]
+
+        found = through(through([table], batches), suffix_dedup._settle(3, 50, True))
+        rows_of = [r for b in through(found, suffix_dedup._by_document()) for r in b.to_pylist()]
+        opened = {r["i"]: r["open"] for r in rows_of if r["open"]}
+        again = pa.RecordBatch.from_arrays([pa.array(list(opened), pa.int64()), pa.array([0] * len(opened), pa.int32()), pa.array([texts[i] for i in opened], pa.binary()), pa.array(list(opened.values()), pa.binary())], ["i", "k", "t", "open"])
+        more = through(through([again], suffix_dedup._window_entries(3, 50)), suffix_dedup._settle(3, 50, False)) if opened else []
+        rows_of += [r for b in through(more, suffix_dedup._by_document()) for r in b.to_pylist()]
+        spans = defaultdict(list)
+        for r in rows_of:
+            if r["spans"]:
+                start, end = suffix_dedup.unpack_columns(r["spans"], "ii")
+                spans[r["i"]] += list(zip(start.tolist(), end.tolist(), strict=True))
+        for i, expected in suffix_dedup.brute_force(texts).items():
+            covered = {x for s, e in spans[i] for x in range(s, e)}
+            assert covered == {x for s, e in expected for x in range(s, e)}, i
+
+
+def test_buckets_of_equal_strings_are_equal():
+    data = np.frombuffer(b"abcabdabcabdabcabx" * 9, dtype=np.uint8)
+    for length in (4, 7, 50):
+        own = suffix_dedup.Buckets(data, suffix_dedup._SECOND_CODE, length)
+        at = np.arange(len(data) - length + 1)
+        half = own.halves()
+        assert (half[at] == own.half_at(at)).all()
+        full, raw = own.full_at(at), data.tobytes()
+        assert (full == own.full(half[at], half[at + length - own.half])).all()
+        assert len(set(full.tolist())) == len({raw[i : i + length] for i in at.tolist()})
+
+
 def test_packed_columns_round_trip():
     rng = np.random.default_rng(0)
     a, b = rng.integers(-(2**62), 2**62, 50), rng.integers(0, 2**64, 50, dtype=np.uint64)
