@@ -16,6 +16,7 @@ can write. Documents are in ascending id order over all pages.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,22 +25,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import slices, word_hashes
 
 MAGIC = b"S8B1"
 BLOCK = 4096
 #: (ids in a word, bits of an id) by selector; selector 15 marks escapes.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
+_HEAD = np.uint64(0x9FB21C651E98DF25)
+#: Stands for ids that a chunk does not have by itself; no number of ids has this length.
+_WHOLE = b"?"
 _WIDEST = 30
 _COUNTS = np.array([c for c, _ in SELECTORS] + [0] * (16 - len(SELECTORS)), dtype=np.int64)
 
 
+_WIDTHS = np.array(sorted({w for _, w in SELECTORS if w <= _WIDEST}), dtype=np.uint8)
+_LIMITS = np.left_shift(np.uint64(1), _WIDTHS.astype(np.uint64))
+#: The least packed width of every id of two bytes.
+_SMALL = _WIDTHS[np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right")]
+
+
 def _level(ids: np.ndarray) -> np.ndarray:
     """The least packed width of each id (99 for an escape)."""
-    out = np.full(ids.shape, 99, dtype=np.uint8)
-    for width in sorted({w for _, w in SELECTORS if w <= _WIDEST}, reverse=True):
-        out[ids < np.uint32(1 << width)] = width
+    out = _SMALL[ids & np.uint32(0xFFFF)]
+    wide = np.flatnonzero(ids >> np.uint32(16))
+    if len(wide):
+        out[wide] = np.append(_WIDTHS, np.uint8(99))[np.searchsorted(_LIMITS, ids[wide].astype(np.uint64), side="right")]
     return out
 
 
@@ -148,91 +159,140 @@ def from_page(page: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return parts[0], parts[1], ids
 
 
+def _ends_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last eight bytes of each range as numbers; shorter ranges have zeros for what is missing."""
+    padded = np.concatenate((np.zeros(8, dtype=np.uint8), data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    missing = (8 * np.maximum(8 - (ends - starts), 0)).astype(np.uint64)
+    none = missing == 64
+    missing[none] = 0
+    low, high = eight[starts + 8] << missing, eight[ends] >> missing
+    low[none] = high[none] = 0
+    return low, high
+
+
 class Encoder:
     """Byte-level BPE ids of whole texts by the tokenizers library, each chunk encoded once.
 
     The pre-tokenizer starts a new piece at every space between two other
     characters, so a text is the sequence of its space-led chunks, each encoded
-    alone; equal chunks are looked up. Texts with a chunk that is empty, starts or
-    ends with white space, or may hold a special token are encoded whole.
+    alone; equal chunks of a batch, told by a hash, their length and 16 of their
+    bytes, are looked up once. A chunk of letters is one piece, so those skip the
+    pre-tokenizer's pattern. Texts with a chunk that is empty, starts or ends with
+    white space, or may hold a special token are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        #: Ids of chunks, of those used lately and of those before; None marks a chunk that has its text encoded whole.
-        self.most, self.known, self.older, self.heads = most, {}, {}, {}
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Ids of chunks with the space before them, of those used lately and of those before.
+        self.most, self.known, self.older = most, {}, {}
         self.leads = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.leads[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
+        self.ends = dict(zip(".,", self.whole([".", ","]), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        cut = [t.split(" ") for t in texts]
-        heads = [parts.pop(0) for parts in cut]
-        self._remember(set().union(*cut))
-        self._heads({h for h, parts in zip(heads, cut, strict=True) if not parts or self._plain_head(h)})
-        get, out, rest = self.known.__getitem__, [], []
-        for i, (head, parts) in enumerate(zip(heads, cut, strict=True)):
-            try:
-                out.append(b"".join([self.heads[head], *map(get, parts)]) if not parts or self._plain_head(head) else None)
-            except TypeError:  # a chunk marked None
-                out.append(None)
-            if out[-1] is None:
-                rest.append(i)
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
-
-    @staticmethod
-    def _plain_head(head: str) -> bool:
-        """Whether a text's first chunk may stand before a space."""
-        return head != "" and not head[-1].isspace() and "<|" not in head
-
-    def _heads(self, heads: set[str]) -> None:
-        if len(self.heads) > self.most // 8:
-            self.heads.clear()
-        new = [h for h in heads if h not in self.heads]
-        self.heads.update(zip(new, self.whole(new), strict=True))
-
-    def _remember(self, chunks: set[str]) -> None:
-        """Bring all chunks into ``known``; chunks not used for long are forgotten."""
+    def encode(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids before each text and in all) of UTF-8 texts."""
+        joined = b"".join([b" " + t for t in raw])
+        data = np.frombuffer(joined, dtype=np.uint8)
+        edges = np.cumsum([0, *(len(t) + 1 for t in raw)])
+        at = np.flatnonzero(data == 32)
+        first = np.searchsorted(at, edges)  # a text's first chunk, its head, has no space before it
+        starts, ends = at + 1, np.append(at[1:], len(data)) if len(at) else at
+        head = np.zeros(len(at), dtype=bool)
+        head[first[:-1]] = True
+        h = word_hashes(data, starts, ends)
+        h[head] ^= _HEAD
+        order = np.argsort(h)
+        new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, dtype=bool)
+        one, kind = order[new], np.empty(len(h), dtype=np.int64)
+        kind[order] = np.cumsum(new) - 1
+        begins = np.where(head, starts, at)[one]
+        values = self._values([joined[i:j] for i, j in zip(begins.tolist(), ends[one].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+        odd = sizes == len(_WHOLE)
+        bad = odd[kind]
+        for x in (ends - starts, *_ends_of(data, starts, ends)):
+            bad |= x != x[one][kind]  # two chunks with one hash
+        for k in np.flatnonzero(odd).tolist():
+            values[k] = b""
+        sizes = np.where(odd, 0, sizes // 4)
+        begin, n = (np.cumsum(sizes) - sizes)[kind], sizes[kind]
+        pool = [b"".join(values)]
+        if bad.any():
+            odd = np.unique(np.searchsorted(first, np.flatnonzero(bad), side="right") - 1)
+            n[np.isin(np.repeat(np.arange(len(raw)), np.diff(first)), odd)] = 0
+            pool += self.whole([raw[t].decode("utf-8", "replace") for t in odd.tolist()])
+            lengths = np.array([len(x) // 4 for x in pool])
+            begin[first[odd]], n[first[odd]] = (np.cumsum(lengths) - lengths)[1:], lengths[1:]
+        total = np.concatenate(([0], np.cumsum(n)))
+        place = np.arange(total[-1]) + np.repeat(begin - total[:-1], n)
+        return np.frombuffer(b"".join(pool), dtype="<u4")[place], total[first]
+
+    def _values(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of every chunk, _WHOLE where the text is to be encoded whole; chunks not used for long are forgotten."""
         if len(self.known) > self.most:
             self.older, self.known = self.known, {}
-        new = chunks.difference(self.known)
-        if self.older and new:
-            for c in new.intersection(self.older):
-                self.known[c] = self.older[c]
-            new.difference_update(self.known)
-        if new:
-            self._learn(new)
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode new chunks joined by spaces: no other token starts with one, so the ids fall apart at those."""
-        known = self.known
-        plain = []
-        for c in chunks:
-            if c == "" or c[0].isspace() or c[-1].isspace() or "<|" in c:
-                known[c] = None
+        known, older = self.known, self.older
+        values = list(map(known.get, chunks))
+        open_ = [k for k, v in enumerate(values) if v is None]
+        new = [chunks[k] for k in open_]
+        if older:
+            for c, v in zip(new, list(map(older.get, new)), strict=True):
+                if v is not None:
+                    known[c] = v
+            new = [c for c in new if c not in known]
+        self._learn(new)
+        for k in open_:
+            values[k] = known[chunks[k]]
+        return values
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Encode new chunks. Those after a space are joined by spaces: no other token starts with one, so the ids fall apart at those."""
+        known, heads, tailed = self.known, [], []
+        keys: dict[bool, list[bytes]] = {True: [], False: []}  # of chunks of letters, and of others
+        names: dict[bool, list[str]] = {True: [], False: []}
+        for key in chunks:
+            if key[:1] != b" ":
+                heads.append(key)
+                continue
+            c = key[1:].decode("utf-8", "replace")
+            if c.isalpha():
+                keys[True].append(key)
+                names[True].append(c)
+            elif not c or c.strip() != c or "<|" in c:
+                known[key] = _WHOLE
+            # "word," is "word" and ",": a comma or full stop that ends a chunk after a letter is a piece of its own
+            elif len(c) > 2 and c[-1] in ".," and c[-2].isalpha():
+                tailed.append(key)
             else:
-                plain.append(c)
-        # "word," is "word" and ",": a comma or full stop that ends a chunk after a letter is a piece of its own
-        stems = {c: c[:-1] for c in plain if len(c) > 2 and c[-1] in ".," and c[-2].isalpha()}
-        need = list(dict.fromkeys([c for c in plain if c not in stems] + [x for x in stems.values() if x not in known]))
-        groups = [need[at : at + 256] for at in range(0, len(need), 256)]
-        for part, coded in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(coded.ids, dtype="<u4")
-            cut = [*np.flatnonzero(self.leads[ids]).tolist(), len(ids)]
-            if len(cut) != len(part) + 1:
-                raise ValueError("a token starts with a space inside a chunk")
-            raw = ids.tobytes()
-            known.update((c, raw[4 * i : 4 * j]) for c, i, j in zip(part, cut, cut[1:], strict=False))
-        if stems:
-            ends = dict(zip(".,", self.whole([".", ","]), strict=True))
-            known.update((c, known[x] + ends[c[-1]]) for c, x in stems.items())
+                keys[False].append(key)
+                names[False].append(c)
+        for key in {key[:-1] for key in tailed}.difference(keys[True], keys[False]):
+            if key not in known:
+                c = key[1:].decode("utf-8", "replace")
+                keys[c.isalpha()].append(key)
+                names[c.isalpha()].append(c)
+        for coder, alpha in ((self.letters, True), (self.tokenizer, False)):
+            groups = [names[alpha][at : at + 256] for at in range(0, len(names[alpha]), 256)]
+            for g, coded in enumerate(coder.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(coded.ids, dtype="<u4")
+                cut = [*(4 * np.flatnonzero(self.leads[ids])).tolist(), 4 * len(ids)]
+                if len(cut) != len(groups[g]) + 1:
+                    raise ValueError("a token starts with a space inside a chunk")
+                raw = ids.tobytes()
+                known.update(zip(keys[alpha][256 * g : 256 * g + 256], map(raw.__getitem__, map(slice, cut, cut[1:])), strict=True))
+        for key in tailed:
+            known[key] = known[key[:-1]] + self.ends[key[-1:].decode()]
+        for key in heads:
+            c = key.decode("utf-8", "replace")
+            known[key] = self.whole([c])[0] if c and not c[-1].isspace() and "<|" not in c else _WHOLE
 
 
 _encoders: dict[str, Encoder] = {}
@@ -245,12 +305,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, page_bytes: int = 1 << 20) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, page_bytes: int = 1 << 21) -> None:
     """Encode every whole text (null: empty), append ``end_id``, and write pages in ascending doc_id order.
 
     Rows are range-partitioned and sorted by id; part p holds smaller ids than
     part p + 1. Rows that repeat an id follow each other; a null id comes first
-    and is stored as -2**63.
+    and is stored as -2**63. Bytes that are no UTF-8 are read as U+FFFD.
     """
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("i"), F.col("text").alias("t"))
     spark = docs.sparkSession
@@ -258,14 +318,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, page, inside = encoder(tokenizer), 0, 0
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at, raw in slices(batch, "t", page_bytes):
-                got = [x + end for x in coder.encode([r.decode() for r in raw])]
-                doc_ids = batch.column("i").slice(at, len(raw)).to_numpy(zero_copy_only=False)
-                before = np.cumsum([0, *(len(x) // 4 for x in got)])
+                ids, before = coder.encode(raw)
+                last = before[1:] + np.arange(len(raw))
+                text = np.ones(len(ids) + len(raw), dtype=bool)
+                text[last] = False
+                whole = np.full(len(text), end_id, dtype="<u4")
+                whole[text] = ids
+                doc_ids, before = batch.column("i").slice(at, len(raw)).to_numpy(zero_copy_only=False), np.append(0, last + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([page], pa.int64()), pa.array([inside], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([int(before[-1])], pa.int64()), pa.array([to_page(doc_ids, before, np.frombuffer(b"".join(got), dtype="<u4"))], pa.binary())],
+                    [pa.array([page], pa.int64()), pa.array([inside], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([int(before[-1])], pa.int64()), pa.array([to_page(doc_ids, before, whole)], pa.binary())],
                     ["page", "inside", "n_docs", "n_ids", "body"],
                 )
                 page, inside = page + 1, inside + int(before[-1])

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import public_tokenizers
 
-FOLDER = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
-BYTE_BPE = f"{FOLDER}/byte_bpe_50k.json"
-PIECES = f"{FOLDER}/piece_bpe_32k.model"
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")

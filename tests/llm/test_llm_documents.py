@@ -223,18 +223,34 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     assert token_files.token_digest(spark, str(tmp_path / "e")).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a<|endoftext|>b", " lead", "trail ", "a  b", "a \nb", "a\n b", "it's, we'll.", "a\x1cb \x1c c", "　a 　", "1,000 .5", "x ,.", "é́ à."])
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", " lead", "trail ", "a  b", "a \nb", "a\n b", "it's, we'll.", "a\x1cb \x1c c", "parola, parola. parola.. d'oro, x, 3a, ab. ab", "ab, <|endoftext|>, z", "　a 　", "1,000 .5", "x ,.", "é́ à."])
 def test_encoder_equals_the_library(text):
     from tokenizers import Tokenizer
 
     ids = Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids
-    assert token_files.encoder(BYTE_BPE).encode([text]) == [np.array(ids, dtype="<u4").tobytes()]
+    got, before = token_files.encoder(BYTE_BPE).encode([b"", text.encode(), b"after it"])
+    assert got[: before[2]].tolist() == ids and before[1] == 0
 
 
 def test_encoder_forgets_and_stays_right(rows):
     small, whole = token_files.Encoder(BYTE_BPE, most=20), token_files.Encoder(BYTE_BPE)
     for r in rows * 2:
-        assert small.encode([r[1] or ""]) == whole.encode([r[1] or ""])
+        (a, b), (c, d) = small.encode([(r[1] or "").encode()]), whole.encode([(r[1] or "").encode()])
+        assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+
+
+def test_bytes_that_are_no_text_do_not_stop_the_encoder():
+    got, _ = token_files.encoder(BYTE_BPE).encode([b"ab \xff\xfe cd \xe2\x82"])
+    assert got.tolist() == token_files.encoder(BYTE_BPE).encode(["ab \ufffd\ufffd cd \ufffd".encode()])[0].tolist()
+
+
+def test_ends_of_ranges():
+    data = np.frombuffer(b"abcdefghijklmnop", dtype=np.uint8)
+    s, e = np.array([0, 0, 3, 15, 5, 0]), np.array([16, 8, 5, 16, 5, 9])
+    low, high = token_files._ends_of(data, s, e)
+    words = [bytes(data[i:j]) for i, j in zip(s, e, strict=True)]
+    assert [x.tobytes() for x in high] == [w[-8:].ljust(8, b"\0") for w in words]
+    assert [x.tobytes() for x in low] == [w[:8].rjust(8, b"\0") for w in words]
 
 
 @pytest.mark.parametrize("n", [0, 1, 61, 4095, 4096, 4097, 9000])
