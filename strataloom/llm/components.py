@@ -13,8 +13,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating star contraction: each round hangs larger neighbours on the
     smallest one seen, first over all neighbours, then over the smaller ones,
-    until all links are stars. Minima are pre-aggregated, so a node with very
-    many links costs one row per task; each round is a written table.
+    until all links are stars. Minima are pre-aggregated, so for them a node with
+    very many links costs one row per task; where its links meet its minimum they
+    are two numbers each, and adaptive execution splits them. Each round is a
+    written table.
     """
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
     while True:

@@ -6,17 +6,23 @@ one table: 12 collections of 2 hashes serve 66 tables of 4 hashes with 24 hash
 functions rather than 264. A pair at similarity 0.8 misses every table with
 probability 1e-4, a pair at 0.9 with 1e-8.
 
+Short keys also bring texts together that share no more than boilerplate. So
+whoever has a bucket mate is banded once more, with 36 collections of 6 hashes
+(630 tables of 12 hashes): a pair at 0.8 misses all of these with probability
+2.4e-4, and one at 0.3 meets in any with 3e-4.
+
 Equal shingle sets are one class, so copies never meet each other. Inside a
 table's bucket members are linked to one head only (a star), found first within
-blocks, then across them, so a bucket sends one row per block. The stars connect
-bucket mates to families. Candidates are verified inside families, in blocks of
-bounded size: every pair in different components is compared on its full sets; no
-candidate is capped, and no pair is emitted but the links found.
+blocks, then across them, so a bucket sends one row per block. The stars of the
+second banding connect bucket mates to families. Candidates are verified inside
+families, in blocks of bounded size: every pair in different components is
+compared on its full sets; no candidate is capped, and no pair is emitted but the
+links found.
 
 Words are runs of bytes outside ASCII white space, in lower case (A-Z). A text
 with fewer words than a shingle has one shingle, the whole sequence; a text
-without words (null, empty) has none and is linked with nothing. A null id is
-linked with nothing and has a null component.
+without words (null, empty) has none and is linked with nothing. A null id links
+nothing; its component is that of its copies, null without any.
 """
 
 from __future__ import annotations
@@ -32,10 +38,14 @@ from pyspark.sql import functions as F
 
 from .bloom import maybe_in
 from .components import components
-from .shared import mix, slices, trim, window_hashes, word_hashes, words, written
-
-#: Classes whose bucket keys a task holds at once.
-BLOCK = 16384
+from .shared import forget, mix, slices, trim, window_hashes, word_hashes, words, written
+
+#: Bucket keys that a task holds at once.
+KEYS = 1 << 20
+#: (collections, width) of the second banding.
+SECOND = (36, 6)
+#: Parts that the rows of one family are dealt out to where they meet its size.
+SALTS = 32
 #: Documents of a family that are compared in one block, and shared shingles of a block that are compared at once.
 MEMBERS, COLUMNS = 1024, 1 << 16
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64)
@@ -55,13 +65,13 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
-    """MinHash values, one row per non-empty set."""
+def signatures(sets: list[np.ndarray], hashes: int, skip: int = 0) -> np.ndarray:
+    """MinHash values by ``hashes`` functions after the first ``skip``, one row per non-empty set."""
     flat = np.concatenate(sets)
     at = np.cumsum([0, *(len(s) for s in sets[:-1])])
     out = np.empty((len(sets), hashes), dtype=np.uint64)
     for i in range(hashes):
-        out[:, i] = np.minimum.reduceat(flat * (_SEEDS[0, i] * np.uint64(2) + np.uint64(1)) + _SEEDS[1, i], at)
+        out[:, i] = np.minimum.reduceat(flat * (_SEEDS[0, skip + i] * np.uint64(2) + np.uint64(1)) + _SEEDS[1, skip + i], at)
     return out
 
 
@@ -71,7 +81,7 @@ def table_keys(sig: np.ndarray, collections: int, width: int) -> np.ndarray:
     return np.stack([mix(parts[:, i] * np.uint64(0xA24BAED4963EE407) + parts[:, j] + np.uint64(t)) for t, (i, j) in enumerate(combinations(range(collections), 2))], axis=1)
 
 
-def profiles(docs: DataFrame, size: int, hashes: int) -> DataFrame:
+def profiles(docs: DataFrame, size: int, hashes: int, skip: int = 0) -> DataFrame:
     """(doc_id, n_shingles, fp, sig): set size, 128-bit fingerprint of the set, MinHash values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +89,7 @@ def profiles(docs: DataFrame, size: int, hashes: int) -> DataFrame:
             for at, texts in slices(batch, "t"):
                 sets = shingle_sets(texts, size)
                 full = [s for s in sets if len(s)]
-                sig = iter(signatures(full, hashes)) if full else iter(())
+                sig = iter(signatures(full, hashes, skip)) if full else iter(())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("i").slice(at, len(texts)),
@@ -113,10 +123,11 @@ def star_candidates(classes: DataFrame, collections: int, width: int) -> DataFra
     """(a, b), a < b: every member of a bucket beside the bucket's head, or beside the head of its part of the bucket.
 
     The head is the member with the commonest signature, so that it resembles as
-    many members as one can. Parts are blocks of BLOCK classes: what a task holds
-    is bounded, and a bucket sends one row a block.
+    many members as one can. Parts are blocks of KEYS bucket keys: what a task
+    holds is bounded, and a bucket sends one row a block.
     """
     hashes = collections * width
+    most = KEYS // (collections * (collections - 1) // 2)
 
     def block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = (np.concatenate(x) for x in zip(*(_keyed(b, collections, width) for b in held), strict=True))
@@ -137,10 +148,10 @@ def star_candidates(classes: DataFrame, collections: int, width: int) -> DataFra
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                held.append(batch.slice(at, BLOCK))
+            for at in range(0, batch.num_rows, most):
+                held.append(batch.slice(at, most))
                 n += held[-1].num_rows
-                if n >= BLOCK:
+                if n >= most:
                     yield from block(held)
                     held, n = [], 0
         if n:
@@ -249,6 +260,18 @@ def block_links(members: DataFrame, docs: DataFrame, size: int, percent: int) ->
     return met.repartition(n, "family", "block").sortWithinPartitions("family", "block").mapInArrow(run, "a long, b long")
 
 
+def _salted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+
+
+def second_stars(docs: DataFrame, stars: DataFrame, size: int, skip: int) -> DataFrame:
+    """(a, b): the stars of the second banding among all documents of ``stars``."""
+    mates = written(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "mates")
+    texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", mates, "id")
+    met = texts.join(mates, texts["doc_id"] == mates["id"], "left_semi")
+    return star_candidates(profiles(met, size, SECOND[0] * SECOND[1], skip).where("n_shingles > 0"), *SECOND)
+
+
 def family_labels(docs: DataFrame, stars: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root): components of the links inside families, documents that buckets connect.
 
@@ -258,10 +281,11 @@ def family_labels(docs: DataFrame, stars: DataFrame, size: int, percent: int) ->
     in different components is compared on its full sets, and nothing but the
     links found is emitted.
     """
-    families = components(stars)
-    sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    families = _salted(components(stars).withColumnRenamed("root", "family"), "node")
+    counted = families.groupBy("family", "salt").agg(F.count(F.lit(1)).alias("n"))  # a family has SALTS rows at most
+    sizes = counted.select("family", "salt").join(counted.groupBy("family").agg(F.sum("n").alias("n")), "family")
     blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
-    rows = families.join(sizes.withColumnRenamed("root", "family"), F.col("root") == F.col("family"))
+    rows = families.join(sizes, ["family", "salt"])
     rows = written(rows.select("family", F.col("node").alias("id"), blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "families")
     links = written(block_links(rows.select("family", "block", "id", F.col("id").alias("root"), F.lit(True).alias("probe")), docs, size, percent), "links")
     labels = components(links)
@@ -270,7 +294,8 @@ def family_labels(docs: DataFrame, stars: DataFrame, size: int, percent: int) ->
         return labels
     known = large.join(labels, large["id"] == labels["node"], "left").select("family", "block", "blocks", "id", F.coalesce("root", "id").alias("root"))
     most = known.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("root", "n").alias("most"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-    open_ = written(known.join(most.select("family", "most", F.ceil(F.col("others") / MEMBERS).cast("int").alias("groups")), "family"), "large_families")
+    dealt = most.select("family", "most", F.ceil(F.col("others") / MEMBERS).cast("int").alias("groups"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    open_ = written(_salted(known, "id").join(dealt, ["family", "salt"]).drop("salt"), "large_families")
     # a block meets the probes in groups that are as bounded as itself
     held = open_.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     probes = open_.where("root != most").withColumn("group", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("groups")).cast("int"))
@@ -286,10 +311,12 @@ def classes_of(docs: DataFrame, size: int = 5, percent: int = 80, collections: i
     profile = written(profiles(docs, size, collections * width), "profiles")
     whole = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(whole.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
-    stars = written(star_candidates(classes, collections, width), "stars")
+    first = written(star_candidates(classes, collections, width), "bucket_mates")
+    stars = written(second_stars(docs, first, size, collections * width), "stars")
     labels = family_labels(docs, stars, size, percent)
-    rep = classes.where("n > 1").select(F.col("fp").alias("_fp"), F.col("doc_id").alias("rep"))
-    out = profile.join(rep, profile["fp"] == rep["_fp"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    out = out.join(labels, out["rep"] == labels["node"], "left")
-    component = F.coalesce("root", "rep")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    for done in (first, stars):
+        forget(done)
+    held = classes.join(labels, classes["doc_id"] == labels["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "doc_id").alias("component_id"), "n", F.col("doc_id").alias("rep"))
+    held = held.where("n > 1 OR component_id != rep").select("_fp", "component_id")
+    out = profile.join(held, profile["fp"] == held["_fp"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -190,6 +190,29 @@ def test_near_duplicates_without_rows_and_ids(spark, empty):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, 3), (3, 3), (3, 3), (4, 3)]
 
 
+def test_boilerplate_makes_no_large_family(spark):
+    rng = np.random.default_rng(8)
+    common = [f"b{k}" for k in range(70)]  # 67 shingles of about 247 in either text: a similarity near 0.16, and twice that for 120
+    for shared, n in ((common, 400), ([f"b{k}" for k in range(120)], 400)):
+        rows = [(i, " ".join([*shared, *(f"w{x}" for x in rng.integers(0, 10**6, 180))])) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        profile = near_dup.profiles(docs, 4, 24)
+        first = near_dup.star_candidates(profile.select("doc_id", "sig"), 12, 2)
+        again = near_dup.second_stars(docs, first, 4, 24)
+        assert near_dup.components(again).groupBy("root").count().where("count > 8").count() == 0
+
+
+def test_second_banding_finds_near_copies():
+    rng = np.random.default_rng(9)
+    missed, tries = 0, 400
+    for _ in range(tries):
+        both = rng.integers(0, 2**63, 160, dtype=np.uint64)
+        a, b = (np.sort(np.concatenate((both, rng.integers(0, 2**63, 20, dtype=np.uint64)))) for _ in range(2))  # 160 of 200
+        keys = near_dup.table_keys(near_dup.signatures([a, b], 216, 24), *near_dup.SECOND)
+        missed += not (keys[0] == keys[1]).any()
+    assert missed <= 4
+
+
 def test_linked_joins_what_similar_pairs_join():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(40)]
