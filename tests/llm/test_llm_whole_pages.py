@@ -9,7 +9,7 @@ LONG = "parola " * 40
 
 @pytest.mark.parametrize(
     ("before", "after"),
-    [("<div class='layout with-sidebar'><article>", "</article></div>"), ("<div id='page' class='has-sidebar'><main>", "</main></div>"), ("<main class='no-sidebar'>", "</main>"), ("<article class='post search-result'>", "</article>"), ("<div class='sidebar-layout'><main>", "</main></div>"), ("<div id='content' class='without_sidebar'>", "</div>")],
+    [("<div class='layout with-sidebar'><article>", "</article></div>"), ("<div id='page' class='has-sidebar'><main>", "</main></div>"), ("<main class='no-sidebar'>", "</main>"), ("<article class='post search-result'>", "</article>"), ("<div class='layout side by'><article>", "</article></div>"), ("<section class='search-results-study'>", "</section>"), ("<div class='share-holders'>", "</div>"), ("<div class='side'><article>", "</article></div>"), ("<div class='sidebar-layout'><main>", "</main></div>"), ("<div id='content' class='without_sidebar'>", "</div>")],
 )
 def test_layout_names_do_not_drop_the_article(before, after):
     page = f"<body><nav><a href=1>Menu</a></nav>{before}<p>{LONG}</p><p>{LONG}</p>{after}<div class='sidebar'><p>{LONG}fuori</p></div></body>"
@@ -25,3 +25,42 @@ def test_short_items_and_cells_between_long_blocks():
     page = f"<div id='content'><p>{LONG}</p><ul><li>uno due tre</li><li>quattro</li><li>cinque sei</li></ul><p>{LONG}</p><table><tr><td>sette</td><td>otto nove</td></tr></table><p>{LONG}</p></div><ul><li><a href=1>Menu</a></li><li><a href=2>Altro</a></li></ul>"
     text = html_text.main_text(page)
     assert all(w in text for w in "uno due tre quattro cinque sei sette otto nove".split()) and "Menu" not in text
+
+
+def held_out_pages():
+    """Pages of other make than the labelled ones: (blocks in order as (html, is article)) by their outer shape."""
+    w = lambda n: " ".join(f"w{k}" for k in range(n))
+    link = lambda n: f"<a href=/q>{w(n)}</a>"
+    return [
+        [("<nav>", None), (f"<p>{link(3)}</p>", 0), ("</nav><main>", None), (f"<h1>{w(11)}</h1>", 1), (f"<p>{w(120)}</p>", 1), (f"<p>{w(4)}</p>", 1), ("<div class='promo-box'>", None), (f"<p>{w(33)}</p>", 0), ("</div>", None), (f"<p>{w(52)} {link(6)}</p>", 1), ("</main><div id=footer>", None), (f"<p>{w(9)}</p>", 0), ("</div>", None)],
+        [("<div class='widget-area'>", None), (f"<h4>{w(2)}</h4>", 0), (f"<p>{w(28)}</p>", 0), ("</div><article>", None), (f"<h1>{w(5)}</h1>", 1), (f"<p>{w(44)}</p>", 1), (f"<li>{w(2)}</li>", 1), (f"<li>{w(9)}</li>", 1), (f"<p>{w(71)}</p>", 1), ("</article><div class='reader-comments'>", None), (f"<p>{w(38)}</p>", 0), (f"<p>{w(6)}</p>", 0), ("</div>", None)],
+        [("<div class='top-nav'>", None), (f"<li>{link(1)}</li>", 0), (f"<li>{link(2)}</li>", 0), ("</div><div class='text'>", None), (f"<h1>{w(7)}</h1>", 1), (f"<p>{w(62)}</p>", 1), (f"<p>{w(51)}</p>", 1), (f"<h2>{w(3)}</h2>", 1), (f"<p>{w(80)}</p>", 1), ("</div><div>", None), (f"<p>{link(5)} {link(4)}</p>", 0), (f"<p>{link(6)}</p>", 0), (f"<div>{w(4)}</div>", 0), ("</div>", None)],
+        [("<div class='side'><article>", None), (f"<p>{w(58)}</p>", 1), (f"<p>{w(47)}</p>", 1), (f"<p>{w(8)}</p>", 1), (f"<p>{w(39)}</p>", 1), ("</article></div><aside><article>", None), (f"<h3>{link(7)}</h3>", 0), (f"<p>{w(9)}</p>", 0), ("</article></aside>", None)],
+    ]
+
+
+def test_held_out_blocks():
+    right = total = 0
+    for parts in held_out_pages():
+        found = html_text.blocks("".join(h for h, _ in parts))
+        wanted = [bool(y) for _, y in parts if y is not None]
+        assert len(found) == len(wanted)
+        got = html_text.verdicts(html_text.TREE, html_text.features(found)).tolist()
+        right, total = right + sum(a == b for a, b in zip(got, wanted, strict=True)), total + len(wanted)
+    assert right / total >= 0.95, (right, total)
+
+
+def test_neighbours_decide():
+    def asked(tree):
+        return set() if isinstance(tree, bool) else {html_text.FEATURES[tree[0]]} | asked(tree[2]) | asked(tree[3])
+
+    assert asked(html_text.TREE) & {"prev_words", "prev_links", "next_words", "next_links"}
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<a '", '<a "', "<", "<b c='d' ", "</", "<!--", "<!x", "<p><script>", "'\"<a x=", "<svg><"])
+def test_long_broken_pages_take_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 5
