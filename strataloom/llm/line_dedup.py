@@ -9,9 +9,12 @@ one document that keeps the line. A saturated filter admits more lines; it never
 changes a result.
 
 A line's key is the line without white space at its ends, in lower case (A-Z).
-Null and empty texts have one empty line. Rows with a null id keep all lines and
-do not count as documents. Rows that repeat an id count once and lose the same
-lines. Ties cannot arise: the largest id holding a key is one document.
+Suspected lines go along with their places in their text, so that a text is cut
+by places and not by comparing lines again. Null and empty texts have one empty
+line. Rows with a null id keep all lines and do not count as documents. Rows that
+repeat an id count once and lose lines of the same keys. Ties cannot arise: the
+largest id holding a key is one document. Bytes that are no UTF-8 count as U+FFFD
+in keys. Extra columns are kept, but for those named as the columns added.
 """
 
 from __future__ import annotations
@@ -21,28 +24,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import SEGMENT, admits, by_segment, positions
-from .shared import WHITE, slices
+from .shared import WHITE, slices, written
 
-_TRIM = " \t\n\x0b\x0c\r"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Columns that ``drop_repeated_lines`` adds.
+ADDED = ("_n_lines", "_n_dropped", "_text")
+#: Least and largest filter: 2**30 bits are 128 MB, good for some 100 million lines.
+LEAST_BITS, MOST_BITS = 20, 30
 
 
-def _keys(text: bytes, least: int) -> set[bytes]:
-    """The distinct keys of at least ``least`` code points in a text."""
-    found = set()
-    for line in text.split(b"\n"):
+def _keys(text: bytes, least: int) -> dict[bytes, list[int]]:
+    """The keys of at least ``least`` code points in a text, with the numbers of their lines."""
+    found: dict[bytes, list[int]] = {}
+    for n, line in enumerate(text.split(b"\n")):
         key = line.strip(WHITE)
-        if len(key) >= least and (len(key) >= 4 * least or len(key.decode()) >= least):
-            found.add(key.lower())
+        if len(key) >= least and (len(key) >= 4 * least or len(key.decode("utf-8", "replace")) >= least):
+            found.setdefault(key.lower(), []).append(n)
     return found
 
 
-def key_of(line: Column) -> Column:
-    return F.translate(F.trim(line, F.lit(_TRIM)), _UPPER, _LOWER)
+def filter_bits(docs: DataFrame) -> int:
+    """The filter's size as a power of two, by the input's size as the planner knows it: about a bit for two bytes read."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_BITS, max(LEAST_BITS, (size // 2).bit_length()))
 
 
 def repeat_filter(docs: DataFrame, least: int, bits: int) -> np.ndarray:
@@ -87,43 +94,48 @@ def repeat_filter(docs: DataFrame, least: int, bits: int) -> np.ndarray:
 
 
 def suspects(docs: DataFrame, least: int, bits: int) -> DataFrame:
-    """(doc_id, key) of lines the twice-seen filter admits, once per row of ``docs``."""
+    """(i, h, key, at) of lines the twice-seen filter admits, once per key and row of ``docs`` (i, h, t); ``at`` are their places."""
     held = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, least, bits))
 
     def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = held.value
         for batch in batches:
             for at, texts in slices(batch, "t"):
-                ids = batch.column("i").slice(at, len(texts)).to_pylist()
-                pairs = [(i, k) for i, t in zip(ids, texts, strict=True) for k in _keys(t, least)]
-                hit = admits(packed, np.fromiter((xxhash.xxh3_64_intdigest(k) for _, k in pairs), dtype=np.uint64, count=len(pairs)), bits)
-                if hit.any():
-                    chosen = [pairs[j] for j in np.flatnonzero(hit)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in chosen], pa.int64()), pa.array([x[1].decode() for x in chosen], pa.string())], ["doc_id", "key"])
+                pairs = [(n, k, places) for n, t in enumerate(texts) for k, places in _keys(t, least).items()]
+                hit = np.flatnonzero(admits(packed, np.fromiter((xxhash.xxh3_64_intdigest(k) for _, k, _ in pairs), dtype=np.uint64, count=len(pairs)), bits))
+                if len(hit):
+                    chosen = [pairs[j] for j in hit.tolist()]
+                    row = pa.array([at + n for n, _, _ in chosen], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("i").take(row), batch.column("h").take(row), pa.array([k.decode("utf-8", "replace") for _, k, _ in chosen], pa.string()), pa.array([p for _, _, p in chosen], pa.list_(pa.int32()))], ["i", "h", "key", "at"]
+                    )
 
-    return docs.mapInArrow(admit, "doc_id long, key string")
+    return docs.mapInArrow(admit, "i long, h long, key string, at array<int>")
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bloom_bits: int = 27) -> DataFrame:
-    """The input with ``_text`` (lines left), ``_n_lines`` and ``_n_dropped`` added.
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bloom_bits: int | None = None) -> DataFrame:
+    """The input with ``_n_lines``, ``_n_dropped`` and ``_text`` (lines left) added.
 
-    ``bloom_bits``, at least 20: the filter's size is 2**bloom_bits bits (16 MB), at any size of the input.
+    ``bloom_bits``, at least 20, gives the filter's size as a power of two;
+    otherwise it grows with the input up to MOST_BITS. Beyond that the filter fills
+    up and more lines meet, with the same result.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    found = suspects(texts, min_chars, bloom_bits)
-    held = found.dropDuplicates(["doc_id", "key"])
-    common = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = held.join(common.select("key", "keeper"), "key").where("doc_id < keeper").groupBy(F.col("doc_id").alias("_lost_in")).agg(F.collect_set("key").alias("_lost"))
-    joined = docs.join(lost, docs["doc_id"].cast("long") == lost["_lost_in"], "left")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_lost"), key_of(x)))
-    return (
-        joined.withColumn("_n_lines", F.size(lines).cast("long"))
-        .withColumn("_kept", F.when(F.col("_lost").isNotNull(), kept))
-        .withColumn("_n_dropped", F.when(F.col("_lost").isNotNull(), F.col("_n_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long"))
-        .withColumn("_text", F.when(F.col("_lost").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.coalesce(F.col("text"), F.lit(""))))
-        .drop("_lost_in", "_lost", "_kept")
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("h"), F.col("text").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    # the suspected lines are counted, and then dealt out to the texts that lose them
+    held = written(suspects(texts, min_chars, bloom_bits or filter_bits(texts)).dropDuplicates(["i", "h", "key"]), "suspects")
+    common = held.select("key", "i").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("keeper")).where(F.col("n") >= min_docs)
+    lost = held.join(common.select("key", "keeper"), "key").where("i < keeper").groupBy("i", "h").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+    names = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.col("text").alias("_t"))
+    joined = rows.join(lost, (F.col("_i") == F.col("i")) & (F.xxhash64("_t") == F.col("h")), "left")
+    lines = F.split(F.coalesce(F.col("_t"), F.lit("")), "\n", -1)
+    edges = F.concat(F.array(F.lit(-1)), F.col("at"), F.array(F.col("_n_lines").cast("int")))
+    between = lambda k: F.slice(lines, F.element_at("_edges", k) + 2, F.element_at("_edges", k + 1) - F.element_at("_edges", k) - 1)
+    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size("at") + 1), between)), "\n")
+    out = joined.withColumn("_n_lines", F.size(lines).cast("long")).withColumn("_edges", F.when(F.col("at").isNotNull(), edges))
+    text = F.when(F.col("at").isNotNull(), kept).otherwise(F.coalesce("_t", F.lit("")))
+    made = F.struct("_n_lines", F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("_n_dropped"), text.alias("_text"))
+    return out.select("_row", made.alias("_made")).select(*(F.col("_row").getField(c).alias(c) for c in names), *(F.col("_made").getField(c).alias(c) for c in ADDED))
 
 
 def digest(docs: DataFrame) -> DataFrame:
