@@ -11,10 +11,12 @@ residual, which is rounded to the nearer side. No level gathers more than a
 chunk in one place, however large a source is. Random numbers are hashes of ids
 and a seed, so reruns agree.
 
-Null texts have size 0. A null source is a source of its own, last in order.
-Rows that repeat an id are rows of their own and may fare differently only if
-their other columns differ. An empty table gives an empty result. Sources whose
-size is 0 have target 0.
+Rows with the same id, source and text are one unit of the rounding: their wanted
+copies add up, only the sum's fraction is rounded, and the copies are dealt out so
+that no two of them differ by more than one.
+
+Null texts have size 0. A null source is a source of its own, last in order. An
+empty table gives an empty result. Sources whose size is 0 have target 0.
 """
 
 from __future__ import annotations
@@ -144,34 +146,62 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "source", "text")
 
 
-def decisions(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """(doc_id, key, source, size, source_size, target, copies, taken) of every row.
+def _decided(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, part, source, size, source_size, target) of every row, and (key, size, rows, total) of the rows that agree in ``key``.
 
-    ``key`` is a hash of id, source and text; rows that agree in it share one
-    decision. The texts are read once and never shuffled.
+    ``key`` is a hash of id, source and text, ``part`` deals its rows out to 64
+    parts, ``total`` is how often the mix takes them altogether. The texts are read
+    once and never shuffled.
     """
-    small = written(docs.select(F.col("doc_id"), _key().alias("key"), F.col("source"), size_of(F.col("text")).alias("size")), "sizes")
+    part = (F.monotonically_increasing_id() % 64).cast("int")
+    small = written(docs.select(F.col("doc_id"), _key().alias("key"), part.alias("part"), F.col("source"), size_of(F.col("text")).alias("size")), "sizes")
     plan = written(targets(small.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     at = F.broadcast(plan.withColumnRenamed("source", "_s"))  # one row a source
-    want = small.join(at, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("f", ratio)
-    part = want.withColumn("p", F.col("f") - F.floor("f")).where("size > 0 AND p > 1e-9 AND p < 1 - 1e-9").dropDuplicates(["key"])
-    n = F.broadcast(part.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("n")))
-    rows = part.join(n, F.col("source").eqNullSafe(F.col("_s"))).select("source", "n", F.col("key").alias("id"), F.col("size").cast("double").alias("a"), "p")
+    want = small.join(at, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    units = want.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("rows"), F.first(ratio).alias("f")).withColumn("wanted", F.col("f") * F.col("rows"))
+    units = units.withColumn("sure", F.floor(F.col("wanted") + 1e-9)).withColumn("p", F.col("wanted") - F.floor("wanted"))
+    open_ = units.where("size > 0 AND p > 1e-9 AND p < 1 - 1e-9")
+    n = F.broadcast(open_.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("n")))
+    rows = open_.join(n, F.col("source").eqNullSafe(F.col("_s"))).select("source", "n", F.col("key").alias("id"), F.col("size").cast("double").alias("a"), "p")
     extra = rounded(rows, seed)
-    out = want.join(extra, want["key"] == extra["id"], "left")
-    copies = (F.floor(F.col("f") + 1e-9) + F.coalesce("extra", F.lit(0))).cast("long")
+    total = (F.col("sure") + F.coalesce("extra", F.lit(0))).cast("long")
+    return want, written(units.join(extra, units["key"] == extra["id"], "left").select("key", "size", "rows", total.alias("total")), "decisions")
+
+
+def decisions(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """(doc_id, key, source, size, source_size, target, copies, taken) of every row."""
+    want, decided = _decided(docs, seed)
+    out = want.join(decided, ["key", "size"]).withColumn("copies", F.col("total"))
+    if decided.where("rows > 1").take(1):
+        several = out.where("rows > 1")
+        # a row's number among its equals: those of smaller parts, and those before it in its own
+        counts = several.groupBy("key", "size", "part").agg(F.count(F.lit(1)).alias("own"))
+        before = counts.select("key", "size", "part", (F.sum("own").over(Window.partitionBy("key", "size").orderBy("part")) - F.col("own")).alias("before"))
+        nth = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("doc_id"))
+        placed = several.withColumn("nth", nth).join(before, ["key", "size", "part"]).withColumn("nth", F.col("nth") + F.col("before"))
+        dealt = F.floor(F.col("total") / F.col("rows")) + (F.col("nth") <= F.col("total") % F.col("rows")).cast("long")
+        out = out.where("rows = 1").unionByName(placed.withColumn("copies", dealt).drop("nth", "before"))
+    copies = F.col("copies").cast("long")
     return out.select("doc_id", "key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The rows the mix takes, repeated as often as it takes them, with the input's columns.
 
-    A row whose size is 0 carries no words; it is kept once.
+    A row whose size is 0 carries no words; it is kept once. Of rows that agree in
+    id, source and text, what is left over when their copies are dealt out evenly
+    comes from one of them.
     """
-    made = decisions(docs.select("doc_id", "source", "text"), seed).select(F.col("key").alias("_key"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("_copies")).dropDuplicates(["_key"]).where("_copies > 0")
-    rows = packed(docs, k=_key()).join(made, F.col("k") == F.col("_key")).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
-    return unpacked(rows, docs.columns)
+    _, decided = _decided(docs.select("doc_id", "source", "text"), seed)
+    each, over = F.floor(F.col("total") / F.col("rows")), F.col("total") % F.col("rows")
+    made = decided.select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.when(F.col("size") == 0, 1).otherwise(each).cast("int").alias("_each"), F.when(F.col("size") == 0, 0).otherwise(over).cast("int").alias("_over")).where("_each > 0 OR _over > 0")
+    rows = packed(docs, k=_key(), n=size_of(F.col("text"))).join(made, (F.col("k") == F.col("_key")) & (F.col("n") == F.col("_size")))
+    out = rows.where("_each > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_each"))).alias("copy"))
+    if made.where("_over > 0").take(1):
+        rest = rows.where("_over > 0").groupBy("k", "n").agg(F.first("_row").alias("_row"), F.first("_over").alias("_over"))
+        out = out.union(rest.select("_row", F.explode(F.sequence(F.lit(1), F.col("_over"))).alias("copy")))
+    return unpacked(out, docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
