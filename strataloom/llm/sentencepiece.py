@@ -41,8 +41,8 @@ MARK = "▁"
 LONG = 60
 #: Rows of an Arrow batch.
 BATCH_ROWS = 500
-#: Most units whose ids are broadcast (some 30 bytes each, so 100 MB at most).
-COMMON_UNITS, FOLDS = 3_000_000, 8
+#: Most units whose ids are broadcast, and most bytes of them.
+COMMON_UNITS, COMMON_BYTES, FOLDS = 3_000_000, 120 << 20, 8
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def load(model_file: str) -> Vocabulary:
 def _kind(p) -> str:
     """BPE models number their merges: their scores are whole numbers."""
     scores = [p.get_score(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
-    return "bpe" if all(float(s).is_integer() for s in scores[:2000]) else "unigram"
+    return "bpe" if all(float(s).is_integer() for s in scores) else "unigram"
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,11 @@ class Splitter:
         mark = MARK.encode()
         full = [b" " + (t.replace(mark, b" ") if mark in t else t) if t else b"" for t in texts]
         raw = b"".join(full)
+        try:
+            raw.decode()
+        except UnicodeDecodeError:  # bytes that are no text read as U+FFFD
+            full = [t.decode("utf-8", "replace").encode() for t in full]
+            raw = b"".join(full)
         data = np.frombuffer(raw, dtype=np.uint8)
         edges = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(t) for t in full], out=edges[1:])
@@ -325,13 +330,14 @@ class UnitIds:
         return out
 
 
-def common_units(table: DataFrame, most: int) -> UnitIds:
-    """The most frequent units, at most ``most`` of them; all of them have ``least`` 0."""
-    by_count = table.groupBy("freq").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("freq").desc())
-    total, least = 0, 1 << 62
+def common_units(table: DataFrame, most: int, most_bytes: int = COMMON_BYTES) -> UnitIds:
+    """The most frequent units, at most ``most`` of them and ``most_bytes`` in memory; all of them have ``least`` 0."""
+    size = F.sum(F.size("ids")) * 4 + F.count(F.lit(1)) * 14
+    by_count = table.groupBy("freq").agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).orderBy(F.col("freq").desc())
+    total, held, least = 0, 0, 1 << 62
     for row in by_count.toLocalIterator():
-        total += row["n"]
-        if total > most:
+        total, held = total + row["n"], held + row["bytes"]
+        if total > most or held > most_bytes:
             break
         least = row["freq"]
     else:
@@ -373,17 +379,22 @@ def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS, decoded: bool = False) -> DataFrame:
-    """The input with ``ids`` (array<int>) in place of ``text``; ``doc_id`` tells rows apart for the rarer units.
+    """The input with ``ids`` (array<int>) in place of ``text``.
 
     With ``decoded``, the text of those ids goes along, as ``decode`` would give it
-    in another pass. Rarer units of a document meet the unit table in a join on the unit and come
-    back to the document in a join on ``doc_id``.
+    in another pass. Rarer units of a text meet the unit table in a join on the unit
+    and come back to the text in a join on its hash, so neither ids nor repeated rows
+    matter. Columns of the input named as those added are left out.
     """
-    # texts, their ids and their rarer units stand side by side in a batch: keep batches small
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
+    texts = docs.select(F.xxhash64("text").alias("i"), F.col("text").alias("t"))
     split = splitter(v)
-    table = unit_table(texts.select("t"), v, split)
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, BATCH_ROWS)  # a batch of units stands beside what is counted so far: keep it small
+    try:
+        table = unit_table(texts.select("t"), v, split)
+    finally:
+        conf.set(key, before)
     common = common_units(table, most)
     held, least = docs.sparkSession.sparkContext.broadcast(common), common.least
     pieces = docs.sparkSession.sparkContext.broadcast(_piece_bytes(v))
@@ -400,7 +411,7 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS, decoded: bo
                 out = np.flatnonzero(known.find(h) < 0)
                 if not len(out):
                     continue
-                ids = np.repeat(batch.column("i").slice(at, len(part)).fill_null(-1).to_numpy(zero_copy_only=False), np.diff(first))
+                ids = np.repeat(batch.column("i").slice(at, len(part)).to_numpy(zero_copy_only=False), np.diff(first))
                 one = np.unique(np.stack([ids[out], h[out].view(np.int64)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(one[:, 0].copy()), pa.array(one[:, 1].copy())], ["i", "h"])
 
@@ -435,8 +446,8 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS, decoded: bo
                     columns.append(pa.array(_texts(found, total[first], *pieces.value), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["_row", "ids", "decoded"][: len(columns)])
 
-    rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_i"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col("text").alias("_t"))
+    rest = [c for c in docs.columns if c not in ("text", "ids", "decoded"[: 7 * decoded])]
+    packed = docs.select(F.xxhash64("text").alias("_i"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col("text").alias("_t"))
     empty = F.array().cast("array<struct<h:bigint,ids:array<int>>>")
     if least:
         pairs = texts.mapInArrow(rare, "i long, h long")
