@@ -168,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_ro
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # rows that repeat an id teach once, by the least of their texts
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     known = features(rows.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
     model = fit_rows(known[list(FEATURES)].to_numpy(dtype=np.float64).reshape(len(known), len(FEATURES)), known["y"].to_numpy(dtype=np.float64))
     trim()

@@ -38,10 +38,15 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; without words (null, empty) once."""
     return mixing.mix(docs)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ``ids`` in place of their text."""
-    return sentencepiece.encode(docs, sentencepiece.load(PIECES))
+    """Documents with ``ids`` in place of their text, and ``decoded_sha256``, the digest of the text that the ids decode to.
+
+    Null and empty texts have no ids; repeated rows get a row each. Columns of the
+    documents named as those added are left out.
+    """
+    out = sentencepiece.encode(docs.drop("decoded_sha256"), sentencepiece.load(PIECES), decoded=True)
+    return out.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")

@@ -302,6 +302,14 @@ def test_sentencepiece(spark, docs, rows, empty):
         got = {r.doc_id: list(r.ids) for r in sentencepiece.encode(docs.union(extra), v, most).collect()}
         for i, text, *_ in [*rows, *extra.collect()]:
             assert got[i] == p.encode(text or ""), i
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    odd = spark.createDataFrame([(None, "zero nulla", 1), (None, "altro niente", 2), (5, "uno", 3), (5, "due", 4), (5, None, 5)], "doc_id long, text string, ids int")
+    for most in (1, 1_000_000):
+        out = sentencepiece.encode(odd, v, most, decoded=True)
+        assert out.columns == ["doc_id", "ids", "decoded"] and sorted(r.decoded for r in out.collect()) == ["", "altro niente", "due", "uno", "zero nulla"]
+    small = sentencepiece.common_units(sentencepiece.unit_table(docs.select(F.col("text").alias("t")), v, sentencepiece.splitter(v)), 1_000_000, 2000)
+    assert small.least > 0 and 14 * (len(small.keys) - 1) + 4 * len(small.flat) <= 2000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     back = sentencepiece.decode(sentencepiece.encode(docs, v), v).select("doc_id", "decoded").collect()
     assert {r.doc_id: r.decoded for r in back} == {r[0]: p.decode(p.encode(r[1] or "")) for r in rows}
     assert sentencepiece.encode(empty, v).count() == 0
@@ -356,6 +364,7 @@ def test_line_dedup(docs, rows, empty, bits):
                 holders[key(line)].add(i)
     got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs, bloom_bits=bits).collect()}
     assert any(len(h) >= 5 for h in holders.values())
+    assert any(r._n_dropped for r in got.values())
     for i, text, *_ in rows:
         lines = (text or "").split("\n")
         kept = [x for x in lines if not (len(holders.get(key(x), ())) >= 5 and i < max(holders[key(x)]))]
@@ -363,6 +372,32 @@ def test_line_dedup(docs, rows, empty, bits):
     assert line_dedup.digest(empty).count() == 0
 
 
+def test_line_dedup_of_repeated_ids_and_clashing_columns(spark):
+    line = "una riga abbastanza lunga da contare come comune"
+    rows = [(1, f"{line}\nuno\n{line.upper()}"), (1, f"altro\n {line}"), (1, f"{line}\nuno\n{line.upper()}"), *((k, line) for k in range(2, 6)), (None, line), (7, None), (8, "\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_text", "_lost", "_kept", "i", "h", "at", "_edges")})
+    out = line_dedup.drop_repeated_lines(docs)
+    assert out.columns == ["doc_id", "text", "_lost", "_kept", "i", "h", "at", "_edges", "_n_lines", "_n_dropped", "_text"]
+    got = sorted((r.doc_id or 0, r._n_lines, r._n_dropped, r._text) for r in out.collect())
+    assert got == sorted([(1, 3, 2, "uno"), (1, 2, 1, "altro"), (1, 3, 2, "uno"), (2, 1, 1, ""), (3, 1, 1, ""), (4, 1, 1, ""), (5, 1, 0, line), (0, 1, 0, line), (7, 1, 0, ""), (8, 2, 0, "\n")])
+
+
+def test_mixing_of_repeated_rows_meets_the_target(spark):
+    rows = [(1, "uno due tre", "a")] * 400 + [(k, "parola " * 8, "b") for k in range(2, 500)] + [(None, "x y", "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.decisions(docs).collect()
+    assert len(got) == len(rows)
+    for source, largest in (("a", 3), ("b", 8)):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= largest and max(r.copies for r in mine) <= 2
+    copies = Counter(r.copies for r in got if r.source == "a")
+    assert max(copies) - min(copies) <= 1
+    mixed = Counter(r.source for r in mixing.mix(docs.withColumn("extra", F.lit("x"))).collect())
+    assert mixed == Counter({s: sum(r.copies for r in got if r.source == s) for s in "ab"})
+    again = mixing.decisions(docs.repartition(7)).collect()
+    assert Counter((r.doc_id, r.copies) for r in again) == Counter((r.doc_id, r.copies) for r in got)
+
+
 def test_mixing(spark, docs, rows, empty):
     got = mixing.decisions(docs.select("doc_id", "source", "text")).collect()
     size = {r[0]: len(words(r[1])) for r in rows}
@@ -421,6 +456,30 @@ def test_classifier_learns_a_rule(spark):
     assert kept.columns == wide.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i].predicted}
 
 
+def test_counts_equal_brute_force(docs, rows):
+    from strataloom.llm.quality_stats import with_counts
+
+    got = {r.doc_id: r.asDict() for r in with_counts(docs).collect()}
+    ascii_ = lambda lo, hi: {chr(c) for c in range(lo, hi)}
+    punct = ascii_(33, 48) | ascii_(58, 65) | ascii_(91, 97) | ascii_(123, 127)
+    for i, text, *_ in rows:
+        t, w = text or "", words(text)
+        counts = Counter(w)
+        expected = {
+            "n_lines": t.count("\n") + 1, "n_upper": sum(c in ascii_(65, 91) for c in t), "n_digits": sum(c in ascii_(48, 58) for c in t), "n_punct": sum(c in punct for c in t), "n_bang": t.count("!"), "n_stops": t.count("."),
+            "n_high": sum(len(c.encode()) for c in t if ord(c) > 127), "n_distinct": len(counts), "n_points": len(t), "top_word": max(counts.values(), default=0), "n_short": sum(len(x) <= 2 for x in w), "n_long": sum(len(x) >= 14 for x in w),
+            "n_caps_words": sum(x[0] in ascii_(65, 91) for x in w),
+        }
+        assert {k: got[i][k] for k in expected} == expected, i
+
+
+def test_repeated_ids_teach_once(spark):
+    docs = [(k, " ".join(["parola" + "#" * (k % 2)] * (20 + j))) for k in range(200) for j in range(3)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.train(d, labels) == quality_classifier.train(d.where("length(text) < 100000").groupBy("doc_id").agg(F.min("text").alias("text")), labels)
+
+
 def test_classifier_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality_classifier.train(docs, none)
