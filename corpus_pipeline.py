@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.llm import stages
-from strataloom.llm.shared import written
+from strataloom.llm.shared import forget, written
 
 STAGES = [
     ("quality_classifier", stages.quality_classifier),
@@ -20,7 +20,7 @@ STAGES = [
     ("sentencepiece_encoding", stages.sentencepiece_encoding),
 ]
 
-#: The classifier's trees and the seeded rounding have no SQL form; tests compare stages with brute force.
+#: The classifier's trees and the seeded rounding have no SQL form; tests hold each stage against brute force on small tables.
 ORACLE_SQL = None
 
 
@@ -28,5 +28,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES in order to the whole table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
