@@ -24,6 +24,7 @@ bounds don't fit a long); no text is cut.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,8 +40,8 @@ from .shared import slices, sweep, trim, word_hashes, written
 MARK = "▁"
 #: Longest unit, in characters, that is folded in SQL.
 LONG = 60
-#: Rows of an Arrow batch.
-BATCH_ROWS = 500
+#: Rows of an Arrow batch while texts and units are read.
+BATCH_ROWS = 200
 #: Most units whose ids are broadcast, and most bytes of them.
 COMMON_UNITS, COMMON_BYTES, FOLDS = 3_000_000, 120 << 20, 8
 
@@ -255,7 +256,7 @@ def count_units(docs: DataFrame, split: Splitter, most: int = 250_000) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(names[at : at + (1 << 16)], pa.string()), pa.array(counts[at : at + (1 << 16)])], ["unit", "n"])
 
         for batch in batches:
-            for _, texts in slices(batch, "t", 1 << 20):
+            for _, texts in slices(batch, "t"):
                 data, starts, ends, _ = split.spans(texts)
                 h, at, n = np.unique(word_hashes(data, starts, ends), return_index=True, return_counts=True)
                 place = _find(keys, h)
@@ -378,23 +379,30 @@ def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, at, -1)
 
 
-def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS, decoded: bool = False, digests: bool = False) -> DataFrame:
     """The input with ``ids`` (array<int>) in place of ``text``.
 
     With ``decoded``, the text of those ids goes along, as ``decode`` would give it
-    in another pass. Rarer units of a text meet the unit table in a join on the unit
-    and come back to the text in a join on its hash, so neither ids nor repeated rows
-    matter. Columns of the input named as those added are left out.
+    in another pass; with ``digests`` the lower-case SHA-256 of that text as
+    ``decoded_sha256``. Rarer units of a text meet the unit table in a join on the
+    unit and come back to the text in a join on its hash, so neither ids nor repeated
+    rows matter. Columns of the input named as those added are left out. The result
+    is a written table: both passes run here, in batches of BATCH_ROWS rows.
     """
-    texts = docs.select(F.xxhash64("text").alias("i"), F.col("text").alias("t"))
-    split = splitter(v)
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
-    conf.set(key, BATCH_ROWS)  # a batch of units stands beside what is counted so far: keep it small
+    conf.set(key, BATCH_ROWS)  # texts, their ids and their rarer units stand side by side in a batch: keep it small
     try:
-        table = unit_table(texts.select("t"), v, split)
+        return written(_encoded(docs, v, most, decoded, digests), "encoded")
     finally:
         conf.set(key, before)
+
+
+def _encoded(docs: DataFrame, v: Vocabulary, most: int, decoded: bool, digests: bool) -> DataFrame:
+    added = ["ids", *(["decoded"] if decoded else []), *(["decoded_sha256"] if digests else [])]
+    texts = docs.select(F.xxhash64("text").alias("i"), F.col("text").alias("t"))
+    split = splitter(v)
+    table = unit_table(texts.select("t"), v, split)
     common = common_units(table, most)
     held, least = docs.sparkSession.sparkContext.broadcast(common), common.least
     pieces = docs.sparkSession.sparkContext.broadcast(_piece_bytes(v))
@@ -442,11 +450,14 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS, decoded: bo
                 np.cumsum(sizes, out=total[1:])
                 found = pool[_ranges(begin, sizes)]
                 columns = [batch.column("_row").slice(at, len(part)), pa.ListArray.from_arrays(pa.array(total[first].astype(np.int32)), pa.array(found, pa.int32()))]
+                back = _texts(found, total[first], *pieces.value) if decoded or digests else []
                 if decoded:
-                    columns.append(pa.array(_texts(found, total[first], *pieces.value), pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, ["_row", "ids", "decoded"][: len(columns)])
+                    columns.append(pa.array(back, pa.string()))
+                if digests:
+                    columns.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["_row", *added])
 
-    rest = [c for c in docs.columns if c not in ("text", "ids", "decoded"[: 7 * decoded])]
+    rest = [c for c in docs.columns if c not in ("text", *added)]
     packed = docs.select(F.xxhash64("text").alias("_i"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col("text").alias("_t"))
     empty = F.array().cast("array<struct<h:bigint,ids:array<int>>>")
     if least:
@@ -456,8 +467,8 @@ def encode(docs: DataFrame, v: Vocabulary, most: int = COMMON_UNITS, decoded: bo
         joined = packed.join(per_doc, packed["_i"] == per_doc["i"], "left").select("_row", "_t", F.coalesce("_rare", empty).alias("_rare"))
     else:  # every unit is broadcast
         joined = packed.select("_row", "_t", empty.alias("_rare"))
-    added = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())][: 1 + decoded]
-    return joined.mapInArrow(assemble, StructType([packed.schema["_row"], *added])).select(*(F.col("_row").getField(c).alias(c) for c in rest), *(f.name for f in added))
+    schema = StructType([packed.schema["_row"], StructField("ids", ArrayType(IntegerType())), *(StructField(c, StringType()) for c in added[1:])])
+    return joined.mapInArrow(assemble, schema).select(*(F.col("_row").getField(c).alias(c) for c in rest), *added)
 
 
 def _piece_bytes(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -496,5 +507,5 @@ def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
 
 def digest(docs: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, n_pieces, ids, decoded_sha256) of every row."""
-    out = encode(docs.select("doc_id", "text"), load(model_file), decoded=True)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    out = encode(docs.select("doc_id", "text"), load(model_file), digests=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_sha256")

@@ -48,5 +48,4 @@ def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null and empty texts have no ids; repeated rows get a row each. Columns of the
     documents named as those added are left out.
     """
-    out = sentencepiece.encode(docs.drop("decoded_sha256"), sentencepiece.load(PIECES), decoded=True)
-    return out.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
+    return sentencepiece.encode(docs, sentencepiece.load(PIECES), digests=True)
