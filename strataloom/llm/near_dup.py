@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import maybe_in
+from .bloom import admits, build, maybe_in
 from .components import components
 from .shared import forget, mix, slices, trim, window_hashes, word_hashes, words, written
 
@@ -44,6 +44,8 @@ from .shared import forget, mix, slices, trim, window_hashes, word_hashes, words
 KEYS = 1 << 20
 #: (collections, width) of the second banding.
 SECOND = (36, 6)
+#: Size of the filter of ids that meet again, as a power of two (2 MB); a full one admits more ids and changes no result.
+AMONG = 24
 #: Parts that the rows of one family are dealt out to where they meet its size.
 SALTS = 32
 #: Documents of a family that are compared in one block, and shared shingles of a block that are compared at once.
@@ -81,11 +83,19 @@ def table_keys(sig: np.ndarray, collections: int, width: int) -> np.ndarray:
     return np.stack([mix(parts[:, i] * np.uint64(0xA24BAED4963EE407) + parts[:, j] + np.uint64(t)) for t, (i, j) in enumerate(combinations(range(collections), 2))], axis=1)
 
 
-def profiles(docs: DataFrame, size: int, hashes: int, skip: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, fp, sig): set size, 128-bit fingerprint of the set, MinHash values."""
+def profiles(docs: DataFrame, size: int, hashes: int, skip: int = 0, among: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, n_shingles, fp, sig): set size, 128-bit fingerprint of the set, MinHash values.
+
+    ``among``: the packed bits of a Bloom filter of AMONG bits; only ids that it admits are read.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(among) if among is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if held is not None:
+                ids = batch.column("i")
+                known = admits(held.value, mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), AMONG)
+                batch = batch.filter(pa.array(known & ids.is_valid().to_numpy(zero_copy_only=False)))
             for at, texts in slices(batch, "t"):
                 sets = shingle_sets(texts, size)
                 full = [s for s in sets if len(s)]
@@ -267,9 +277,10 @@ def _salted(rows: DataFrame, key: str) -> DataFrame:
 def second_stars(docs: DataFrame, stars: DataFrame, size: int, skip: int) -> DataFrame:
     """(a, b): the stars of the second banding among all documents of ``stars``."""
     mates = written(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "mates")
-    texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", mates, "id")
-    met = texts.join(mates, texts["doc_id"] == mates["id"], "left_semi")
-    return star_candidates(profiles(met, size, SECOND[0] * SECOND[1], skip).where("n_shingles > 0"), *SECOND)
+    found = profiles(docs, size, SECOND[0] * SECOND[1], skip, build(mates, "id", AMONG)).where("n_shingles > 0").select("doc_id", "sig")
+    # written, so that no task runs the workers of two steps at once
+    strict = written(found.join(mates, found["doc_id"] == mates["id"], "left_semi"), "second_signatures")
+    return star_candidates(strict, *SECOND)
 
 
 def family_labels(docs: DataFrame, stars: DataFrame, size: int, percent: int) -> DataFrame:

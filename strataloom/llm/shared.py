@@ -104,6 +104,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def trim() -> None:
     """Give freed memory back to the machine: executors hold several workers at once."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another libc
