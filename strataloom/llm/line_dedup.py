@@ -34,6 +34,8 @@ from .shared import WHITE, slices, written
 ADDED = ("_n_lines", "_n_dropped", "_text")
 #: Least and largest filter: 2**30 bits are 128 MB, good for some 100 million lines.
 LEAST_BITS, MOST_BITS = 20, 30
+#: Parts that the lines with one key are dealt out to.
+SALTS = 32
 
 
 def _keys(text: bytes, least: int) -> dict[bytes, list[int]]:
@@ -124,7 +126,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     # the suspected lines are counted, and then dealt out to the texts that lose them
     held = written(suspects(texts, min_chars, bloom_bits or filter_bits(texts)).dropDuplicates(["i", "h", "key"]), "suspects")
     common = held.select("key", "i").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = held.join(common.select("key", "keeper"), "key").where("i < keeper").groupBy("i", "h").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+    # a line that a large part of all documents share meets its keeper in SALTS parts
+    keepers = common.select("key", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    dealt = held.withColumn("part", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int"))
+    lost = dealt.join(keepers, ["key", "part"]).where("i < keeper").groupBy("i", "h").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
     names = [c for c in docs.columns if c not in ADDED]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.col("text").alias("_t"))
     joined = rows.join(lost, (F.col("_i") == F.col("i")) & (F.xxhash64("_t") == F.col("h")), "left")

@@ -47,7 +47,7 @@ SECOND = (36, 6)
 #: Size of the filter of ids that meet again, as a power of two (2 MB); a full one admits more ids and changes no result.
 AMONG = 24
 #: Parts that the rows of one family are dealt out to where they meet its size.
-SALTS = 32
+SALTS = 256
 #: Documents of a family that are compared in one block, and shared shingles of a block that are compared at once.
 MEMBERS, COLUMNS = 1024, 1 << 16
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64)
