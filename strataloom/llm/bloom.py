@@ -13,6 +13,8 @@ from .shared import mix
 
 PROBES = 3
 SEGMENT = 20
+#: Filters of up to 2**GATHERED bits (16 MB) come to the driver in one job, larger ones a partition at a time.
+GATHERED = 27
 
 
 def positions(h: np.ndarray, bits: int) -> np.ndarray:
@@ -58,7 +60,7 @@ def build(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     n = min(1 << max(0, bits - SEGMENT), int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = ids.select(F.col(column).cast("long")).mapInArrow(collect, "seg int, at binary").repartition(n, "seg").mapInArrow(merge, "seg int, bits binary")
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect() if bits <= GATHERED else parts.toLocalIterator():
         got = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
         out[row["seg"] * len(got) : (row["seg"] + 1) * len(got)] = got
     return out
