@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strataloom.llm import components as link_components
 from strataloom.llm import line_dedup, mixing, near_dup, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_files
+from strataloom.llm.shared import written
 from strataloom.llm.tokenizer_files import BYTE_BPE, PIECES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -202,6 +204,32 @@ def test_boilerplate_makes_no_large_family(spark):
         assert near_dup.components(again).groupBy("root").count().where("count > 8").count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 19, 3])
+def test_components_of_links(spark, block, monkeypatch):
+    monkeypatch.setattr(link_components, "LINKS", block)  # 3: every part of the table is a block of its own
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(10**6)[:600] - 300_000
+    chain, hub, some = ids[:40], ids[40:140], rng.choice(ids[140:], (260, 2))
+    links = [*zip(chain[:-1], chain[1:]), *((hub[0], x) for x in hub), *some, *some[:20, ::-1]]
+    rows = [(int(a), int(b)) for a, b in links] + [(7, None), (None, 8), (None, None)]
+    table = written(spark.createDataFrame(rows, "a long, b long").repartition(6), "test_links")
+    parent = {x: x for r in rows for x in r if x is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in rows:
+        if a is not None and b is not None and find(a) != find(b):
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    linked = {x for a, b in rows if a is not None and b is not None and a != b for x in (a, b)}
+    got = [tuple(r) for r in link_components.components(table).select("node", "root").collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in linked)
+    assert not link_components.components(table.where("a IS NULL")).take(1)
+
+
 def test_second_banding_finds_near_copies():
     rng = np.random.default_rng(9)
     missed, tries = 0, 400
