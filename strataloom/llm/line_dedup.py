@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import SEGMENT, admits, by_segment, positions
+from .bloom import GATHERED, SEGMENT, admits, by_segment, positions
 from .shared import WHITE, slices, written
 
 #: Columns that ``drop_repeated_lines`` adds.
@@ -89,7 +89,8 @@ def repeat_filter(docs: DataFrame, least: int, bits: int) -> np.ndarray:
     spark = docs.sparkSession
     parts = docs.mapInArrow(collect, "seg int, once binary, twice binary").repartition(min(segments, int(spark.conf.get("spark.sql.shuffle.partitions"))), "seg")
     out = np.zeros(max(1, (1 << bits) // 8), dtype=np.uint8)
-    for row in parts.mapInArrow(merge, "seg int, bits binary").toLocalIterator():
+    bits_of = parts.mapInArrow(merge, "seg int, bits binary")
+    for row in bits_of.collect() if bits <= GATHERED else bits_of.toLocalIterator():
         got = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
         out[row["seg"] * len(got) : (row["seg"] + 1) * len(got)] = got
     return out
