@@ -42,7 +42,7 @@ MARK = "▁"
 LONG = 60
 #: Rows of an Arrow batch while texts and units are read.
 BATCH_ROWS = 200
-#: Most units whose ids are broadcast, and most bytes of them.
+#: Most units whose ids are broadcast, and most bytes of them; parts (a power of two) in which the driver gets them.
 COMMON_UNITS, COMMON_BYTES, FOLDS = 3_000_000, 120 << 20, 8
 
 
@@ -333,35 +333,32 @@ class UnitIds:
 
 def common_units(table: DataFrame, most: int, most_bytes: int = COMMON_BYTES) -> UnitIds:
     """The most frequent units, at most ``most`` of them and ``most_bytes`` in memory; all of them have ``least`` 0."""
-    size = F.sum(F.size("ids")) * 4 + F.count(F.lit(1)) * 14
-    by_count = table.groupBy("freq").agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).orderBy(F.col("freq").desc())
-    total, held, least = 0, 0, 1 << 62
+    by_count = table.groupBy("freq").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("ids")).orderBy(F.col("freq").desc())
+    n, total, least = 0, 0, 1 << 62
     for row in by_count.toLocalIterator():
-        total, held = total + row["n"], held + row["bytes"]
-        if total > most or held > most_bytes:
+        if n + row["n"] > most or 4 * (total + row["ids"]) + 14 * (n + row["n"]) > most_bytes:
             break
-        least = row["freq"]
+        n, total, least = n + row["n"], total + row["ids"], row["freq"]
     else:
         least = 0
     chosen = table.where(F.col("freq") >= least)
-    parts = []
-    for fold in range(FOLDS):  # the driver holds one part of the rows beside the arrays
-        got = chosen.where(F.pmod("h", F.lit(FOLDS)) == fold).select("h", "ids").toArrow()
-        lists = got.column("ids").combine_chunks()
-        parts.append((got.column("h").to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
-        del got, lists
+    keys, offsets = np.zeros(n + 1, dtype=np.uint64), np.zeros(n + 1, dtype=np.int32)  # a few million units have far fewer than 2**31 ids
+    flat = np.empty(total, dtype=np.int32)
+    at = begin = 0
+    for fold in range(FOLDS):  # one run of leading hash bits after another: beside the arrays the driver holds one part of the rows
+        got = chosen.where(F.shiftrightunsigned("h", 64 - FOLDS.bit_length() + 1) == fold).select("h", "ids").toArrow()
+        h = got.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        lists = got.column("ids").combine_chunks().take(pa.array(order))
+        end, stop = at + len(h), begin + len(lists.flatten())
+        keys[at:end], flat[begin:stop] = h[order], lists.flatten().to_numpy(zero_copy_only=False)
+        offsets[at + 1 : end + 1] = begin + np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        at, begin = end, stop
+        del got, h, order, lists
         trim()
-    h, lengths, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    begin = np.cumsum(lengths) - lengths
-    order = np.argsort(h)
-    sizes = lengths[order]
-    offsets = np.zeros(len(h) + 1, dtype=np.int32)  # a few million units have far fewer than 2**31 ids
-    np.cumsum(sizes, out=offsets[1:])
-    keys = h[order]
-    bits = max(1, len(keys).bit_length() - 2)
-    first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
-    return UnitIds(least, np.append(keys, np.uint64(0)), first, offsets, flat[_ranges(begin[order], sizes)])
+    bits = max(1, n.bit_length() - 2)
+    first = np.searchsorted(keys[:n], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+    return UnitIds(least, keys, first, offsets, flat)
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -343,6 +343,23 @@ def test_sentencepiece(spark, docs, rows, empty):
     assert sentencepiece.encode(empty, v).count() == 0
 
 
+def test_common_units_take_little_more_of_the_driver_than_their_size(spark):
+    import tracemalloc
+
+    table = spark.range(0, 150_000, numPartitions=4).select(F.xxhash64("id").alias("h"), (F.col("id") % 5 + 1).alias("freq"), F.expr("transform(sequence(1, 1 + CAST(id % 13 AS int)), x -> CAST(id * x % 32000 AS int))").alias("ids"))
+    sentencepiece.common_units(table.limit(10), 10)  # what is imported at the first call doesn't count
+    for most, least in ((150_000, 0), (100_000, 3)):
+        tracemalloc.start()
+        got = sentencepiece.common_units(table, most)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        expected = {r.h: r.ids for r in table.where(F.col("freq") >= least).collect()}
+        assert got.least == least and len(got.keys) - 1 == len(expected)
+        place = got.find(np.array(list(expected), dtype=np.int64).view(np.uint64))
+        assert [got.flat[got.offsets[k] : got.offsets[k + 1]].tolist() for k in place] == list(expected.values()) and (place >= 0).all()
+        assert peak < 2 * sum(x.nbytes for x in (got.keys, got.first, got.offsets, got.flat))
+
+
 def test_viterbi_fold_equals_a_search(spark):
     scores = {"▁": -2.0, "a": -1.5, "b": -1.0, "c": -3.0, "ab": -1.2, "▁a": -2.5, "bc": -1.1, "▁ab": -5.0}
     v = sentencepiece.Vocabulary("unigram", tuple(scores), tuple(scores.values()), frozenset(range(len(scores))), tuple(range(256)), 0)
