@@ -9,9 +9,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.fixed_values import ENTITY_BATCH, RELATION_BATCH
 from ..functions.responses import top_n
 
+#: Batches that one call into Python holds.
+BATCHES = 256
+#: Result rows that a task holds before it passes them on.
+RESULTS = 1 << 16
+
+
+def numbered(rows: DataFrame, order: Iterable[str], name: str = "idx") -> DataFrame:
+    """``rows`` numbered from 1 by columns that tell them apart: ranges of the order are numbered side by side, each after the rows of those before."""
+    order = list(order)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), place.alias("_place")))
+    before, offsets = 0, []
+    for part, n in sorted(dealt.groupBy("_part").agg(F.count(F.lit(1))).collect()):  # one row a range
+        offsets.append((part, before))
+        before += n
+    first = dealt.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    return dealt.join(F.broadcast(first), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
+
 
 def batches(rows: DataFrame, size: int) -> DataFrame:
     """``batch``: rows in runs of ``size`` by their index ``idx``."""
@@ -38,16 +57,17 @@ def accept_greedily(clusters: DataFrame) -> DataFrame:
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
         kept = []
-        for i, members in rows.sort_values("ord")["membri_ids"].items():
-            ids = {int(m) for m in members if m is not None and m >= 0}
-            if ids and not ids & taken:
-                taken |= ids
-                kept.append(i)
+        for _, batch in rows.sort_values("ord").groupby("batch", dropna=False):
+            taken: set[int] = set()
+            for i, members in batch["membri_ids"].items():
+                ids = {int(m) for m in members if m is not None and m >= 0}
+                if ids and not ids & taken:
+                    taken |= ids
+                    kept.append(i)
         return rows.loc[kept]
 
-    return clusters.groupBy("batch").applyInPandas(run, clusters.schema)
+    return clusters.groupBy(_held()).applyInPandas(run, clusters.schema)
 
 
 def leftovers(rows: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -57,8 +77,8 @@ def leftovers(rows: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def _union(c: str) -> Column:
-    """Sorted distinct entries of collected arrays without empty ones."""
-    return F.array_sort(F.filter(F.array_distinct(F.flatten(F.collect_list(c))), lambda x: x.isNotNull() & (x.cast("string") != "")))
+    """Sorted distinct entries of collected arrays without empty ones; equal arrays are one before they are shuffled."""
+    return F.array_sort(F.filter(F.array_distinct(F.flatten(F.collect_set(c))), lambda x: x.isNotNull() & (x.cast("string") != "")))
 
 
 def merge_clusters(clusters: DataFrame, entities: DataFrame) -> DataFrame:
@@ -142,18 +162,40 @@ def _columns(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+def _held() -> Column:
+    """What BATCHES batches that follow each other have in common."""
+    return F.floor(F.col("batch") / BATCHES).cast("long")
+
+
+def _batched(frame: pd.DataFrame) -> dict:
+    """The rows of each batch of a frame; those without a batch are one."""
+    found = {None if pd.isna(k) else int(k): rows for k, rows in frame.groupby("batch", sort=False, dropna=False)}
+    for rows in found.values():
+        rows.index = pd.RangeIndex(len(rows))
+    return found
+
+
+def _told(frames: Iterable[pd.DataFrame | None], schema: str) -> pd.DataFrame:
+    """Providers' frames as one; None is a failure and has no rows."""
+    columns = {c: [] for c in _columns(schema)}
+    for found in frames:
+        if found is not None and len(found):
+            for c, values in columns.items():
+                values.extend(found[c].tolist())
+    return pd.DataFrame(columns, dtype=object)
+
+
 def cluster_in_batches(rows: DataFrame, provider, schema: str, size: int, tries: int = 1, pause: float = 0.0) -> DataFrame:
     """A clustering provider applied to each batch: it maps a pandas frame of a batch to clusters.
 
     A provider that fails on a batch gives no clusters; the batch's rows are left
-    over and become singletons.
+    over and become singletons. BATCHES batches cross to Python at once.
     """
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = _tried(provider, group, tries, pause)
-        return (found if found is not None and len(found) else pd.DataFrame({c: [] for c in _columns(schema)})).astype(object)
+        return _told((_tried(provider, batch, tries, pause) for batch in _batched(group).values()), schema)
 
-    return batches(rows, size).groupBy("batch").applyInPandas(run, schema)
+    return batches(rows, size).groupBy(_held()).applyInPandas(run, schema)
 
 
 def cluster_together(entities: DataFrame, relations: DataFrame, provider, schema: str, sizes: tuple[int, int] = (ENTITY_BATCH, RELATION_BATCH), tries: int = 1, pause: float = 0.0) -> DataFrame:
@@ -161,14 +203,16 @@ def cluster_together(entities: DataFrame, relations: DataFrame, provider, schema
 
     The provider maps the pandas frames of a run's entities and relations, either
     of which may be empty, to rows of ``schema``. Failures are as in
-    ``cluster_in_batches``. A run has a bounded number of rows.
+    ``cluster_in_batches``. A run has a bounded number of rows; BATCHES runs cross
+    to Python at once.
     """
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = _tried(lambda _: provider(left, right), left, tries, pause)
-        return (found if found is not None and len(found) else pd.DataFrame({c: [] for c in _columns(schema)})).astype(object)
+        ours, theirs = _batched(left), _batched(right)
+        both = ((ours.get(k, left.iloc[:0]), theirs.get(k, right.iloc[:0])) for k in dict.fromkeys((*ours, *theirs)))
+        return _told((_tried(lambda _, a=a, b=b: provider(a, b), a, tries, pause) for a, b in both), schema)
 
-    return batches(entities, sizes[0]).groupBy("batch").cogroup(batches(relations, sizes[1]).groupBy("batch")).applyInPandas(run, schema)
+    return batches(entities, sizes[0]).groupBy(_held()).cogroup(batches(relations, sizes[1]).groupBy(_held())).applyInPandas(run, schema)
 
 
 def extract_in_batches(chunks: DataFrame, provider, schema: str, provenance: Iterable[str] = (), tries: int = 3, pause: float = 0.0, size: int = 10) -> DataFrame:
@@ -177,21 +221,30 @@ def extract_in_batches(chunks: DataFrame, provider, schema: str, provenance: Ite
     Blank texts are skipped. A run of rows that fails ``tries`` times gives no
     results and stops nothing. ``provenance``: columns of the chunk that every
     result row gets; the provider then names the row it comes from by the frame's
-    index, and its own columns are those of ``schema``.
+    index, and its own columns are those of ``schema``. Results of several runs,
+    about RESULTS rows, are passed on at once.
     """
     kept = list(provenance)
+    types = dict(chunks.dtypes)
+    whole = ", ".join([schema, *(f"{c} {types[c]}" for c in kept)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, n = [], 0
         for frame in frames:
             for at in range(0, len(frame), size):
-                part = frame.iloc[at : at + size].reset_index(drop=True)
-                found = _tried(provider, part, tries, pause)
-                if found is None or not len(found):
+                part = frame.iloc[at : at + size]
+                part.index = pd.RangeIndex(len(part))
+                told = _tried(provider, part, tries, pause)
+                if told is None or not len(told):
                     continue
                 if kept:
-                    found = found.join(part[kept])
-                yield found.astype(object)
+                    rows = part.index.get_indexer(told.index)
+                    told = told.assign(**{c: [values[i] if i >= 0 else None for i in rows] for c in kept for values in [part[c].tolist()]})
+                found.append(told)
+                n += len(told)
+                if n >= RESULTS:
+                    yield _told(found, whole)
+                    found, n = [], 0
+        yield _told(found, whole)
 
-    types = dict(chunks.dtypes)
-    whole = ", ".join([schema, *(f"{c} {types[c]}" for c in kept)])
     return chunks.where(F.length(F.trim("text")) > 0).mapInPandas(run, whole)

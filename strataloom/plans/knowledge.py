@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
 from ..functions import fixed_values as fixed
 from ..functions.lines import token_count
 from ..operators import aggregate, chunking, cluster, retrieve
@@ -140,10 +138,8 @@ _LINKED = "(SELECT CAST(row_number() OVER (ORDER BY s, p) AS BIGINT) AS idx, 'su
 def _linked(spark, sf_dir):
     pairs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.count(F.lit(1)).alias("conteggio_occorrenze"))
     text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
-    # one row a pair of keys: numbered on the graph's edges, not on the corpus
-    nth = F.row_number().over(Window.orderBy("s", "p")).cast("long")
-    return pairs.select(
-        nth.alias("idx"), text("supplier ", F.col("s")).alias("soggetto_norm"), F.when(F.col("p") % 2 == 0, "fornisce").otherwise("vende").alias("predicato_norm"), text("part ", F.col("p")).alias("oggetto_norm"), F.array(text("x", F.col("p") % 3)).alias("contesti"),
+    return cluster.numbered(pairs, ["s", "p"]).select(
+        "idx", text("supplier ", F.col("s")).alias("soggetto_norm"), F.when(F.col("p") % 2 == 0, "fornisce").otherwise("vende").alias("predicato_norm"), text("part ", F.col("p")).alias("oggetto_norm"), F.array(text("x", F.col("p") % 3)).alias("contesti"),
         F.array(text("c", F.col("p") % 50), F.lit("")).alias("fonti_chunk_id"), F.array(text("s", F.col("s") % 7)).alias("fonti_sezione"), "conteggio_occorrenze", "s", "p",
     )
 
@@ -153,7 +149,7 @@ m AS (SELECT 'Fornitore ' || (s % 5) AS soggetto_cluster, 'fornisce' AS predicat
   list_sort(list_distinct(flatten(list(fonti_sezione)))) AS fonti_aggregate_sezione, list_sort(list_distinct(list(predicato_norm))) AS predicati_originali_cluster, CAST(sum(conteggio_occorrenze) AS BIGINT) AS conteggio_occorrenze_totale, list_sort(list(CAST(idx AS INTEGER))) AS membri_ids_originali FROM r WHERE p % 3 > 0 GROUP BY s % 5, p % 11)
 SELECT * FROM m UNION ALL SELECT coalesce(canonical, soggetto_norm), predicato_norm, oggetto_norm, contesti, fonti_chunk_id, fonti_sezione, [predicato_norm], conteggio_occorrenze, [CAST(idx AS INTEGER)] FROM r LEFT JOIN names ON soggetto_norm = member WHERE p % 3 = 0""")
 def relation_clusters(spark, sf_dir):
-    relations = cut(_linked(spark, sf_dir))
+    relations = _linked(spark, sf_dir)
     grouped = relations.where("p % 3 > 0").groupBy((F.col("s") % 5).alias("a"), (F.col("p") % 11).alias("b")).agg(F.array_sort(F.collect_list(F.col("idx").cast("int"))).alias("membri_ids"))
     clusters = grouped.select(
         (F.col("a") * 11 + F.col("b")).alias("cluster_id"), F.concat(F.lit("Fornitore "), F.col("a").cast("string")).alias("soggetto_cluster"), F.lit("fornisce").alias("predicato_cluster"), F.concat(F.lit("classe "), F.col("b").cast("string")).alias("oggetto_cluster"), "membri_ids"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import graph, retrieve
+from strataloom.operators import cluster, graph, retrieve
 
 
 def plan(df):
@@ -43,3 +43,37 @@ def test_texts_meet_terms_in_their_rows(spark):
     found = graph._holding(terms, texts)
     assert "hashpartitioning" not in plan(found)
     assert {(r.term, r.id) for r in found.collect()} == {(t, f"nation {i}") for t in ("9", "Nation 1") for i in range(100) if t.lower() in f"nation {i}"}
+
+
+def test_numbers_of_an_order_need_no_single_task(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 3).alias("x"))
+    got = cluster.numbered(rows, ["k"], "n")
+    assert "SinglePartition" not in plan(got)
+    assert sorted((r.k, r.n) for r in got.collect()) == [(k, k + 1) for k in range(1000)]
+    assert cluster.numbered(rows.where("false"), ["k"]).count() == 0
+
+
+def test_many_batches_cross_to_python_at_once(spark):
+    def provider(entities, relations):
+        if not len(entities):
+            raise RuntimeError
+        assert list(entities.index) == list(range(len(entities))) and list(relations.index) == list(range(4))
+        return entities[["batch"]].head(1).assign(n=len(entities) + len(relations), none=None)
+
+    rows = lambda n: spark.range(n).withColumnRenamed("id", "idx")
+    got = cluster.cluster_together(rows(1000), rows(2400), provider, "batch long, n long, none string", (2, 4))
+    assert str(cluster.BATCHES) in plan(got)  # what the groups are made by
+    assert sorted((r.batch, r.n, r.none) for r in got.collect()) == [(b, 6, None) for b in range(500)]
+    got = cluster.cluster_in_batches(rows(1001), lambda f: f[["batch"]].head(1) if f["batch"][0] % 2 else None, "batch long", 2)
+    assert str(cluster.BATCHES) in plan(got)
+    assert sorted(r.batch for r in got.collect()) == list(range(1, 501, 2))
+
+
+def test_equal_arrays_are_one_before_they_are_shuffled(spark):
+    clusters = spark.createDataFrame([(1, "s", "p", "o", list(range(1000)))], "cluster_id long, soggetto_cluster string, predicato_cluster string, oggetto_cluster string, membri_ids array<int>")
+    arrays = lambda *xs: F.array(*(F.lit(x) for x in xs))
+    relations = spark.range(1000).select(F.col("id").alias("idx"), F.lit("p").alias("predicato_norm"), arrays("b", "a", "").alias("contesti"), F.array(F.concat(F.lit("c"), (F.col("id") % 3).cast("string"))).alias("fonti_chunk_id"), arrays().cast("array<string>").alias("fonti_sezione"), F.lit(1).alias("conteggio_occorrenze"))
+    got = cluster.merge_relation_clusters(clusters, relations)
+    assert "collect_list" not in plan(got)
+    (r,) = got.collect()
+    assert (r.contesti_aggregati, r.fonti_aggregate_chunk_id, r.fonti_aggregate_sezione, r.conteggio_occorrenze_totale) == (["a", "b"], ["c0", "c1", "c2"], [], 1000)
