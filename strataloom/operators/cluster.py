@@ -229,22 +229,25 @@ def extract_in_batches(chunks: DataFrame, provider, schema: str, provenance: Ite
     whole = ", ".join([schema, *(f"{c} {types[c]}" for c in kept)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, n = [], 0
+        own, empty = _columns(schema), lambda: {c: [] for c in _columns(whole)}
+        told = empty()
         for frame in frames:
+            given = {c: frame[c].tolist() for c in kept}
             for at in range(0, len(frame), size):
                 part = frame.iloc[at : at + size]
                 part.index = pd.RangeIndex(len(part))
-                told = _tried(provider, part, tries, pause)
-                if told is None or not len(told):
+                found = _tried(provider, part, tries, pause)
+                if found is None or not len(found):
                     continue
-                if kept:
-                    rows = part.index.get_indexer(told.index)
-                    told = told.assign(**{c: [values[i] if i >= 0 else None for i in rows] for c in kept for values in [part[c].tolist()]})
-                found.append(told)
-                n += len(told)
-                if n >= RESULTS:
-                    yield _told(found, whole)
-                    found, n = [], 0
-        yield _told(found, whole)
+                for c in own:
+                    told[c].extend(found[c].tolist())
+                rows = part.index.get_indexer(found.index).tolist() if kept else []
+                for c in kept:
+                    values = [*given[c][at : at + size], None]  # -1, the last, is a row that the frame has not
+                    told[c].extend([values[i] for i in rows])
+                if len(told[own[0]]) >= RESULTS:
+                    yield pd.DataFrame(told, dtype=object)
+                    told = empty()
+        yield pd.DataFrame(told, dtype=object)
 
     return chunks.where(F.length(F.trim("text")) > 0).mapInPandas(run, whole)

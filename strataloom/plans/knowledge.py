@@ -315,8 +315,9 @@ def extract_stub(spark, sf_dir):
         tried.add(key)
         if first or any(d % 9 == 0 for d in key):
             raise TimeoutError("no answer")
-        rows = [(i, d, w, k) for i, d, t in zip(frame.index, frame["doc_id"], frame["text"], strict=True) for k, w in enumerate(word.findall(t))]
-        return pd.DataFrame(rows, columns=["i", "doc_id", "nome_entita", "pos"]).set_index("i")
+        found = [word.findall(t) for t in frame["text"]]
+        rows = [i for i, ws in zip(frame.index, found, strict=True) for _ in ws]
+        return pd.DataFrame({"doc_id": frame["doc_id"].loc[rows].to_numpy(), "nome_entita": [w for ws in found for w in ws], "pos": [k for ws in found for k in range(len(ws))]}, index=rows)
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("source_file"))
     return cluster.extract_in_batches(docs, provider, "doc_id long, nome_entita string, pos int", ["source_file"], size=1)

@@ -1,6 +1,6 @@
 """Steps that must grow with their input: what is shuffled, written or held at once, and the same results as before."""
 
-import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from strataloom.operators import cluster, graph, retrieve
@@ -77,3 +77,26 @@ def test_equal_arrays_are_one_before_they_are_shuffled(spark):
     assert "collect_list" not in plan(got)
     (r,) = got.collect()
     assert (r.contesti_aggregati, r.fonti_aggregate_chunk_id, r.fonti_aggregate_sezione, r.conteggio_occorrenze_totale) == (["a", "b"], ["c0", "c1", "c2"], [], 1000)
+
+
+def test_results_of_several_runs_are_passed_on_at_once(spark):
+    class Chunks:
+        """Rows as ``mapInPandas`` hands them out, without Spark."""
+
+        dtypes = [("id", "bigint"), ("text", "string"), ("source", "string")]
+
+        def where(self, _):
+            return self
+
+        def mapInPandas(self, run, schema):
+            assert schema == "id long, n int, source string"
+            ids = range(100)
+            return list(run(iter([pd.DataFrame({"id": ids, "text": "t", "source": [f"s{i}" for i in ids]})])))
+
+    def provider(frame):
+        assert list(frame.index) == list(range(len(frame)))
+        return frame[["id"]].assign(n=1).iloc[::-1] if frame["id"].iloc[0] % 7 else None
+
+    (got,) = cluster.extract_in_batches(Chunks(), provider, "id long, n int", ["source"], size=2)
+    expected = [i for i in range(100) if (i - i % 2) % 7]
+    assert sorted(got.itertuples(index=False, name=None)) == [(i, 1, f"s{i}") for i in expected]
