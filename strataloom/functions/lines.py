@@ -155,28 +155,43 @@ def match_toc(lines: DataFrame, toc: DataFrame) -> DataFrame:
     """(file, line_id, toc_ord) for (file, line_id, line): the first TOC entry that a line names.
 
     Exactly, after numbers and caption words are cut, or by sharing words: two of
-    them, or three fifths of a title's where those are fewer. Distinct texts meet
-    titles by shared words, the first titles first: texts that have found theirs
-    do not meet the later ones, so common words of many titles stay cheap.
+    them, or the only one of a title. Distinct texts, under numbers, meet titles by
+    shared words, the first titles first: texts that have found theirs do not meet
+    the later ones. After the first titles a text is looked up by all its words but
+    the one that most titles have: who shares two words shares one of those.
     """
     text = F.regexp_replace(strip(F.regexp_replace("line", r"^\d+(\.\d+)*\.?\s*", "")), r"\s+", " ")
     text = F.regexp_replace(F.upper(text), r"^(FIGURA|TABELLA|STEP|F\s+IGURA)\s*\d+\s*[-–]?\s*", "")
     rows = lines.select("file", "line_id", text.alias("_text"))
-    entries = toc.select("file", F.regexp_replace(F.upper(strip(F.col("title"))), r"\s+", " ").alias("_title"), "ord").groupBy("file", "_title").agg(F.min("ord").alias("toc_ord"))
-    texts = rows.select("file", "_text").distinct()
-    found = texts.join(entries.withColumnRenamed("_title", "_text"), ["file", "_text"])
+    entries = cut(toc.select("file", F.regexp_replace(F.upper(strip(F.col("title"))), r"\s+", " ").alias("_title"), "ord").groupBy("file", "_title").agg(F.min("ord").alias("toc_ord")))
+    texts = cut(rows.select("file", "_text").distinct().withColumn("_id", F.monotonically_increasing_id()))
     long = entries.where(F.length("_title") > 5).withColumn("_ws", toc_words(F.col("_title"))).where(F.size("_ws") > 0)
-    named = cut(long.select("file", "toc_ord", F.least(F.lit(2.0), F.size("_ws") * F.lit(0.6)).alias("_need"), F.explode("_ws").alias("_w")))
-    open_ = texts.where(F.length("_text") > 5)
-    last = named.agg(F.max("toc_ord")).first()[0]
-    low, high = None, 15
-    while last is not None and (low is None or low < last):
-        block = named.where((F.col("toc_ord") <= high) if low is None else (F.col("toc_ord") > low) & (F.col("toc_ord") <= high))
-        said = open_.select("file", "_text", F.explode(toc_words(F.col("_text"))).alias("_w"))
-        met = said.join(block, ["file", "_w"]).groupBy("file", "_text", "toc_ord").agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need"))
-        hits = cut(met.where("_n >= _need").groupBy("file", "_text").agg(F.min("toc_ord").alias("toc_ord")))
-        found = found.union(hits)
-        open_ = open_.join(hits, ["file", "_text"], "left_anti")
-        low, high = high, high * 16
-    first = found.groupBy("file", "_text").agg(F.min("toc_ord").alias("toc_ord"))
+    named = cut(long.select("file", "toc_ord", (F.size("_ws") > 1).alias("_two"), F.explode("_ws").alias("_w")))
+    low, last = 15, named.where("_two").agg(F.max("toc_ord")).first()[0]
+
+    said = texts.where(F.length("_text") > 5).select("_id", "file", F.explode(toc_words(F.col("_text"))).alias("_w"))
+    alone = named.where("NOT _two").groupBy("file", "_w", "_two").agg(F.min("toc_ord").alias("toc_ord"))
+    block = cut(alone.unionByName(named.where(F.col("_two") & (F.col("toc_ord") <= low))))
+    met = said.join(block, ["file", "_w"]).groupBy("_id", "toc_ord").agg(F.count(F.lit(1)).alias("_n"), F.first("_two").alias("_two")).where("_n > 1 OR NOT _two")
+    found = cut(met.groupBy("_id").agg(F.min("toc_ord").alias("toc_ord")))
+
+    open_ = None
+    while last is not None and low < last:
+        done = found.where(F.col("toc_ord") <= low).select("_id")
+        if open_ is None:
+            often = cut(named.where("_two").groupBy("file", "_w").agg(F.count(F.lit(1)).alias("_n")))
+            known = said.join(done, "_id", "left_anti").join(often, ["file", "_w"]).groupBy("_id", "file").agg(F.array_sort(F.collect_list(F.struct("_n", "_w"))).alias("_ws")).where("size(_ws) > 1")
+            open_ = known.select("_id", "file", F.transform(F.slice("_ws", F.lit(1), F.size("_ws") - 1), lambda x: x["_w"]).alias("_ws"), F.element_at("_ws", -1)["_w"].alias("_top"))
+        else:
+            open_ = open_.join(done, "_id", "left_anti")
+        open_ = cut(open_)
+        high = low * 4  # a text that meets its title early is offered few of the later ones
+        block = named.where(F.col("_two") & (F.col("toc_ord") > low) & (F.col("toc_ord") <= high)).select("file", "_w", "toc_ord")
+        near = open_.select("_id", "file", "_top", F.explode("_ws").alias("_w")).join(block, ["file", "_w"]).groupBy("_id", "file", "_top", "toc_ord").agg(F.count(F.lit(1)).alias("_n"))
+        has = block.withColumnRenamed("_w", "_top").withColumn("_has", F.lit(1))
+        hits = near.join(has, ["file", "_top", "toc_ord"], "left").where("_n + coalesce(_has, 0) > 1").select("_id", "toc_ord")
+        found = cut(found.union(hits).groupBy("_id").agg(F.min("toc_ord").alias("toc_ord")))
+        low = high
+    exact = entries.select("file", F.col("_title").alias("_text"), "toc_ord")
+    first = texts.join(found, "_id").select("file", "_text", "toc_ord").union(exact).groupBy("file", "_text").agg(F.min("toc_ord").alias("toc_ord"))
     return rows.join(first, ["file", "_text"]).groupBy("file", "line_id").agg(F.min("toc_ord").alias("toc_ord"))

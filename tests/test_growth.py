@@ -1,8 +1,12 @@
 """Steps that must grow with their input: what is shuffled, written or held at once, and the same results as before."""
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
+from strataloom import checkpoints
+from strataloom.functions import lines
 from strataloom.operators import cluster, graph, retrieve
 
 
@@ -100,3 +104,17 @@ def test_results_of_several_runs_are_passed_on_at_once(spark):
     (got,) = cluster.extract_in_batches(Chunks(), provider, "id long, n int", ["source"], size=2)
     expected = [i for i in range(100) if (i - i % 2) % 7]
     assert sorted(got.itertuples(index=False, name=None)) == [(i, 1, f"s{i}") for i in expected]
+
+
+def test_a_common_word_does_not_meet_every_later_title(spark, monkeypatch):
+    rows, plans = [], []
+    monkeypatch.setattr(lines, "cut", lambda df: rows.append(df.count()) or plans.append(plan(df)) or checkpoints.cut(df))
+    n = 400
+    toc = [("f", i, f"Comune voce{i} nome{i}") for i in range(1, n + 1)] + [("f", n + 1, "Sola"), ("f", n + 2, "solitaria")]
+    said = [f"comune riga{i}" for i in range(n)] + [f"comune nome{i}" for i in range(1, n, 50)] + ["nome7 voce7 nome300", "una solitaria comune", "SOLA", "Comune  voce9 nome9"]
+    given = spark.createDataFrame([("f", i, x) for i, x in enumerate(said)], "file string, line_id long, line string")
+    met = lines.match_toc(given, spark.createDataFrame(toc, "file string, ord int, title string"))
+    expected = {(n + k, 1 + 50 * k) for k in range(8)} | {(n + 8, 7), (n + 9, n + 2), (n + 10, n + 1), (n + 11, 9)}
+    assert {(r.line_id, r.toc_ord) for r in met.collect()} == expected
+    assert sum(rows) < 20 * n  # all lines with all titles are n * n
+    assert sum(bool(re.search(r"Aggregate\(keys=\[[^\]]*_text", p)) for p in plans) == 1  # rounds go by numbers, not by whole texts
