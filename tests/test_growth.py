@@ -118,3 +118,22 @@ def test_a_common_word_does_not_meet_every_later_title(spark, monkeypatch):
     assert {(r.line_id, r.toc_ord) for r in met.collect()} == expected
     assert sum(rows) < 20 * n  # all lines with all titles are n * n
     assert sum(bool(re.search(r"Aggregate\(keys=\[[^\]]*_text", p)) for p in plans) == 1  # rounds go by numbers, not by whole texts
+
+
+def test_only_the_first_names_of_a_term_meet_the_edges(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(graph, "cut", lambda df: (lambda out: rows.append(out.count()) or out)(checkpoints.cut(df)))
+    nodes = spark.range(500).select(F.concat(F.lit("node "), F.col("id").cast("string")).alias("name"))
+    edges = spark.range(499).select(F.col("id").alias("edge_id"), F.concat(F.lit("node "), F.col("id").cast("string")).alias("src"), F.concat(F.lit("node "), (F.col("id") + 1).cast("string")).alias("dst"), F.lit("t").alias("type"))
+    got = graph.search_or_neighbors(spark.createDataFrame([("Node",)], "term string"), nodes, edges, 4).collect()
+    assert sorted((r.name, r.neighbor) for r in got) == [("node 0", "node 1"), ("node 1", "node 0"), ("node 1", "node 2"), ("node 10", "node 11")]
+    assert rows[-1] == 4
+
+
+def test_an_end_walked_from_as_a_source_is_not_walked_from_again(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(graph, "cut", lambda df: met.append(df.columns == ["dst"]) or checkpoints.cut(df))
+    edges = spark.createDataFrame([(i, f"n{i}", f"n{i + 1}", "t") for i in range(6)], "edge_id long, src string, dst string, type string")
+    pairs = spark.createDataFrame([("n0", "n4"), ("n4", "n0"), ("n0", "n6"), ("n6", "zz")], "src string, dst string")
+    assert sorted((r.src, r.dst, r.length) for r in graph.shortest_lengths(pairs, edges).collect()) == [("n0", "n4", 4), ("n0", "n6", 6), ("n4", "n0", 4)]
+    assert any(met)
