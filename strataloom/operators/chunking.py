@@ -48,12 +48,14 @@ def pack(items: Column, most: int = CHUNK_TOKENS) -> Column:
 
     A chunk is closed when the next sentence would make it too long; a sentence
     that is too long by itself is a chunk. Token counts add up over sentences, so
-    the fold carries a sum instead of counting the joined text again.
+    the fold carries a sum instead of counting the joined text again; a sentence is
+    counted once, before the fold, whose step names its count several times.
     """
+    items = F.transform(items, lambda s: F.struct(s.alias("s"), token_count(s).alias("n")))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
 
-    def step(state: Column, s: Column) -> Column:
-        n = token_count(s)
+    def step(state: Column, item: Column) -> Column:
+        s, n = item["s"], item["n"]
         full = (state["n"] + n > most) & (state["now"] != "")
         return F.struct(
             F.when(full, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"),

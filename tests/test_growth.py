@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom import checkpoints
 from strataloom.functions import lines
-from strataloom.operators import cluster, graph, retrieve
+from strataloom.operators import chunking, cluster, graph, retrieve
 
 
 def plan(df):
@@ -137,3 +137,11 @@ def test_an_end_walked_from_as_a_source_is_not_walked_from_again(spark, monkeypa
     pairs = spark.createDataFrame([("n0", "n4"), ("n4", "n0"), ("n0", "n6"), ("n6", "zz")], "src string, dst string")
     assert sorted((r.src, r.dst, r.length) for r in graph.shortest_lengths(pairs, edges).collect()) == [("n0", "n4", 4), ("n0", "n6", 6), ("n4", "n0", 4)]
     assert any(met)
+
+
+def test_a_sentence_is_counted_once(spark):
+    packed = chunking.pack(chunking.sentences(F.col("text")), 4)
+    step = packed._jc.toString() if hasattr(packed, "_jc") else str(packed)
+    assert step.count("regexp_extract_all") == 1
+    rows = spark.createDataFrame([("Uno due. Tre quattro! Cinque?",), ("Uno due tre quattro cinque. Sei.",), ("",)], "text string")
+    assert [r.c for r in rows.select(packed.alias("c")).collect()] == [["Uno due.", "Tre quattro!", "Cinque?"], ["Uno due tre quattro cinque.", "Sei."], []]
